@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, chat_format, token_counts, url_filters
+from lumenfold.llm import bpe, chat_format, decontaminate, token_counts, url_filters
 from lumenfold.llm.common import table
 
 
@@ -17,6 +17,20 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the windows of ten words of every benchmark item."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(documents, table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "leaks.*").select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page against dated lists made from the table's own hosts; page_id gives the fetch day."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -34,6 +48,27 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(captures, events).select("page_id", "n_active", "decided_by", "blocked")
 
 
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(ws), 10) AS l, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS w
+  FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT l FROM windows),
+grams AS (
+  SELECT doc_id, l, i, array_to_string(ws[i : i + l - 1], ' ') AS w
+  FROM (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS i FROM d, sizes WHERE len(ws) >= l)),
+met AS (SELECT g.doc_id, g.i, g.l, windows.item FROM grams g JOIN windows ON g.l = windows.l AND g.w = windows.w),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + l)) AS p FROM met) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM met GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN named ON d.doc_id = named.doc_id
+"""
+
+
 OP3_SQL = r"""
 WITH captures AS (
   SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS TIMESTAMP) AS fetched_at,
@@ -127,12 +162,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_url_filters": op3_url_filters,
     "op5_token_counts": op5_token_counts,
     "op6_chat_formatting": op6_chat_formatting,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES = {"op3_url_filters": OP3_SQL, "op6_chat_formatting": OP6_SQL}
+ORACLES = {"op2_decontamination": OP2_SQL, "op3_url_filters": OP3_SQL, "op6_chat_formatting": OP6_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
