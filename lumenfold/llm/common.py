@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenfold.session import ship_package
 
@@ -41,3 +42,22 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_CHARS) ->
         size += len(text)
     if some:
         yield some
+
+
+#: Labelled rows that a model is fitted on at most (a documented bound of the fit alone; all rows are scored).
+SAMPLE_ROWS = 4000
+
+
+def trains() -> Column:
+    """True for the documents that models may learn from: crc32(doc_id as text) mod 3 is not 1."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 != 1
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """documents joined with at most `rows` rows of labels, the least by a hash of doc_id, outside the held-out fold.
+
+    The bound makes the label side small enough to broadcast.
+    """
+    chosen = labels.where(F.col("doc_id").isNotNull() & trains()).dropDuplicates(["doc_id"])
+    few = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return documents.join(F.broadcast(few), "doc_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, chat_format, decontaminate, token_counts, url_filters
+from lumenfold.llm import bpe, chat_format, decontaminate, quality, quality_rules, token_counts, url_filters
 from lumenfold.llm.common import table
 
 
@@ -93,6 +93,14 @@ FROM captures c LEFT JOIN met m ON c.page_id = m.page_id GROUP BY c.page_id
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and probability of good quality of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(documents, table(spark, sf_dir, "labels"))
+    rated = quality.rate(documents, model).select("doc_id", "rating.*")
+    return rated.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("kept"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under piece_bpe_32k.model."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -146,6 +154,14 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of line labelling for every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality_rules.train(documents, table(spark, sf_dir, "labels"))
+    labelled = quality_rules.label_lines(documents, field).select("doc_id", "rules.*")
+    return labelled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under byte_bpe_multi_50k.tiktoken, and the bytes that they decode to."""
     import public_tokenizers
@@ -164,8 +180,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_url_filters": op3_url_filters,
+    "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op6_chat_formatting": op6_chat_formatting,
+    "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES = {"op2_decontamination": OP2_SQL, "op3_url_filters": OP3_SQL, "op6_chat_formatting": OP6_SQL}
