@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, chat_format, decontaminate, quality, quality_rules, token_counts, url_filters
+from lumenfold.llm import bpe, chat_format, decontaminate, near_dedup, quality, quality_rules, token_counts, url_filters
 from lumenfold.llm.common import table
 
 
@@ -154,6 +154,11 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies among all documents: 2-word shingles, similarity of 0.8 or more."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=2, percent=80)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of line labelling for every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -183,6 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_near_dedup": op7_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
