@@ -10,6 +10,7 @@ import base64
 import functools
 import heapq
 from collections.abc import Iterator
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.chunks import ChunkPool
-from lumenfold.llm.common import prepare, text_slices
+from lumenfold.llm.common import SLICE_CHARS, prepare
 
 #: No rank: larger than any.
 NONE = np.int32(2**31 - 1)
@@ -83,19 +84,23 @@ class ByteBpe:
         self.pairs = PairTable(self.tokens)
         self.of_byte = np.array([self.tokens[bytes([b])] for b in range(256)], np.int32)
         most = max(self.tokens.values()) + 1
-        self.by_id: list[bytes | None] = [None] * most
+        by_id = [b""] * most
         for token, i in self.tokens.items():
-            self.by_id[i] = token
+            by_id[i] = token
+        self.bytes_of = np.frombuffer(b"".join(by_id), np.uint8)
+        self.n_bytes = np.fromiter(map(len, by_id), np.int64, most)
+        self.first_byte = np.cumsum(self.n_bytes) - self.n_bytes
         self.pool = ChunkPool(self.encode_chunks)
 
     def encode_chunks(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks and their numbers: each match of the pattern is encoded alone."""
         cut = [self.pattern.findall(c) for c in new]
-        names = {p: i for i, p in enumerate(dict.fromkeys(p for parts in cut for p in parts))}
+        n_parts = np.fromiter(map(len, cut), np.int64, len(cut))
+        parts = list(chain.from_iterable(cut))
+        names = dict(zip(dict.fromkeys(parts), count()))
         flat, lengths = self.encode_pieces([p.encode() for p in names])
         starts = np.cumsum(lengths) - lengths
-        n_parts = np.fromiter(map(len, cut), np.int64, len(cut))
-        place = np.fromiter((names[p] for parts in cut for p in parts), np.int64, int(n_parts.sum()))
+        place = np.fromiter(map(names.__getitem__, parts), np.int64, len(parts))
         sizes = lengths[place]
         before = np.concatenate([[0], np.cumsum(sizes)])
         pick = np.repeat(starts[place] - before[:-1], sizes) + np.arange(before[-1])
@@ -103,28 +108,37 @@ class ByteBpe:
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces and the number of ids of each. A piece that is a token is that token."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
-        buckets: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            if (one := self.tokens.get(piece)) is not None:
-                out[i] = np.array([one], np.int32)
-            elif len(piece) > LONGEST_ROW:
-                out[i] = self.encode_long(piece)
-            else:
-                buckets.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(i)
-        for width, members in buckets.items():
-            step = max(1, CELLS // width)
+        lengths = np.ones(len(pieces), np.int64)
+        whole = np.fromiter(map(self.tokens.get, pieces, repeat(-1)), np.int32, len(pieces))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        rest = np.flatnonzero(whole < 0)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in rest[sizes[rest] > LONGEST_ROW].tolist():
+            ids = self.encode_long(pieces[i])
+            lengths[i] = len(ids)
+            found.append((np.array([i]), ids))
+        width, least = 4, 0
+        while width <= LONGEST_ROW:
+            members = rest[(sizes[rest] > least) & (sizes[rest] <= width)]
+            step = CELLS // width
             for k in range(0, len(members), step):
                 some = members[k : k + step]
-                rows, sizes = self.merge_rows([pieces[i] for i in some], width)
-                for i, row, size in zip(some, rows, sizes):
-                    out[i] = row[:size]
-        lengths = np.fromiter(map(len, out), np.int64, len(out))
-        return np.concatenate([np.empty(0, np.int32), *out]), lengths
-
-    def merge_rows(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The matrix of merged ids, one row a piece padded with -1, and the ids in each row."""
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+                rows = self.merge_rows([pieces[i] for i in some.tolist()], sizes[some], width)
+                inside = rows >= 0
+                lengths[some] = inside.sum(1)
+                found.append((some, rows[inside]))
+            width, least = 2 * width, width
+        ends = np.cumsum(lengths)
+        flat = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        single = whole >= 0
+        flat[(ends - 1)[single]] = whole[single]
+        for some, ids in found:
+            n = lengths[some]
+            flat[np.repeat(ends[some] - np.cumsum(n), n) + np.arange(len(ids))] = ids
+        return flat, lengths
+
+    def merge_rows(self, pieces: list[bytes], size: np.ndarray, width: int) -> np.ndarray:
+        """The matrix of merged ids, one row a piece, padded with -1."""
         ids = np.full((len(pieces), width), -1, np.int32)
         ids[np.arange(width) < size[:, None]] = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
         done = np.full_like(ids, -1)
@@ -151,7 +165,7 @@ class ByteBpe:
             ranks[row, at] = np.where(at < width - 1, self.pairs(best, ids[row, np.minimum(at + 1, width - 1)]), NONE)
             some = np.flatnonzero(at > 0)
             ranks[some, at[some] - 1] = self.pairs(ids[some, at[some] - 1], best[some])
-        return done, (done >= 0).sum(1)
+        return done
 
     def encode_long(self, piece: bytes) -> np.ndarray:
         """As merge_rows for one long piece, with a heap and a linked list."""
@@ -177,8 +191,19 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.pool.encode(texts)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.by_id.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the ids, as an array."""
+        parts = [np.empty(0, np.uint8)]
+        for k in range(0, len(ids), CELLS // 4):
+            some = ids[k : k + CELLS // 4]
+            n = self.n_bytes[some]
+            if (n == 0).any() or (some < 0).any():
+                raise ValueError("an id that the vocabulary lacks")
+            ends = np.cumsum(n)
+            pick = np.repeat(self.first_byte[some] - ends + n, n)
+            pick += np.arange(len(pick))
+            parts.append(self.bytes_of[pick])
+        return np.concatenate(parts)
 
 
 @functools.lru_cache(2)
@@ -200,8 +225,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
         bpe = load(path, pattern)
         for batch in batches:
             flat, counts = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
-            for some in text_slices(batch):
-                ids, n = bpe.encode(some)
+            for ids, n in bpe.pool.encode_array(batch, SLICE_CHARS):
                 flat.append(ids)
                 counts.append(n)
             offsets = np.cumsum(np.concatenate(counts)).astype(np.int32)
@@ -222,6 +246,13 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path, pattern)
         for batch in batches:
-            yield pa.array([bpe.decode(x or ()) for x in batch.to_pylist()], pa.binary())
+            batch = batch.fill_null([]) if batch.null_count else batch
+            ids = batch.flatten().to_numpy(zero_copy_only=False)
+            if ids.dtype.kind == "f":
+                raise ValueError("a null among the ids")
+            offsets = batch.offsets.to_numpy().astype(np.int64)
+            before = np.concatenate([[0], np.cumsum(bpe.n_bytes[ids])])
+            ends = before[offsets - offsets[0]].astype(np.int32)
+            yield pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(bpe.decode(ids))])
 
     return df.withColumn(out, bytes_of(F.col(ids)))

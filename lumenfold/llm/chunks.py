@@ -9,7 +9,6 @@ with runs of white space go through a pattern that keeps each run whole.
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 
@@ -34,50 +33,170 @@ def cut_runs(text: str) -> list[str]:
     return RUNS.findall(text) if text.strip() else [text]
 
 
-class ChunkPool(dict):
-    """Chunk to place in a pool of id arrays; encodes the chunks that it lacks. Its size is bounded: when full it starts anew."""
+def _byte_table(*groups: tuple[int, ...]) -> np.ndarray:
+    table = np.zeros(256, np.uint8)
+    for bit, group in enumerate(groups):
+        table[list(group)] |= 1 << bit
+    return table
 
-    def __init__(self, encode_new, limit: int = 300_000, limit_ids: int = 8_000_000):
-        super().__init__()
+
+#: Bits: 0 a space or newline; 1 ASCII white space of any kind; 2 may begin white space beyond ASCII.
+_KINDS = _byte_table((32, 10), (*range(9, 14), *range(28, 33)), (0xC2, 0xE1, 0xE2, 0xE3))
+
+
+def cut_places(data: np.ndarray) -> np.ndarray:
+    """True where UTF-8 bytes may be cut: before a single space or newline with other characters on both sides."""
+    kinds = _KINDS[data]
+    cut = (kinds & 1).astype(bool)
+    white = kinds & 2
+    wide = kinds & 4
+    cut[:-1] &= (white[1:] | wide[1:]) == 0
+    cut[-1:] = False
+    cut[1:] &= white[:-1] == 0
+    # a character of white space beyond ASCII may end just before: two bytes from C2, three from E1 to E3
+    high = data >= 0x80
+    cut[2:] &= ~((data[:-2] == 0xC2) & high[1:-1])
+    cut[3:] &= ~((wide[:-3] > 0) & high[2:-1] & high[1:-2])
+    cut[:1] = False
+    return cut
+
+
+class ChunkPool:
+    """Ids of chunks, found by two 64-bit hashes of their bytes; encodes the chunks that it lacks.
+
+    Chunks are cut, hashed and looked up in numpy for a whole slice of texts at once. The size is bounded: when
+    full, the chunks met most often stay, half of the limits at most.
+    """
+
+    BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+
+    def __init__(self, encode_new, limit: int = 700_000, limit_ids: int = 6_000_000):
         self.encode_new, self.limit, self.limit_ids = encode_new, limit, limit_ids
-        self.reset()
+        self.powers: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+        self.inverse: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+        self.reset(1 << 16)
 
-    def reset(self):
-        self.clear()
-        self.flat, self.lengths = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64)
-        self.starts = np.empty(1 << 14, np.int64)
+    def reset(self, slots: int):
+        self.slots = slots
+        self.table = np.full(slots, -1, np.int32)
+        self.flat, self.lengths, self.starts, self.met = np.empty(1 << 16, np.int32), *np.zeros((3, 1 << 14), np.int64)
+        self.names = np.zeros((2, 1 << 14), np.uint64)
         self.used = self.held = 0
 
-    def add(self, new: list[str]) -> None:
-        flat, lengths = self.encode_new(new)
-        while self.held + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.used + len(new) > len(self.lengths):
-            self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
+    def thin(self):
+        """Keep what was met twice or more, the most often first, up to half of the limits."""
+        met, lengths, names = self.met[: self.used].copy(), self.lengths[: self.used].copy(), self.names[:, : self.used].copy()
+        stay = np.argsort(-met, kind="stable")
+        stay = stay[(met[stay] > 1) & (np.cumsum(lengths[stay]) <= self.limit_ids // 2)][: self.limit // 2]
+        flat = self.take(stay)
+        self.reset(self.slots)
+        self.put(names[:, stay], flat, lengths[stay])
+        self.met[: self.used] = met[stay] // 2
+
+    def take(self, place: np.ndarray) -> np.ndarray:
+        """The ids at the places, one after the other."""
+        lengths = self.lengths[place]
+        ends = np.cumsum(lengths)
+        pick = np.repeat(self.starts[place] - ends + lengths, lengths)
+        pick += np.arange(len(pick))
+        return self.flat[pick]
+
+    def slot(self, name: np.ndarray) -> np.ndarray:
+        return ((name ^ (name >> np.uint64(29))) * self.BASES[1] >> np.uint64(64 - (self.slots.bit_length() - 1))).astype(np.int64)
+
+    def find(self, names: np.ndarray) -> np.ndarray:
+        """Places of the chunks with these hashes; -1 for those that the pool lacks."""
+        slot = self.slot(names[0])
+        place = self.table[slot]
+        on = np.flatnonzero((place >= 0) & ((self.names[0][place] != names[0]) | (self.names[1][place] != names[1])))
+        while len(on):
+            slot[on] = (slot[on] + 1) & (self.slots - 1)
+            place[on] = there = self.table[slot[on]]
+            on = on[(there >= 0) & ((self.names[0][there] != names[0][on]) | (self.names[1][there] != names[1][on]))]
+        return place
+
+    def enter(self, first: int) -> None:
+        """Put the places from `first` on into the table."""
+        place = np.arange(first, self.used)
+        slot = self.slot(self.names[0][first : self.used])
+        while len(place):
+            free = np.flatnonzero(self.table[slot] < 0)
+            self.table[slot[free]] = place[free]
+            left = self.table[slot] != place
+            place, slot = place[left], (slot[left] + 1) & (self.slots - 1)
+
+    def put(self, names: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(lengths)
+        if (need := self.held + len(flat)) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.held], np.empty(max(need, 2 * self.held) - self.held, np.int32)])
+        if (need := self.used + n) > len(self.lengths):
+            more = np.zeros(max(need, 2 * self.used) - self.used, np.int64)
+            self.lengths, self.starts, self.met = (np.concatenate([x[: self.used], more]) for x in (self.lengths, self.starts, self.met))
+            self.names = np.concatenate([self.names[:, : self.used], np.zeros((2, len(more)), np.uint64)], axis=1)
         self.flat[self.held : self.held + len(flat)] = flat
-        at = slice(self.used, self.used + len(new))
-        self.lengths[at] = lengths
+        at = slice(self.used, self.used + n)
+        self.lengths[at], self.names[:, at], self.met[at] = lengths, names, 0
         self.starts[at] = self.held + np.cumsum(lengths) - lengths
-        self.update(zip(new, range(self.used, self.used + len(new))))
         self.held += len(flat)
-        self.used += len(new)
+        first, self.used = self.used, self.used + n
+        if 2 * self.used > self.slots:
+            self.slots = 1 << (4 * self.used).bit_length()
+            self.table = np.full(self.slots, -1, np.int32)
+            first = 0
+        self.enter(first)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, and how many each text has."""
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Two 64-bit hashes of each run of bytes: polynomials whose prefix sums wrap around."""
+        out = np.empty((2, len(starts)), np.uint64)
+        x = data.astype(np.uint64) + np.uint64(1)
+        for k, base in enumerate(self.BASES):
+            if len(self.powers[k]) < len(data):
+                n = 1 << len(data).bit_length()
+                other = np.uint64(pow(int(base), -1, 1 << 64))
+                self.powers[k] = np.cumprod(np.full(n, base))
+                self.inverse[k] = np.cumprod(np.full(n, other))
+            total = np.concatenate([[np.uint64(0)], np.cumsum(x * self.powers[k][: len(data)])])
+            out[k] = (total[ends] - total[starts]) * self.inverse[k][starts]
+        return out
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts data[offsets[i]:offsets[i + 1]], and how many each text has."""
         if self.used > self.limit or self.held > self.limit_ids:
-            self.reset()
-        cut = [chunks(t) for t in texts]
-        new: set[str] = set()
-        for parts in cut:
-            new.update(parts)
-        if new := [c for c in new if c not in self]:
-            self.add(new)
-        n_parts = np.fromiter(map(len, cut), np.int64, len(cut))
-        place = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int64, int(n_parts.sum()))
-        lengths = self.lengths[place]
-        before = np.concatenate([[0], np.cumsum(lengths)])
-        pick = np.repeat(self.starts[place] - before[:-1], lengths)
-        pick += np.arange(before[-1])
-        ends = before[np.cumsum(n_parts)]
-        return self.flat[pick], np.diff(np.concatenate([[0], ends]))
+            self.thin()
+        if not len(data):
+            return np.empty(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
+        begins = cut_places(data)
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))
+        names = self.hashes(data, starts, ends)
+        place = self.find(names)
+        while len(lacks := np.flatnonzero(place < 0)):
+            first = lacks[np.unique(names[0][lacks], return_index=True)[1]]
+            raw = data.tobytes()
+            new = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+            self.put(names[:, first], *self.encode_new(new))
+            place[lacks] = self.find(names[:, lacks])
+        self.met[: self.used] += np.bincount(place, minlength=self.used)
+        before = np.concatenate([[0], np.cumsum(self.lengths[place])])
+        return self.take(place), np.diff(before[np.searchsorted(starts, offsets)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [t.encode() for t in texts]
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
+        return self.encode_bytes(np.frombuffer(b"".join(raw), np.uint8), offsets)
+
+    def encode_array(self, column, limit: int):
+        """encode() for a string array (null: empty) in slices of about `limit` bytes; a longer text comes alone."""
+        column = column.fill_null("") if column.null_count else column
+        if not len(column):
+            return
+        wide = str(column.type) == "large_string"
+        buffers = column.buffers()
+        offsets = np.frombuffer(buffers[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(buffers[2] or b"", np.uint8)
+        k = 0
+        while k < len(column):
+            to = max(k + 1, int(np.searchsorted(offsets, offsets[k] + limit, side="right")) - 1)
+            yield self.encode_bytes(data[offsets[k] : offsets[to]], offsets[k : to + 1] - offsets[k])
+            k = to

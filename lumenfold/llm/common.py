@@ -14,7 +14,7 @@ from lumenfold.session import ship_package
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
 #: Characters of text that an operator takes from a batch at once.
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 1 << 19
 
 
 def prepare(spark: SparkSession) -> SparkSession:
