@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, chat_format, decontaminate, near_dedup, quality, quality_rules, token_counts, url_filters
-from lumenfold.llm.common import table
+from lumenfold.llm import bpe, chat_format, decontaminate, near_dedup, quality, quality_rules, token_counts, token_files, toxicity, url_filters
+from lumenfold.llm.common import table, trains
+from lumenfold.session import shared_path
 
 
 def _tokenizer(name: str) -> str:
@@ -17,6 +18,16 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; the labels of the held-out third are not read."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", (~trains()).alias("held_out"), F.col("toxicity.score").alias("score")).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the windows of ten words of every benchmark item."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -159,6 +170,14 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=2, percent=80)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of the ids of every document under byte_bpe_50k.json, written and read back."""
+    path = shared_path(spark, "shards")
+    token_files.write_shards(table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), end_id=0)
+    found = token_files.read_shards(spark, path)
+    return found.select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("data").alias("ids_crc32"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of line labelling for every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -183,12 +202,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_url_filters": op3_url_filters,
     "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_near_dedup": op7_near_dedup,
+    "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
