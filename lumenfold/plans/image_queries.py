@@ -25,7 +25,7 @@ def transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     exact = {c: F.round(c, places) + F.lit(0.0) for c in columns}
-    return df.withColumns(exact | {c: F.col(c).cast("long") for c in ("kx", "ky", "z", "y", "x") if c in df.columns and c not in columns})
+    return df.withColumns(exact | {c: F.col(c).cast("long") for c in ("kx", "ky", "z", "y", "x") if c in df.columns and df.schema[c].dataType.simpleString() == "int"})
 
 
 CTF_OF = "(0.5 + 0.5 * cos(x + y))"
