@@ -38,7 +38,7 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¥": "y", "*": "aeiou",
 }
 #: Costs, in nats, of the disguises and of leaving signs, repeated letters and gaps as they are.
-SUBSTITUTED, LEFT, REPEATED, AS_IS, SPACED, APART = 1.0, 7.0, 0.5, 1.5, 0.5, 5.0
+SUBSTITUTED, LEFT, REPEATED, AS_IS, SPACED, APART = 1.0, 7.0, 2.5, 0.0, 0.5, 5.0
 
 LETTERS = 27  # 0 stands for all but letters
 _STRIP = ".,;:!?\"'()[]{}*#%&|<>-_…«»“”‘’"
