@@ -40,12 +40,16 @@ def _byte_table(*groups: tuple[int, ...]) -> np.ndarray:
     return table
 
 
-#: Bits: 0 a space or newline; 1 ASCII white space of any kind; 2 may begin white space beyond ASCII.
-_KINDS = _byte_table((32, 10), (*range(9, 14), *range(28, 33)), (0xC2, 0xE1, 0xE2, 0xE3))
+_PUNCTUATION = tuple(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_LETTERS = (*range(65, 91), *range(97, 123))
+#: Bits: 0 a space or newline; 1 ASCII white space of any kind; 2 may begin white space beyond ASCII; 3 ASCII
+#: punctuation; 4 an ASCII letter.
+_KINDS = _byte_table((32, 10), (*range(9, 14), *range(28, 33)), (0xC2, 0xE1, 0xE2, 0xE3), _PUNCTUATION, _LETTERS)
 
 
-def cut_places(data: np.ndarray) -> np.ndarray:
-    """True where UTF-8 bytes may be cut: before a single space or newline with other characters on both sides."""
+def cut_places(data: np.ndarray, marks: bool = True) -> np.ndarray:
+    """True where UTF-8 bytes may be cut: before a single space or newline with other characters on both sides
+    and, with marks, before ASCII punctuation that follows a letter of ASCII or Latin-1."""
     kinds = _KINDS[data]
     cut = (kinds & 1).astype(bool)
     white = kinds & 2
@@ -57,6 +61,10 @@ def cut_places(data: np.ndarray) -> np.ndarray:
     high = data >= 0x80
     cut[2:] &= ~((data[:-2] == 0xC2) & high[1:-1])
     cut[3:] &= ~((wide[:-3] > 0) & high[2:-1] & high[1:-2])
+    if marks:
+        letter = (kinds & 16) > 0
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        cut[1:] |= letter[:-1] & ((kinds[1:] & 8) > 0)
     cut[:1] = False
     return cut
 
@@ -70,8 +78,9 @@ class ChunkPool:
 
     BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
-    def __init__(self, encode_new, limit: int = 700_000, limit_ids: int = 6_000_000):
-        self.encode_new, self.limit, self.limit_ids = encode_new, limit, limit_ids
+    def __init__(self, encode_new, whole: tuple[bytes, ...] = (), limit: int = 500_000, limit_ids: int = 4_000_000):
+        """whole: strings that must not be cut; a slice that holds one is cut at white space alone."""
+        self.encode_new, self.whole, self.limit, self.limit_ids = encode_new, whole, limit, limit_ids
         self.powers: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
         self.inverse: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
         self.reset(1 << 16)
@@ -165,7 +174,8 @@ class ChunkPool:
             self.thin()
         if not len(data):
             return np.empty(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
-        begins = cut_places(data)
+        raw = data.tobytes()
+        begins = cut_places(data, marks=not any(w in raw for w in self.whole))
         begins[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))
@@ -173,7 +183,6 @@ class ChunkPool:
         place = self.find(names)
         while len(lacks := np.flatnonzero(place < 0)):
             first = lacks[np.unique(names[0][lacks], return_index=True)[1]]
-            raw = data.tobytes()
             new = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
             self.put(names[:, first], *self.encode_new(new))
             place[lacks] = self.find(names[:, lacks])

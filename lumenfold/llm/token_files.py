@@ -35,7 +35,9 @@ MAGIC = b"RPG1"
 SHARD_IDS = 1_000_000
 #: A pair is replaced where it stands this often in a shard.
 LEAST = 24
-ROUNDS = 6
+ROUNDS = 5
+#: Buckets in which pairs are counted first, as a power of two.
+HASH_BITS = 20
 RULES_A_ROUND = 8192
 
 
@@ -47,12 +49,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pool = ChunkPool(self.encode_new)
+        special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.pool = ChunkPool(self.encode_new, special)
 
     def encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(lengths.sum())), lengths
+        found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+        return np.array(found.ids, np.int32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(new))
 
 
 @functools.lru_cache(2)
@@ -109,22 +111,28 @@ def compress(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST, rounds: int
         if len(symbols) < 2:
             break
         n = len(lengths)
-        left = symbols[:-1].astype(np.int64)
-        key = left * n + symbols[1:]
-        ok = ~last[:-1]
+        shift = max(1, (n - 1).bit_length())
+        key = (symbols[:-1].astype(np.uint64) << np.uint64(shift)) | symbols[1:].astype(np.uint64)
+        hashed = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
+        hashed[last[:-1]] = 1 << HASH_BITS  # no pair over the end of a document
         # a count of hash buckets first: only keys in full buckets are sorted
-        hashed = ((key * 0x9E3779B1) >> 7) & 0xFFFFF
-        full = np.bincount(hashed[ok], minlength=1 << 20) >= least
-        some = np.flatnonzero(ok & full[hashed])
-        pairs, back, counts = np.unique(key[some], return_inverse=True, return_counts=True)
+        full = np.bincount(hashed, minlength=(1 << HASH_BITS) + 1) >= least
+        full[-1] = False
+        pairs, counts = np.unique(key[full[hashed]], return_counts=True)
         chosen = np.argsort(-counts, kind="stable")
         chosen = chosen[counts[chosen] >= least][:most]
         if not len(chosen):
             break
-        order = np.full(len(pairs), -1, np.int64)
-        order[chosen] = np.arange(len(chosen))
-        rank = order[back]
-        at, rank = some[rank >= 0], rank[rank >= 0]
+        pair = pairs[chosen]
+        # of chosen pairs in one bucket the most frequent goes first, others wait for the next round
+        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        rank_of = np.full((1 << HASH_BITS) + 1, -1, np.int32)
+        rank_of[bucket[::-1]] = np.arange(len(pair) - 1, -1, -1)
+        rank = rank_of[hashed]
+        at = np.flatnonzero(rank >= 0)
+        rank = rank[at]
+        same = pair[rank] == key[at]
+        at, rank = at[same], rank[same]
         # in a run of one symbol every second pair; then, of overlapping pairs, the more frequent
         runs = np.concatenate([[False], (np.diff(at) == 1) & (np.diff(rank) == 0)])
         begin = np.maximum.accumulate(np.where(runs, 0, np.arange(len(at))))
@@ -136,8 +144,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST, rounds: int
         wins[:-1] &= ~(beside & (rank[1:] < rank[:-1]))
         at, rank = at[wins], rank[wins]
         used, rank = np.unique(rank, return_inverse=True)
-        pair = pairs[chosen[used]]
-        rule = np.stack([pair // n, pair % n], 1)
+        rule = np.stack([pair[used] >> np.uint64(shift), pair[used] & np.uint64((1 << shift) - 1)], 1).astype(np.int64)
         rules.append(rule)
         lengths = np.concatenate([lengths, lengths[rule].sum(1)])
         symbols[at] = n + rank
