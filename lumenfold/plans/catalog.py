@@ -1,3 +1,3 @@
 """Importing this module registers every query of the library."""
 
-from lumenfold.plans import image_queries, particle_queries  # noqa: F401
+from lumenfold.plans import image_queries, math_queries, particle_queries  # noqa: F401
