@@ -8,12 +8,12 @@ that share a band are candidates:
 
 1. Each node is verified against the least node of the bucket that it shares most often: most links of a
    group are found with one comparison a node.
-2. In buckets that still hold several components, members outside the largest of them are verified against
-   all members of other components that share two bands with them. Members of one component need no further
-   test, so a group of near copies never gives all its pairs.
+2. Buckets that still hold several components are compared in blocks of bounded size: a product of incidence
+   matrices gives all intersections of a block at once, and only links that join components leave it. No pairs
+   are emitted for the test, and a hot bucket is spread over many tasks.
 
-A link of similarity 0.8 is missed where under two of 48 bands agree, with a probability of 1.3e-7; all
-links found are confirmed on the full sets.
+A link of similarity 0.8 is missed where none of 48 bands agrees, with a probability of 5e-9. All links are
+confirmed on the full sets, held as 64-bit hashes of shingles; step 2 looks at their lower halves first.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from lumenfold.llm.components import connected_components
 from lumenfold.session import materialize
 
 BANDS, ROWS = 48, 5
-#: Candidate pairs up to this many go to the texts by broadcast; more by a shuffled join.
-BROADCAST_PAIRS = 20_000
+#: Members of a bucket that one block holds, on average.
+BLOCK = 1024
+#: Cells of an incidence matrix at most.
+CELLS = 4 << 20
 #: Words whose hashes a worker keeps; when full the store starts anew.
 KEPT_WORDS = 400_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -154,33 +156,113 @@ def _sketches(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return rows.withColumn("set_hash", F.when(known, F.col("set_hash"))).withColumn("bands", F.when(known, F.col("bands")))
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _shingle_table(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(rep, shingles) with the sorted hashes of the wanted nodes' texts."""
+
+    @F.arrow_udf("array<bigint>")
+    def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = WordHashes()
+        for batch in batches:
+            sets = [words.shingles(t, n) for some in text_slices(batch) for t in some]
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
+
+    met = texts.join(wanted, texts["node"] == wanted["rep"], "left_semi")
+    return materialize(met.select(F.col("node").alias("rep"), shingles(F.col("text")).alias("shingles")), "shingles")
+
+
+def _confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are linked."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
-    side = F.broadcast if few else lambda df: df
-    first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    if few:
-        first = materialize(first.join(side(pairs), "a"), "halves")
-        # at most one row a pair, so the second side is bounded too; its ids go to the texts by broadcast
-        wanted = materialize(second.join(side(pairs.select("b").distinct()), "b", "left_semi"), "halves")
-        met = first.join(wanted, "b")
-    else:
-        met = first.join(pairs, "a").join(second, "b")
-
-    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, right = None, set()
+    one = shingles.select(F.col("rep").alias("a"), F.col("shingles").alias("s"))
+    other = shingles.select(F.col("rep").alias("b"), F.col("shingles").alias("t"))
+    both = F.size(F.array_intersect("s", "t"))
+    met = pairs.join(one, "a").join(other, "b")
+    return materialize(met.where(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("a", "b").distinct(), "links")
+
+
+def block_links(node: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], crossed: bool, percent: int) -> list[tuple[int, int]]:
+    """Places of links that join components among the sets of one block pair; crossed: only between its two sides."""
+    m = len(node)
+    if m < 2 or (comp == comp[0]).all():
+        return []
+    sizes = np.fromiter(map(len, sets), np.int64, m)
+    tokens, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(m), sizes)
+    both = np.zeros((m, m), np.float64)
+    by = np.argsort(column, kind="stable")
+    column, row = column[by], row[by]
+    width = max(1, CELLS // m)
+    edges = np.searchsorted(column, np.arange(0, len(tokens) + width, width))
+    for k in range(len(edges) - 1):
+        x = np.zeros((m, min(width, len(tokens) - k * width)), np.float32)
+        x[row[edges[k] : edges[k + 1]], column[edges[k] : edges[k + 1]] - k * width] = 1
+        both += x @ x.T
+    test = 100 * both >= percent * (sizes[:, None] + sizes - both)
+    test &= comp[:, None] != comp
+    if crossed:
+        test &= side[:, None] != side
+    parents: dict = {}
+
+    def root(c):
+        while c in parents:
+            c = parents[c]
+        return c
+
+    found = []
+    for i, j in np.argwhere(np.triu(test, 1)).tolist():
+        c, d = root(comp[i]), root(comp[j])
+        if c != d:
+            parents[c] = d
+            found.append((i, j))
+    return found
+
+
+def _join_components(rest: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share a bucket and whose shorter hashes are linked.
+
+    rest: bucket, rep, comp and m, the members of the bucket.
+    """
+    kind = rest.schema["rep"].dataType
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    short = shingles.select("rep", F.transform("shingles", lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int")).alias("tokens"))
+    held = rest.join(short, "rep")  # dealt by rep, which is even, before blocks multiply the rows of hot buckets
+    blocks = held.withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    blocks = blocks.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "tokens")
+    rows = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def group(rows: pa.RecordBatch) -> list[tuple[int, int]]:
+            lists = rows.column("tokens")
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            sets = [np.unique(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+            # components get numbers: they may be of any type
+            comp = rows.column("comp").dictionary_encode().indices.to_numpy()
+            crossed = rows.column("i")[0] != rows.column("j")[0]
+            return block_links(np.arange(len(rows)), comp, rows.column("block").to_numpy(), sets, crossed, percent)
+
+        def links(rows: pa.RecordBatch, cuts: list[int]) -> pa.RecordBatch:
+            a, b = [], []
+            for start, stop in zip(cuts[:-1], cuts[1:]):
+                for i, j in group(rows.slice(start, stop - start)) if stop - start > 1 else ():
+                    a.append(start + i)
+                    b.append(start + j)
+            rep = rows.column("rep")
+            return pa.record_batch([rep.take(pa.array(a, pa.int64())), rep.take(pa.array(b, pa.int64()))], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []  # the group that may go on in the next batch
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("text_a"), batch.column("text_b")):
-                y = y.as_py() or ""
-                if y != last:
-                    last, right = y, shingles_of(y, n)
-                keep.append(linked(shingles_of(x.as_py() or "", n), right, percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            rows = pa.concat_batches([*held, batch]) if held else batch
+            if not len(rows):
+                continue
+            key = np.stack([rows.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
+            yield links(rows, cuts)
+            held = [rows.slice(cuts[-1])]
+        if held:
+            yield links(held[0], [0, len(held[0])])
 
-    return materialize(met.select("a", "b", "text_a", "text_b").mapInArrow(confirmed, f"a {kind}, b {kind}").distinct(), "links")
+    found = rows.mapInArrow(compared, f"a {kind.simpleString()}, b {kind.simpleString()}")
+    return materialize(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
 
 
 def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,21 +289,15 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, key: str = "do
     best = shared.groupBy("rep").agg(F.max(F.struct("k", F.struct("low"))).alias("best"))
     first = materialize(best.select(F.col("rep").alias("a"), F.col("best.col2.low").alias("b")), "pairs")
     texts = df.select(F.col(key).alias("node"), F.col(text).alias("text"))
-    links = _confirm(first, texts, n, percent)
+    shingles = _shingle_table(texts, members.select("rep").distinct(), n)
+    links = _confirm(first, shingles, percent)
 
     known = connected_components(links)
     placed = members.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    placed = materialize(placed.select("bucket", "rep", "n", "comp"), "members")
-    mixed_up = placed.groupBy("bucket", "comp").agg(F.count("*").alias("m")).groupBy("bucket").agg(
-        F.max(F.struct("m", "comp")).alias("largest"), F.count("*").alias("parts")
-    )
-    rest = placed.join(mixed_up.where("parts > 1").select("bucket", F.col("largest.comp").alias("largest")), "bucket")
-    rest = materialize(rest, "rest")
-    out = rest.where("comp <> largest").select("bucket", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
-    cross = out.join(rest.select("bucket", "rep", "n", "comp", "largest"), "bucket").where("x_comp <> comp and (comp = largest or x < rep)").where(fits("n", "x_n"))
-    second = cross.groupBy(F.greatest("x", "rep").alias("a"), F.least("x", "rep").alias("b")).agg(F.count("*").alias("k")).where("k > 1").select("a", "b")
-    second = materialize(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = _confirm(second, texts, n, percent)
+    placed = materialize(placed.select("bucket", "rep", "comp"), "members")
+    parted = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d")
+    rest = placed.join(parted.select("bucket", "m"), "bucket")
+    more = _confirm(_join_components(rest, shingles, percent), shingles, percent)
     if not more.isEmpty():
         known = connected_components(links.unionAll(more))
 
