@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import physics
@@ -19,20 +19,21 @@ def angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("cast(l_partkey % 360 - 180 as double) as rot", "cast(l_suppkey % 171 + 5 as double) as tilt", "cast(l_linenumber * 40 as double) as psi").distinct()
 
 
-EULER = [F.col("rot"), F.col("tilt"), F.col("psi")]
+def euler() -> list[Column]:
+    return [F.col("rot"), F.col("tilt"), F.col("psi")]
 
 
 @register("euler_matrix", f"""WITH a AS ({ANGLES}), t AS (SELECT rot, tilt, psi, cos(radians(rot)) AS ca, sin(radians(rot)) AS sa, cos(radians(tilt)) AS cb, sin(radians(tilt)) AS sb, cos(radians(psi)) AS cg, sin(radians(psi)) AS sg FROM a)
 SELECT rot, tilt, psi, round(cg * cb * ca - sg * sa, 6) + 0.0 AS m11, round(-sg * cb * sa + cg * ca, 6) + 0.0 AS m22, round(sb * ca, 6) + 0.0 AS m31, round(-cg * sb, 6) + 0.0 AS m13, round(cb, 6) + 0.0 AS m33 FROM t""")
 def euler_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = physics.euler_matrix(*EULER)
+    m = physics.euler_matrix(*euler())
     found = angles(spark, sf_dir).select("rot", "tilt", "psi", m[0].alias("m11"), m[4].alias("m22"), m[6].alias("m31"), m[2].alias("m13"), m[8].alias("m33"))
     return rounded(found, "m11", "m22", "m31", "m13", "m33")
 
 
 @register("euler_roundtrip", f"""SELECT rot, tilt, psi, round(sin(radians(rot)), 5) + 0.0 AS rot_back, tilt AS tilt_back, round(cos(radians(psi)), 5) + 0.0 AS psi_back FROM ({ANGLES})""")
 def euler_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rot, tilt, psi = physics.euler_angles(physics.euler_matrix(*EULER))
+    rot, tilt, psi = physics.euler_angles(physics.euler_matrix(*euler()))
     found = angles(spark, sf_dir).select("rot", "tilt", "psi", F.sin(F.radians(rot)).alias("rot_back"), tilt.alias("tilt_back"), F.cos(F.radians(psi)).alias("psi_back"))
     return rounded(found, "rot_back", "tilt_back", "psi_back", places=5)
 
@@ -46,7 +47,7 @@ def direction_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("angular_distance", f"""WITH a AS ({ANGLES}), t AS (SELECT rot, tilt, psi, cos(radians(rot)) AS ca, sin(radians(rot)) AS sa, cos(radians(tilt)) AS cb, sin(radians(tilt)) AS sb, cos(radians(psi)) AS cg, sin(radians(psi)) AS sg FROM a)
 SELECT rot, tilt, psi, round((degrees(acos(greatest(-1, least(1, cg * cb * ca - sg * sa)))) + degrees(acos(greatest(-1, least(1, -sg * cb * sa + cg * ca)))) + degrees(acos(greatest(-1, least(1, cb))))) / 3, 5) AS distance FROM t""")
 def angular_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    here = physics.euler_matrix(*EULER)
+    here = physics.euler_matrix(*euler())
     none = [F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)]
     return rounded(angles(spark, sf_dir).select("rot", "tilt", "psi", physics.axis_distance(here, none).alias("distance")), "distance", places=5)
 
