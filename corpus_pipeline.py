@@ -59,7 +59,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(docs, path, pattern), path, pattern, out="__decoded")
+    both = bpe.round_trip(docs, path, pattern, out="__decoded")
     same = F.col("__decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return both.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 

@@ -224,16 +224,46 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path, pattern)
         for batch in batches:
-            flat, counts = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
-            for ids, n in bpe.pool.encode_array(batch, SLICE_CHARS):
-                flat.append(ids)
-                counts.append(n)
-            offsets = np.cumsum(np.concatenate(counts)).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))
+            yield _ids(bpe, batch)
 
     return df.withColumn(out, ids_of(F.col(text)))
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """encode() and decode() of the ids that it gives, in one pass: the ids don't go back to a second Python worker."""
+    prepare(df.sparkSession)
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = load(path, pattern)
+        for batch in batches:
+            found = _ids(bpe, batch)
+            yield pa.StructArray.from_arrays([found, _bytes(bpe, found)], ["ids", "decoded"])
+
+    both = df.withColumn("__both", both_of(F.col(text)))
+    return both.withColumn(ids, F.col("__both.ids")).withColumn(out, F.col("__both.decoded")).drop("__both")
+
+
+def _ids(bpe: ByteBpe, texts: pa.Array) -> pa.ListArray:
+    flat, counts = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+    for ids, n in bpe.pool.encode_array(texts, SLICE_CHARS):
+        flat.append(ids)
+        counts.append(n)
+    offsets = np.cumsum(np.concatenate(counts)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))
+
+
+def _bytes(bpe: ByteBpe, lists: pa.ListArray) -> pa.Array:
+    lists = lists.fill_null([]) if lists.null_count else lists
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    if ids.dtype.kind == "f":
+        raise ValueError("a null among the ids")
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    before = np.concatenate([[0], np.cumsum(bpe.n_bytes[ids])])
+    ends = before[offsets - offsets[0]].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(bpe.decode(ids))])
+
+
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the column out: the bytes (binary) that the ids stand for.
 
@@ -246,13 +276,6 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path, pattern)
         for batch in batches:
-            batch = batch.fill_null([]) if batch.null_count else batch
-            ids = batch.flatten().to_numpy(zero_copy_only=False)
-            if ids.dtype.kind == "f":
-                raise ValueError("a null among the ids")
-            offsets = batch.offsets.to_numpy().astype(np.int64)
-            before = np.concatenate([[0], np.cumsum(bpe.n_bytes[ids])])
-            ends = before[offsets - offsets[0]].astype(np.int32)
-            yield pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(bpe.decode(ids))])
+            yield _bytes(bpe, batch)
 
     return df.withColumn(out, bytes_of(F.col(ids)))

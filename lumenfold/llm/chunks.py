@@ -78,7 +78,7 @@ class ChunkPool:
 
     BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
-    def __init__(self, encode_new, whole: tuple[bytes, ...] = (), limit: int = 500_000, limit_ids: int = 4_000_000):
+    def __init__(self, encode_new, whole: tuple[bytes, ...] = (), limit: int = 300_000, limit_ids: int = 2_500_000):
         """whole: strings that must not be cut; a slice that holds one is cut at white space alone."""
         self.encode_new, self.whole, self.limit, self.limit_ids = encode_new, whole, limit, limit_ids
         self.powers: list[np.ndarray] = [np.ones(1, np.uint64)] * 2

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from lumenfold.session import ship_package
 
 #: Rows and bytes of an Arrow batch: bounds what a Python worker holds at once, however long texts are.
-BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 #: Characters of text that an operator takes from a batch at once.
 SLICE_CHARS = 1 << 19
 

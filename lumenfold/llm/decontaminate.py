@@ -21,13 +21,14 @@ from lumenfold.llm.common import prepare, text_slices
 BLOCK_WORDS = 1_000_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:int,end:int>>>"
+RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:int,end:int>>,cleaned:string>"
 _ARROW = pa.struct(
     [
         ("n_words", pa.int64()),
         ("n_hit", pa.int64()),
         ("items", pa.list_(pa.string())),
         ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+        ("cleaned", pa.string()),
     ]
 )
 
@@ -155,8 +156,10 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[str, l
     yield block
 
 
-def find_leaks(df: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "leaks") -> DataFrame:
-    """df with the struct out: n_words, n_hit, items (sorted ids as strings) and spans of hit words.
+def find_leaks(df: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "leaks", longest: int = 0) -> DataFrame:
+    """df with the struct out: n_words, n_hit, items (sorted ids as strings), spans of hit words and cleaned.
+
+    cleaned is the text without the spans of over `longest` words; null where nothing is cut.
 
     A window is `window` consecutive item words, or a whole item of fewer. Spans are merged and count words
     from 0, end excluded. Null and empty texts have no words, items without words no windows; items that share
@@ -167,11 +170,11 @@ def find_leaks(df: DataFrame, items: DataFrame, window: int = 10, text: str = "t
     found = df.withColumn(out, F.lit(None).cast(RESULT))
     for block in _blocks(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(Automaton(block, window))
-        found = found.withColumn(out, _pass(shared)(F.col(text), F.col(out)))
+        found = found.withColumn(out, _pass(shared, longest)(F.col(text), F.col(out)))
     return found
 
 
-def _pass(shared):
+def _pass(shared, longest: int):
     @F.arrow_udf(RESULT)
     def leaks(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         automaton = shared.value
@@ -186,7 +189,8 @@ def _pass(shared):
                         items |= set(old["items"])
                         spans = _merged(spans + [(s["start"], s["end"]) for s in old["spans"]])
                     n_hit = sum(b - a for a, b in spans)
-                    rows.append({"n_words": len(words), "n_hit": n_hit, "items": sorted(items), "spans": [{"start": a, "end": b} for a, b in spans]})
+                    cut = [(a, b) for a, b in spans if b - a > longest]
+                    rows.append({"cleaned": cut_spans(text, cut) if cut else None, "n_words": len(words), "n_hit": n_hit, "items": sorted(items), "spans": [{"start": a, "end": b} for a, b in spans]})
             yield pa.array(rows, _ARROW)
 
     return leaks
@@ -213,21 +217,10 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[end:]]).decode()
 
 
-def remove_leaks(df: DataFrame, text: str = "text", leaks: str = "leaks", longest: int = 0, coverage: float = 0.5) -> DataFrame:
-    """df without documents whose hit share exceeds coverage, and without the hit spans of over `longest` words.
+def remove_leaks(df: DataFrame, text: str = "text", leaks: str = "leaks", coverage: float = 0.5) -> DataFrame:
+    """df without documents whose hit share exceeds coverage, and with the cleaned texts of the others.
 
     Works on the column that find_leaks() adds, and keeps it. A document without words stays as it is.
     """
-    prepare(df.sparkSession)
-
-    @F.arrow_udf("string")
-    def cleaned(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, spans in batches:
-            out = []
-            for some, text in zip(spans.to_pylist(), texts.to_pylist()):
-                cut = [(s["start"], s["end"]) for s in some if s["end"] - s["start"] > longest]
-                out.append(cut_spans(text, cut) if cut else text)
-            yield pa.array(out, pa.string())
-
-    clean = df.where((F.col(leaks)["n_hit"] <= coverage * F.col(leaks)["n_words"]))
-    return clean.withColumn(text, cleaned(F.col(text), F.col(leaks)["spans"]))
+    clean = df.where(F.col(leaks)["n_hit"] <= coverage * F.col(leaks)["n_words"])
+    return clean.withColumn(text, F.coalesce(F.col(leaks)["cleaned"], F.col(text)))

@@ -35,7 +35,7 @@ BLOCK = 1024
 #: Cells of an incidence matrix at most.
 CELLS = 4 << 20
 #: Words whose hashes a worker keeps; when full the store starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _STEP = np.uint64(0x9E3779B97F4A7C15)

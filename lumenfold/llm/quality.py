@@ -23,7 +23,7 @@ from lumenfold.llm.common import SAMPLE_ROWS, labelled_sample, prepare, text_sli
 
 BITS = 18
 #: Words whose scores a worker keeps; when full the store starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 _SHAPES = [(re.compile("[^\\W\\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1")]
 
 

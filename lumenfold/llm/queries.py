@@ -192,7 +192,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode(bpe.encode(documents, path, pattern), path, pattern)
+    both = bpe.round_trip(documents, path, pattern)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

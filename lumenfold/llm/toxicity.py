@@ -26,7 +26,7 @@ from lumenfold.session import materialize
 
 #: Labelled documents that the word odds and the logistic function are fitted on at most.
 SAMPLE_ROWS = 20_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 KEPT_SPANS = 50_000
 PREFIXES = (4, 5, 6)
 #: Minimum hashes by which near copies among the labelled documents count once.

@@ -71,6 +71,7 @@ def test_op10_encodes_like_the_library(spark, sf_dir, documents, odd, empty):
         assert got[doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[doc_id].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     both = bpe.decode(bpe.encode(odd, path, P.PATTERN), path, P.PATTERN)
+    assert sorted(map(repr, bpe.round_trip(odd, path, P.PATTERN).collect())) == sorted(map(repr, both.collect()))
     for r in both.collect():
         assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
     assert bpe.encode(empty, path, P.PATTERN).count() == 0
