@@ -168,7 +168,7 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> None:
             save_references(f"{o['o']}_class{row['ClassNumber']}.mrcs", latent.nodes)
         return None
     if command == "reconstruct":
-        volume = estimators.reconstruct_volume(_shifted(rows), int(o["pad"]), angles=("AngleRot", "AngleTilt", "AnglePsi"))
+        volume = estimators.reconstruct_volume(_shifted(rows), int(o["pad"]), angles=("AngleRot", "AngleTilt", "AnglePsi"), rounds=int(o["iter"]))
         return stacks.write_mrc(o["o"], volume.astype(np.float32), float(o["angpix"]))
     if command == "map3d":
         from lumenfold.operators.sampling import healpix_directions

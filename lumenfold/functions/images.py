@@ -137,13 +137,114 @@ def scatter(data: np.ndarray, weight: np.ndarray, image: np.ndarray, matrix: np.
                 np.add.at(weight, (z[ok], y[ok], x[ok]), (share * w)[ok])
 
 
-def reconstruct(data: np.ndarray, weight: np.ndarray, n: int, pad: int = 2) -> np.ndarray:
-    """The volume of a padded transform and its weights: Wiener division, crop and gridding correction."""
+def reconstruct(data: np.ndarray, weight: np.ndarray, n: int, pad: int = 2, rounds: int = 0) -> np.ndarray:
+    """The volume of a padded transform and its weights: division, crop and gridding correction.
+
+    With rounds, the division is by weights that make the blurred density of samples even.
+    """
     m = data.shape[0]
-    value = np.where(weight > 1e-3, data / np.maximum(weight, 1e-3), 0)
+    value = data * gridding_weights(weight, rounds) if rounds else np.where(weight > 1e-3, data / np.maximum(weight, 1e-3), 0)
     big = np.fft.fftshift(np.fft.ifftn(np.fft.ifftshift(value))).real
     o = (m - n) // 2
     out = big[o : o + n, o : o + n, o : o + n]
     z, y, x = np.mgrid[:n, :n, :n] - n // 2
     r = np.sqrt(z * z + y * y + x * x) / m
     return out / np.maximum(np.sinc(r) ** 2, 1e-3)
+
+
+def elliptical_low_pass(image: np.ndarray, rx: float, ry: float, width: float = 1.0) -> np.ndarray:
+    """A low pass with an elliptic edge, on the image padded to twice its size with the mean of its border."""
+    n = image.shape[0]
+    border = np.concatenate([image[0], image[-1], image[1:-1, 0], image[1:-1, -1]]).mean()
+    big = np.full((2 * n, 2 * n), border)
+    big[:n, :n] = image
+    ky, kx = np.fft.fftfreq(2 * n)[:, None] * 2 * n, np.fft.rfftfreq(2 * n) * 2 * n
+    r = np.sqrt((kx / (2 * rx)) ** 2 + (ky / (2 * ry)) ** 2)
+    edge = width / min(rx, ry)
+    return np.fft.irfft2(np.fft.rfft2(big) * cosine_weights(r, 1 - edge / 2, edge), s=big.shape)[:n, :n]
+
+
+def rotate_fourier(image: np.ndarray, degrees: float, pad: int = 2) -> np.ndarray:
+    """Rotation about the centre by bilinear values of the padded transform."""
+    n = image.shape[0]
+    m = n * pad
+    o = (m - n) // 2
+    big = np.zeros((m, m))
+    big[o : o + n, o : o + n] = image
+    f = np.fft.fftshift(np.fft.fft2(np.fft.ifftshift(big)))
+    ky, kx = np.mgrid[:n, :n] - n // 2
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    y, x = pad * (-s * kx + c * ky) + m // 2, pad * (c * kx + s * ky) + m // 2
+    plane = trilinear(f[None], np.zeros_like(y), y, x)
+    return np.fft.fftshift(np.fft.ifft2(np.fft.ifftshift(plane))).real
+
+
+def symmetrise(data: np.ndarray, weight: np.ndarray, operations: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A padded transform and its weights summed over the operations of a group."""
+    m = data.shape[0]
+    z, y, x = np.mgrid[:m, :m, :m] - m // 2
+    at = np.stack([x, y, z], -1).astype(float)
+    total, heavy = np.zeros_like(data), np.zeros_like(weight)
+    for r in operations:
+        to = at @ r.T + m // 2
+        total += trilinear(data, to[..., 2], to[..., 1], to[..., 0])
+        heavy += trilinear(weight, to[..., 2], to[..., 1], to[..., 0])
+    return total, heavy
+
+
+def hermitian(data: np.ndarray) -> np.ndarray:
+    """A centred transform averaged with its mirrored conjugate, as real volumes have."""
+    mirrored = np.conj(data[::-1, ::-1, ::-1])
+    out = data.copy()
+    if data.shape[0] % 2:
+        return (data + mirrored) / 2
+    inner = data[1:, 1:, 1:]
+    out[1:, 1:, 1:] = (inner + np.conj(inner[::-1, ::-1, ::-1])) / 2
+    return out
+
+
+def gridding_weights(weight: np.ndarray, rounds: int = 10, radius: float = 1.9, alpha: float = 15.0) -> np.ndarray:
+    """Weights by which a transform is multiplied so that, blurred by the blob, the density of samples is even."""
+    from lumenfold.functions.numerics import kaiser_blob
+
+    m = weight.shape[0]
+    z, y, x = np.mgrid[:m, :m, :m] - m // 2
+    blob = kaiser_blob(np.sqrt(z * z + y * y + x * x), radius, alpha)
+    transfer = np.fft.fftn(np.fft.ifftshift(blob / blob.sum()))
+    out = np.where(weight > 0, 1.0, 0.0)
+    for _ in range(rounds):
+        even = np.abs(np.fft.ifftn(np.fft.fftn(out * weight) * transfer))
+        out = out / np.maximum(even, 1e-6)
+    return out
+
+
+def wiener_weights(weight: np.ndarray, tau2: np.ndarray, pad: int, fudge: float = 1.0, first: int = 5) -> np.ndarray:
+    """Weights with 1 / (pad^3 fudge tau2) of each shell added beyond the first shells; 1 / 1000 of themselves without signal."""
+    m = weight.shape[0]
+    z, y, x = np.mgrid[:m, :m, :m] - m // 2
+    shell = np.round(np.sqrt(z * z + y * y + x * x) / pad).astype(int)
+    inside = shell < len(tau2)
+    t = np.where(inside, tau2[np.minimum(shell, len(tau2) - 1)], 0.0)
+    more = np.where(t > 0, 1 / np.maximum(pad**3 * fudge * t, 1e-300), 1 / np.maximum(0.001 * weight, 1e-300))
+    return np.where(inside & (shell >= first) & (weight > 0), weight + more, weight)
+
+
+def spline_zoom(a: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Cubic interpolation through the samples that maps corners to corners, with natural ends."""
+    for axis, n in enumerate(shape):
+        a = np.moveaxis(a, axis, 0)
+        m = len(a)
+        if m < 3 or n < 2:
+            return np.moveaxis(a, 0, axis)
+        # second derivatives of a natural spline
+        system = np.diag(np.full(m, 4.0)) + np.diag(np.ones(m - 1), 1) + np.diag(np.ones(m - 1), -1)
+        system[0], system[-1] = np.eye(m)[0], np.eye(m)[-1]
+        right = np.zeros_like(a, float)
+        right[1:-1] = 6 * (a[2:] - 2 * a[1:-1] + a[:-2])
+        curve = np.linalg.solve(system, right.reshape(m, -1)).reshape(a.shape)
+        at = np.linspace(0, m - 1, n)
+        low = np.minimum(at.astype(int), m - 2)
+        t = (at - low).reshape(-1, *[1] * (a.ndim - 1))
+        a = (1 - t) * a[low] + t * a[low + 1] + ((1 - t) ** 3 - (1 - t)) * curve[low] / 6 + (t**3 - t) * curve[low + 1] / 6
+        a = np.moveaxis(a, 0, axis)
+    return a

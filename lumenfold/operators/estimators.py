@@ -237,7 +237,7 @@ def fine_classes(images: DataFrame, coarse: LatentMap, rounds: int, smallest: in
     return out
 
 
-def reconstruct_volume(images: DataFrame, pad: int = 2, pixels: str = "pixels", angles: tuple[str, str, str] = ("rot", "tilt", "psi")) -> np.ndarray:
+def reconstruct_volume(images: DataFrame, pad: int = 2, pixels: str = "pixels", angles: tuple[str, str, str] = ("rot", "tilt", "psi"), rounds: int = 0) -> np.ndarray:
     """The volume whose projections in the given ZYZ angles the images are; the eight-corner scatter is summed by voxel."""
     n = int(round(images.select(F.size(pixels)).first()[0] ** 0.5))
     m = n * pad
@@ -250,7 +250,7 @@ def reconstruct_volume(images: DataFrame, pad: int = 2, pixels: str = "pixels",
         return np.concatenate([data.real.ravel(), data.imag.ravel(), weight.ravel()])
 
     total = statistics(images, [pixels, *angles], fold, 3 * m**3).reshape(3, m, m, m)
-    return kernels.reconstruct(total[0] + 1j * total[1], total[2], n, pad)
+    return kernels.reconstruct(total[0] + 1j * total[1], total[2], n, pad, rounds)
 
 
 def euler(rot: float, tilt: float, psi: float) -> np.ndarray:

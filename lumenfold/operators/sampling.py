@@ -145,3 +145,42 @@ def basis_1d(grid: DataFrame, k: int, x: str = "x1") -> DataFrame:
     rows = grid.select("node", x, F.explode(F.sequence(F.lit(0), F.lit(m))).alias("m"))
     phi = F.when(F.col("m") == m, F.lit(1.0)).otherwise(F.exp(-(F.col(x) - center) * (F.col(x) - center) / (2 * width * width)))
     return rows.select("node", F.col("m").cast("long").alias("m"), phi.alias("phi"))
+
+
+def perturbed(angle: float, step: float, draw: float, order: int = 0) -> float:
+    """An accumulated random perturbation, wrapped into half a step on both sides; draw is between -1 and 1."""
+    width = step / 2**order
+    moved = angle + draw * width / 2
+    return float((moved + width / 2) % width - width / 2)
+
+
+def near_prior(grid: DataFrame, priors: DataFrame, sigma: float, reach: float = 3.0) -> DataFrame:
+    """(id, pixel, weight): directions within reach * sigma of each prior, or the nearest one, with Gaussian shares.
+
+    grid (pixel, rot, tilt) is bounded by its order and broadcast; priors have id, prior_rot and prior_tilt.
+    """
+    from pyspark.sql import Window
+
+    dot = F.expr("cos(radians(tilt)) * cos(radians(prior_tilt)) + sin(radians(tilt)) * sin(radians(prior_tilt)) * cos(radians(rot - prior_rot))")
+    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
+    met = priors.join(F.broadcast(grid), F.lit(True)).select("id", "pixel", angle.alias("angle"))
+    nearest = Window.partitionBy("id").orderBy("angle", "pixel")
+    kept = met.withColumn("k", F.row_number().over(nearest)).where((F.col("angle") <= reach * sigma) | (F.col("k") == 1))
+    weight = F.exp(-F.col("angle") * F.col("angle") / (2 * sigma * sigma))
+    return kept.select("id", "pixel", (weight / F.sum(weight).over(Window.partitionBy("id"))).alias("weight"))
+
+
+def half_space_unit(grid: DataFrame, planes: list[np.ndarray]) -> DataFrame:
+    """Directions on the inner side of all planes, given by their normals: units of tetrahedral and like groups."""
+    r, t = F.radians("rot"), F.radians("tilt")
+    v = [F.cos(r) * F.sin(t), F.sin(r) * F.sin(t), F.cos(t)]
+    out = grid
+    for n in planes:
+        out = out.where(v[0] * float(n[0]) + v[1] * float(n[1]) + v[2] * float(n[2]) >= -1e-9)
+    return out
+
+
+def unit_planes(axes: list[np.ndarray]) -> list[np.ndarray]:
+    """Normals of the planes through neighbouring axes of a unit."""
+    k = len(axes)
+    return [np.cross(axes[i], axes[(i + 1) % k]) for i in range(k)]

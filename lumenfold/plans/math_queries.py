@@ -240,3 +240,62 @@ def nearest_prior_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     dot = F.expr("cos(radians(tilt)) * cos(radians(gtilt)) + sin(radians(tilt)) * sin(radians(gtilt)) * cos(radians(rot - grot))")
     angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
     return met.groupBy("rot", "tilt").agg(F.count(F.when(angle <= 30, 1)).alias("near"), F.round(F.min(angle), 4).alias("least"))
+
+
+@register("symmetric_distance", f"""WITH a AS (SELECT DISTINCT psi + rot AS psi FROM ({ANGLES})), s AS (SELECT unnest(range(4)) * 90 AS turn)
+SELECT psi, min(least((psi + turn) - floor((psi + turn) / 360) * 360, 360 - ((psi + turn) - floor((psi + turn) / 360) * 360))) AS distance FROM a, s GROUP BY 1""")
+def symmetric_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = angles(spark, sf_dir).select((F.col("psi") + F.col("rot")).alias("psi")).distinct()
+    # the operations of a group are few: their minimum is an expression on the row
+    each = [physics.wrap(F.col("psi") + turn, 0.0, 360.0) for turn in (0, 90, 180, 270)]
+    return rows.select("psi", F.least(*[F.least(g, 360 - g) for g in each]).alias("distance"))
+
+
+@register("random_groups", """WITH m AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey * 7919 % 1009, s_suppkey) AS k, count(*) OVER () AS n FROM supplier) SELECT s_suppkey, CAST(ceil(k / (n / 10.0)) AS BIGINT) AS group_no FROM m""")
+def random_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenfold.operators.particles import with_global_index
+
+    drawn = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr("s_suppkey * 7919 % 1009").alias("draw"))
+    placed, total = with_global_index(drawn, ["draw", "s_suppkey"])
+    return placed.select("s_suppkey", F.ceil((F.col("ord") + 1) / F.lit(total / 10.0)).alias("group_no"))
+
+
+@register("data_vs_prior_gate", """SELECT event_type, CASE WHEN avg(value) / 60 > 3 THEN 'S' WHEN avg(value) / 60 > 1 THEN 'N' ELSE 'O' END AS flag FROM events GROUP BY 1""")
+def data_vs_prior_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratio = F.avg("value") / 60
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.when(ratio > 3, "S").when(ratio > 1, "N").otherwise("O").alias("flag"))
+
+
+@register("resolution_range", """SELECT event_id, CAST(floor(value / 50) AS BIGINT) AS ires FROM events WHERE floor(value / 50) > 0 AND floor(value / 50) < 8""")
+def resolution_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.floor(F.col("value") / 50).alias("ires")).where("ires > 0 and ires < 8")
+
+
+@register("downsampled_average", f"""WITH {PX} SELECT label, CAST(round(y / 2.0) AS BIGINT) AS y, CAST(round(x / 2.0) AS BIGINT) AS x, round(sum(v * (1 + p % 3)) / sum(1 + p % 3), 6) + 0.0 AS v FROM px GROUP BY ALL""")
+def downsampled_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small = pixels(spark, sf_dir).select("label", physics.half_away(F.col("y") / 2).cast("long").alias("y"), physics.half_away(F.col("x") / 2).cast("long").alias("x"), "v", F.expr("1 + p % 3").alias("w"))
+    return rounded(small.groupBy("label", "y", "x").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v")), "v")
+
+
+@register("direction_of_vector", f"""SELECT rot, tilt, psi, round(tilt, 4) AS tilt_back, round(cos(radians(rot)), 5) + 0.0 AS rot_back FROM ({ANGLES})""")
+def direction_of_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rot, tilt = physics.direction_angles(physics.direction(F.col("rot"), F.col("tilt")))
+    found = angles(spark, sf_dir).select("rot", "tilt", "psi", F.round(tilt, 4).alias("tilt_back"), F.cos(F.radians(rot)).alias("rot_back"))
+    return rounded(found, "rot_back", places=5)
+
+
+@register("column_minimum_mean", """SELECT round(min(value), 6) AS least, round(avg(value), 6) AS mean FROM events""")
+def column_minimum_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").agg(F.round(F.min("value"), 6).alias("least"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@register("array_reductions", f"""WITH {PX} SELECT vec_id, round(min(v), 6) AS least, round(max(v), 6) AS most, round(sum(v), 5) + 0.0 AS total, round(sqrt(sum(v * v)), 6) AS norm, arg_max(p, v) AS place, bool_or(v > 0.3) AS any_high, count(*) FILTER (WHERE v > 0) AS positive FROM px GROUP BY 1""")
+def array_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.col("pixels")
+    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    found = images(spark, sf_dir).select(
+        "vec_id", F.round(F.array_min(a), 6).alias("least"), F.round(F.array_max(a), 6).alias("most"), (F.round(total, 5) + F.lit(0.0)).alias("total"),
+        F.round(F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"), (F.array_position(a, F.array_max(a)) - 1).alias("place"),
+        F.exists(a, lambda x: x > 0.3).alias("any_high"), F.size(F.filter(a, lambda x: x > 0)).cast("long").alias("positive"),
+    )
+    return found

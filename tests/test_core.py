@@ -93,6 +93,7 @@ def test_projection_and_reconstruction(spark):
     df = table_of(spark, images, rot=[a[0] for a in angles], tilt=[a[1] for a in angles], psi=[a[2] for a in angles])
     back = estimators.reconstruct_volume(df)
     assert np.corrcoef(back.ravel(), volume.ravel())[0, 1] > 0.9
+    assert np.corrcoef(estimators.reconstruct_volume(df, rounds=5).ravel(), volume.ravel())[0, 1] > 0.8
 
 
 def test_classes_2d_find_two_kinds(spark):
@@ -198,3 +199,48 @@ def test_grids_and_groups(spark):
     assert sampling.asymmetric_unit(grid, "C", 2).count() in range(24, 30)
     with pytest.raises(ValueError):
         sampling.asymmetric_unit(grid, "Q")
+
+
+def test_more_kernels():
+    rng = np.random.default_rng(8)
+    y, x = np.mgrid[:16, :16] - 8
+    image = np.exp(-((x - 2) ** 2 + y**2) / 8)
+    assert np.corrcoef(kernels.rotate_fourier(image, 90)[2:14, 2:14].ravel(), kernels.rotate(image, 90)[2:14, 2:14].ravel())[0, 1] > 0.98
+    flat = kernels.elliptical_low_pass(rng.normal(size=(16, 16)), 2, 4)
+    assert flat.std() < 0.8
+    data, weight = rng.normal(size=(8, 8, 8)) + 0j, np.ones((8, 8, 8))
+    total, heavy = kernels.symmetrise(data, weight, sampling.point_group("C2"))
+    assert total[4, 4, 4] == pytest.approx(2 * data[4, 4, 4]) and heavy[4, 4, 4] == pytest.approx(2)
+    h = kernels.hermitian(data)
+    assert np.allclose(h[1:, 1:, 1:], np.conj(h[1:, 1:, 1:][::-1, ::-1, ::-1]))
+    uneven = np.where(x[:8, :8, None] + np.zeros(8) > -4, 4.0, 1.0)
+    even = kernels.gridding_weights(uneven)
+    assert (even * uneven).std() < uneven.std() / 4
+    assert (kernels.wiener_weights(weight, np.full(4, 0.5), 1) >= weight).all()
+    assert kernels.spline_zoom(np.sin(np.arange(9) / 2), (17,))[::2] == pytest.approx(np.sin(np.arange(9) / 2))
+
+
+def test_symmetry_files_reports_and_state(spark, tmp_path):
+    from lumenfold.sources import reports
+
+    assert len(reports.parse_symmetry("rot_axis 3 0 0 1 ; z\n# none\nmirror_plane 0 0 1\n")) == 6
+    assert len(reports.parse_symmetry("D4")) == 8
+    counts = sampling.directions(spark, 0).withColumn("n", F.col("pixel") + 1)
+    lines = [r.line for r in reports.orientation_lines(counts).collect()]
+    assert len(lines) == 12 and all(".cylinder" in line for line in lines)
+    assert "open #0 a.mrc" in reports.viewer_script("a.mrc", "r.mrc", 3, 9)
+    for i in (1, 2, 2):
+        reports.save_state(spark, str(tmp_path / "state"), i, {"w": np.arange(6.0).reshape(2, 3) * i}, {"sigma2": 0.5})
+    last, arrays, values = reports.load_state(spark, str(tmp_path / "state"))
+    assert last == 2 and np.array_equal(arrays["w"], np.arange(6.0).reshape(2, 3) * 2) and values == {"sigma2": 0.5}
+
+
+def test_priors_and_units(spark):
+    grid = sampling.directions(spark, 2)
+    priors = spark.createDataFrame([(1, 0.0, 45.0), (2, 100.0, 90.0)], "id int, prior_rot double, prior_tilt double")
+    near = sampling.near_prior(grid, priors, 5.0)
+    assert near.groupBy("id").agg(F.sum("weight").alias("s")).where("abs(s - 1) > 1e-9").count() == 0
+    assert sampling.near_prior(grid, priors, 1e-3).count() == 2
+    z, a, b = np.array([0, 0, 1.0]), np.array([1.0, 0, 1]), np.array([1.0, 1, 1])
+    assert 0 < sampling.half_space_unit(grid, sampling.unit_planes([z, a, b])).count() < 30
+    assert abs(sampling.perturbed(0.0, 10.0, 0.7, 1)) <= 2.5
