@@ -1,7 +1,10 @@
 """The pipeline's stages against brute force on a small fixture."""
 
+import pytest
+
 import corpus_pipeline
-from tests.llm.test_llm import brute_components, brute_leaks
+from lumenfold.llm import quality, quality_rules, toxicity
+from tests.llm.test_llm import ODD, brute_components, brute_leaks
 
 
 def test_stages_keep_the_columns_and_take_effect(spark):
@@ -26,3 +29,26 @@ def test_stages_keep_the_columns_and_take_effect(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "ids", "n_tokens"} <= set(out.columns) and out.count() > 50
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_and_empty_tables(spark, sf_dir, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows = [(i, t, None, None, None, 1) for i, t in enumerate(ODD)] + [(None, "null key", "en", "s", 0, 2), (4, "a", "en", "s", 0, 3)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score long")
+    out = stage(spark, odd, sf_dir)
+    assert set(odd.columns) <= set(out.columns) and out.count() <= odd.count()
+    if name == "byte-level BPE":
+        assert out.count() == odd.count() and out.where("not round_trip").count() == 0
+    assert stage(spark, odd.where("false"), sf_dir).count() == 0
+
+
+def test_training_without_labels(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(5)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.rate(docs, quality.train(docs, labels)).count() == 5
+    assert quality_rules.label_lines(docs, quality_rules.train(docs, labels)).count() == 5
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).select("toxicity.score").collect()
+    assert len(scored) == 5 and all(0 <= r.score < 0.5 for r in scored)
+    nulls = spark.createDataFrame([(1, None, None), (None, 1, 1), (2, 1, None)], "doc_id long, quality int, toxic int")
+    assert quality.rate(docs, quality.train(docs, nulls)).count() == 5 and toxicity.score(docs, toxicity.train(docs, nulls)).count() == 5
