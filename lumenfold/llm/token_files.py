@@ -35,7 +35,7 @@ MAGIC = b"RPG1"
 SHARD_IDS = 1_000_000
 #: A pair is replaced where it stands this often in a shard.
 LEAST = 24
-ROUNDS = 5
+ROUNDS = 3
 #: Buckets in which pairs are counted first, as a power of two.
 HASH_BITS = 20
 RULES_A_ROUND = 8192
@@ -50,7 +50,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.pool = ChunkPool(self.encode_new, special)
+        self.pool = ChunkPool(self.encode_new, special, limit=600_000, limit_ids=5_000_000)
 
     def encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
