@@ -59,7 +59,8 @@ def fourier(df: DataFrame, pixels: str = "pixels", out: str = "spectrum") -> Dat
 def long_spectrum(df: DataFrame, spectrum: str = "spectrum") -> DataFrame:
     """One row a Fourier pixel, with its shell; spectra stay beside their images until here, so nothing is shuffled."""
     other = [c for c in df.columns if c != spectrum]
-    long = df.select(*other, F.explode(spectrum).alias("__s")).select(*other, "__s.*")
+    # an inner explode would infer a filter on its array, and the transform would run once more for it
+    long = df.select(*other, F.explode_outer(spectrum).alias("__s")).select(*other, "__s.*").where("kx is not null")
     return long.withColumn("shell", F.round(F.sqrt(F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky"))).cast("int"))
 
 
