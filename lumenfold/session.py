@@ -55,8 +55,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, which clear_scratch() removes."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    if not hasattr(context, "_lumenfold_paths"):
+        context._lumenfold_paths = set()
+    context._lumenfold_paths.add(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, what: str = "table") -> DataFrame:
@@ -64,4 +74,21 @@ def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lumenfold_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize() wrote for these tables; no plan that reads them may run any more."""
+    for df in tables:
+        if path := getattr(df, "_lumenfold_path", None):
+            _delete(df.sparkSession, path)
+            getattr(df.sparkSession.sparkContext, "_lumenfold_paths", set()).discard(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all shared tables of this session, once their results have been read."""
+    paths = getattr(spark.sparkContext, "_lumenfold_paths", set())
+    while paths:
+        _delete(spark, paths.pop())
