@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.session import materialize
+from lumenfold.session import discard, materialize
 
 
 def _follow(df: DataFrame, column: str, parents: DataFrame) -> DataFrame:
@@ -23,21 +23,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     to the shared folder. Edges with a null end, loops and repeated edges change nothing.
     """
     left = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    left = materialize(left, "edges")
+    current = left = materialize(left, "edges")
     labels = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
+    labels = materialize(labels, "labels")
     while not left.isEmpty():
-        parents = materialize(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")), "hooks")
+        parents = hooks = materialize(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")), "hooks")
         while True:
             two = parents.select(F.col("node").alias("__node"), F.col("parent").alias("__parent"))
             jumped = parents.join(two, parents["parent"] == two["__node"], "left").select(
                 "node", F.coalesce("__parent", "parent").alias("parent"), F.col("__parent").isNotNull().alias("moved")
             )
             jumped = materialize(jumped, "hooks")
-            parents = jumped.drop("moved")
+            discard(hooks)
+            hooks, parents = jumped, jumped.drop("moved")
             if jumped.where("moved").isEmpty():
                 break
+        old = labels
         labels = materialize(_follow(labels, "component", parents), "labels")
+        discard(old)
         redrawn = _follow(_follow(left, "a", parents), "b", parents)
         left = redrawn.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-        left = materialize(left, "edges")
+        before, left = current, materialize(left, "edges")
+        discard(before, hooks)
+        current = left
     return labels

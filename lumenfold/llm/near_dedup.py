@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import prepare, text_slices
 from lumenfold.llm.components import connected_components
-from lumenfold.session import materialize
+from lumenfold.session import discard, materialize
 
 BANDS, ROWS = 48, 5
 #: Members of a bucket that one block holds, on average.
@@ -295,11 +295,16 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, key: str = "do
     known = connected_components(links)
     placed = members.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     placed = materialize(placed.select("bucket", "rep", "comp"), "members")
+    discard(members, first)
     parted = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d")
     rest = placed.join(parted.select("bucket", "m"), "bucket")
-    more = _confirm(_join_components(rest, shingles, percent), shingles, percent)
+    pairs = _join_components(rest, shingles, percent)
+    more = _confirm(pairs, shingles, percent)
+    discard(placed, pairs, shingles)
     if not more.isEmpty():
+        discard(known)
         known = connected_components(links.unionAll(more))
+    discard(links, more)
 
     by_set = sketches.select("node", "n_shingles", "set_hash").join(sets.select("set_hash", "rep"), "set_hash", "left")
     found = by_set.join(known.withColumnRenamed("node", "rep"), "rep", "left")
