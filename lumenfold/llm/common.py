@@ -29,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table; one in fewer partitions than there are cores, as of one small file, is dealt out evenly."""
+    df = table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_CHARS) -> Iterator[list[str]]:
     """Texts of a string array (null: empty) in lists of bounded size; a longer text comes alone."""
     some: list[str] = []

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import bpe, chat_format, decontaminate, near_dedup, quality, quality_rules, token_counts, token_files, toxicity, url_filters
-from lumenfold.llm.common import table, trains
+from lumenfold.llm.common import spread_table, table, trains
 from lumenfold.session import shared_path
 
 
@@ -20,7 +20,7 @@ def _tokenizer(name: str) -> str:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; the labels of the held-out third are not read."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread_table(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.train(documents, table(spark, sf_dir, "labels"))
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", (~trains()).alias("held_out"), F.col("toxicity.score").alias("score")).select(
@@ -30,7 +30,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the windows of ten words of every benchmark item."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread_table(spark, sf_dir, "documents", "doc_id", "text")
     found = decontaminate.find_leaks(documents, table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "leaks.*").select(
         "doc_id",
@@ -106,7 +106,7 @@ FROM captures c LEFT JOIN met m ON c.page_id = m.page_id GROUP BY c.page_id
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and probability of good quality of every document."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread_table(spark, sf_dir, "documents", "doc_id", "text")
     model = quality.train(documents, table(spark, sf_dir, "labels"))
     rated = quality.rate(documents, model).select("doc_id", "rating.*")
     return rated.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("kept"))
@@ -114,7 +114,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under piece_bpe_32k.model."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread_table(spark, sf_dir, "documents", "doc_id", "text")
     counted = token_counts.count_tokens(documents, _tokenizer("piece_bpe_32k.model"))
     return counted.select(
         "doc_id",
@@ -167,7 +167,7 @@ FROM marked GROUP BY conv_id
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near copies among all documents: 2-word shingles, similarity of 0.8 or more."""
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=2, percent=80)
+    return near_dedup.near_duplicates(spread_table(spark, sf_dir, "documents", "doc_id", "text"), n=2, percent=80)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +180,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of line labelling for every document."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread_table(spark, sf_dir, "documents", "doc_id", "text")
     field = quality_rules.train(documents, table(spark, sf_dir, "labels"))
     labelled = quality_rules.label_lines(documents, field).select("doc_id", "rules.*")
     return labelled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
@@ -191,7 +191,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread_table(spark, sf_dir, "documents", "doc_id", "text")
     both = bpe.round_trip(documents, path, pattern)
     return both.select(
         "doc_id",
