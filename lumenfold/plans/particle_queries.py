@@ -259,3 +259,30 @@ def scale_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scale = F.col("s_acctbal") / 5000
     checked = F.when(scale > 10000, F.raise_error(F.lit("scale correction out of range")).cast("double")).when(scale < 0.001, F.lit(0.001)).otherwise(F.round(scale, 6))
     return table(spark, sf_dir, "supplier").select("s_suppkey", checked.alias("scale"))
+
+
+@register("group_noise_join", f"""WITH {PARTICLES}, s AS (SELECT group_name, avg(l_tax) AS sigma2 FROM particles GROUP BY 1)
+SELECT p.group_name, class_no, round(sum(pmax / sigma2), 4) AS weight FROM particles p JOIN s ON p.group_name = s.group_name GROUP BY ALL""")
+def group_noise_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = particles(spark, sf_dir)
+    noise = rows.groupBy("group_name").agg(F.avg("l_tax").alias("sigma2"))
+    # one row a group: small beside the particles, and left to the optimiser to broadcast
+    return rows.join(noise, "group_name").groupBy("group_name", "class_no").agg(F.round(F.sum(F.col("pmax") / F.col("sigma2")), 4).alias("weight"))
+
+
+@register("coarse_children", """SELECT l_suppkey * 4 + c AS fine, count(*) AS n FROM lineitem, (SELECT unnest(range(4)) AS c) WHERE l_discount > 0.08 GROUP BY 1""")
+def coarse_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = table(spark, sf_dir, "lineitem").where("l_discount > 0.08").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    # counts are made before points are expanded into their children
+    return kept.select(F.explode(F.expr("transform(sequence(0, 3), c -> l_suppkey * 4 + c)")).alias("fine"), "n")
+
+
+@register("mask_difference", """SELECT count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS first_only FROM (SELECT value > 100 AS a, event_type = 'click' AS b FROM events)""")
+def mask_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("value") > 100, F.col("event_type") == "click"
+    return table(spark, sf_dir, "events").agg(F.count(F.when(a & b, 1)).alias("both"), F.count(F.when(a & ~b, 1)).alias("first_only"))
+
+
+@register("star_row_count", """SELECT count(*) AS n FROM part WHERE contains(p_brand || '.mrcs', '.mrcs')""")
+def star_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where(F.concat("p_brand", F.lit(".mrcs")).contains(".mrcs")).agg(F.count("*").alias("n"))
