@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import prepare, text_slices
+from lumenfold.session import materialize
 
-#: Item words in one broadcast automaton; a longer benchmark goes in blocks, each a pass of its own.
-BLOCK_WORDS = 1_000_000
+#: Item words in one broadcast automaton (some 50 MB in a worker); a longer benchmark goes in blocks, each a pass
+#: of its own over a written table, so that a task holds one automaton at a time.
+BLOCK_WORDS = 100_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:int,end:int>>,cleaned:string>"
@@ -168,7 +170,8 @@ def find_leaks(df: DataFrame, items: DataFrame, window: int = 10, text: str = "t
     """
     spark: SparkSession = prepare(df.sparkSession)
     found = df.withColumn(out, F.lit(None).cast(RESULT))
-    for block in _blocks(items, item_id, item_text):
+    for k, block in enumerate(_blocks(items, item_id, item_text)):
+        found = materialize(found, "leaks") if k else found
         shared = spark.sparkContext.broadcast(Automaton(block, window))
         found = found.withColumn(out, _pass(shared, longest)(F.col(text), F.col(out)))
     return found
