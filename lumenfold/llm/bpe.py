@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.chunks import ChunkPool
-from lumenfold.llm.common import SLICE_CHARS, prepare
+from lumenfold.llm.common import SLICE_CHARS, begin, finish, holds, prepare
 
 #: No rank: larger than any.
 NONE = np.int32(2**31 - 1)
@@ -211,6 +211,9 @@ def load(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+holds("bpe", load.cache_clear)
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with the column out: the ids (array of int) of each whole text under the ranks in path.
 
@@ -222,9 +225,11 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begin("bpe")
         bpe = load(path, pattern)
         for batch in batches:
             yield _ids(bpe, batch)
+        finish()
 
     return df.withColumn(out, ids_of(F.col(text)))
 
@@ -235,10 +240,13 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids:
 
     @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
     def both_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begin("bpe")
         bpe = load(path, pattern)
         for batch in batches:
             found = _ids(bpe, batch)
             yield pa.StructArray.from_arrays([found, _bytes(bpe, found)], ["ids", "decoded"])
+        del found
+        finish()
 
     both = df.withColumn("__both", both_of(F.col(text)))
     return both.withColumn(ids, F.col("__both.ids")).withColumn(out, F.col("__both.decoded")).drop("__both")

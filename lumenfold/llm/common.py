@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +17,7 @@ from lumenfold.session import ship_package
 BATCH_ROWS = 1000
 BATCH_BYTES = 4 << 20
 #: Characters of text that an operator takes from a batch at once.
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 18
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -25,6 +28,32 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: How to drop the models that this Python worker holds from task to task, by operator.
+_MODELS: dict[str, Callable[[], None]] = {}
+
+
+def holds(operator: str, drop: Callable[[], None]) -> None:
+    """Tell how an operator's models are dropped when a reused worker goes on to another one."""
+    _MODELS[operator] = drop
+
+
+def begin(operator: str) -> None:
+    """At the start of a task in a worker: drop the models of other operators."""
+    for name, drop in _MODELS.items():
+        if name != operator:
+            drop()
+
+
+def finish(*stores: dict) -> None:
+    """At the end of a task in a worker: empty the stores and give free memory back, as idle workers stay alive."""
+    for store in stores:
+        store.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not a libc that trims
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import prepare, text_slices
+from lumenfold.llm.common import begin, finish, prepare, text_slices
 from lumenfold.session import materialize
 
 #: Item words in one broadcast automaton (some 50 MB in a worker); a longer benchmark goes in blocks, each a pass
@@ -180,6 +180,7 @@ def find_leaks(df: DataFrame, items: DataFrame, window: int = 10, text: str = "t
 def _pass(shared, longest: int):
     @F.arrow_udf(RESULT)
     def leaks(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        begin("decontaminate")
         automaton = shared.value
         for texts, before in batches:
             rows = []
@@ -195,6 +196,7 @@ def _pass(shared, longest: int):
                     cut = [(a, b) for a, b in spans if b - a > longest]
                     rows.append({"cleaned": cut_spans(text, cut) if cut else None, "n_words": len(words), "n_hit": n_hit, "items": sorted(items), "spans": [{"start": a, "end": b} for a, b in spans]})
             yield pa.array(rows, _ARROW)
+        finish()
 
     return leaks
 

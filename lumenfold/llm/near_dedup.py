@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import prepare, text_slices
+from lumenfold.llm.common import begin, finish, prepare, text_slices
 from lumenfold.llm.components import connected_components
 from lumenfold.session import discard, materialize
 
@@ -128,6 +128,7 @@ def _sketches(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import xxhash
 
+        begin("near_dedup")
         words = WordHashes()
         salt = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:
@@ -150,6 +151,7 @@ def _sketches(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
                 pa.array(np.arange(len(size) + 1, dtype=np.int32) * BANDS), pa.array(band.ravel()), mask=pa.array(size == 0)
             )
             yield pa.StructArray.from_arrays([pa.array(size), pa.array(digests, pa.binary()), lists], ["n_shingles", "set_hash", "bands"])
+        finish(words)
 
     rows = df.select(F.col(key).alias("node"), sketched(F.col(text)).alias("s")).select("node", "s.*")
     known = F.col("node").isNotNull()
@@ -166,6 +168,7 @@ def _shingle_table(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             sets = [words.shingles(t, n) for some in text_slices(batch) for t in some]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
+        finish(words)
 
     met = texts.join(wanted, texts["node"] == wanted["rep"], "left_semi")
     return materialize(met.select(F.col("node").alias("rep"), shingles(F.col("text")).alias("shingles")), "shingles")
@@ -260,6 +263,8 @@ def _join_components(rest: DataFrame, shingles: DataFrame, percent: int) -> Data
             held = [rows.slice(cuts[-1])]
         if held:
             yield links(held[0], [0, len(held[0])])
+        held = []
+        finish()
 
     found = rows.mapInArrow(compared, f"a {kind.simpleString()}, b {kind.simpleString()}")
     return materialize(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import SAMPLE_ROWS, labelled_sample, prepare, text_slices
+from lumenfold.llm.common import SAMPLE_ROWS, begin, finish, labelled_sample, prepare, text_slices
 
 BITS = 18
 #: Words whose scores a worker keeps; when full the store starts anew.
@@ -159,6 +159,7 @@ def rate(df: DataFrame, model: OrdinalModel, grade: int = 1, text: str = "text",
 
     @F.arrow_udf("struct<score:double,expected_grade:double,tail_probability:double>")
     def rating(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begin("quality")
         weights, thresholds = shared.value
         words, fitted = WordScores(weights), OrdinalModel(weights, thresholds)
         for batch in batches:
@@ -166,5 +167,6 @@ def rate(df: DataFrame, model: OrdinalModel, grade: int = 1, text: str = "text",
             above = 1 - fitted.below(score)
             tail = above[:, grade - 1] if 1 <= grade <= above.shape[1] else np.zeros(len(score)) if grade > 0 else np.ones(len(score))
             yield pa.StructArray.from_arrays([pa.array(score), pa.array(above.sum(1)), pa.array(tail)], ["score", "expected_grade", "tail_probability"])
+        finish(words)
 
     return df.withColumn(out, rating(F.col(text)))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import SAMPLE_ROWS, labelled_sample, prepare, text_slices
+from lumenfold.llm.common import SAMPLE_ROWS, begin, finish, labelled_sample, prepare, text_slices
 
 SYMBOLS = "#*$%&|<>"
 _UPPER = bytes(range(65, 91))
@@ -203,10 +203,12 @@ def label_lines(df: DataFrame, field: Crf, least_share: float = 0.5, text: str =
 
     @F.arrow_udf(RESULT)
     def rules(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begin("quality_rules")
         crf = Crf(*shared.value)
         for batch in batches:
             parts = [_label(crf, some, least_share) for some in text_slices(batch)]
             yield pa.concat_arrays(parts) if parts else pa.array([], _ARROW)
+        finish()
 
     return df.withColumn(out, rules(F.col(text)))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import labelled_sample, prepare, text_slices
+from lumenfold.llm.common import begin, finish, labelled_sample, prepare, text_slices
 from lumenfold.session import materialize
 
 #: Labelled documents that the word odds and the logistic function are fitted on at most.
@@ -289,6 +289,7 @@ def score(df: DataFrame, model: ToxicModel, text: str = "text", out: str = "toxi
 
     @F.arrow_udf("struct<restored:string,score:double>")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begin("toxicity")
         logs, odds, weights = shared.value
         decoder, evidence = Decoder(logs), WordEvidence(odds)
         for batch in batches:
@@ -296,5 +297,6 @@ def score(df: DataFrame, model: ToxicModel, text: str = "text", out: str = "toxi
             x = np.array([[*evidence.top(t), 1.0] for t in restored]).reshape(-1, 5)
             value = 1 / (1 + np.exp(-np.clip(x @ weights, -500, 500)))
             yield pa.StructArray.from_arrays([pa.array(restored, pa.string()), pa.array(value)], ["restored", "score"])
+        finish(decoder, evidence)
 
     return df.withColumn(out, scored(F.col(text)))
