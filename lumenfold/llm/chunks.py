@@ -157,14 +157,16 @@ class ChunkPool:
     def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Two 64-bit hashes of each run of bytes: polynomials whose prefix sums wrap around."""
         out = np.empty((2, len(starts)), np.uint64)
-        x = data.astype(np.uint64) + np.uint64(1)
+        x = data.astype(np.uint64)
+        x += np.uint64(1)
+        total = np.zeros(len(data) + 1, np.uint64)
         for k, base in enumerate(self.BASES):
             if len(self.powers[k]) < len(data):
                 n = 1 << len(data).bit_length()
                 other = np.uint64(pow(int(base), -1, 1 << 64))
                 self.powers[k] = np.cumprod(np.full(n, base))
                 self.inverse[k] = np.cumprod(np.full(n, other))
-            total = np.concatenate([[np.uint64(0)], np.cumsum(x * self.powers[k][: len(data)])])
+            np.cumsum(x * self.powers[k][: len(data)], out=total[1:])
             out[k] = (total[ends] - total[starts]) * self.inverse[k][starts]
         return out
 
@@ -186,7 +188,7 @@ class ChunkPool:
             new = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
             self.put(names[:, first], *self.encode_new(new))
             place[lacks] = self.find(names[:, lacks])
-        self.met[: self.used] += np.bincount(place, minlength=self.used)
+        np.add.at(self.met, place, 1)
         before = np.concatenate([[0], np.cumsum(self.lengths[place])])
         return self.take(place), np.diff(before[np.searchsorted(starts, offsets)])
 

@@ -111,9 +111,12 @@ def compress(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST, rounds: int
         if len(symbols) < 2:
             break
         n = len(lengths)
+        # a pair is one key: of 32 bits if the symbols are few enough
         shift = max(1, (n - 1).bit_length())
-        key = (symbols[:-1].astype(np.uint64) << np.uint64(shift)) | symbols[1:].astype(np.uint64)
-        hashed = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
+        kind, factor, bits = (np.uint32, 0x9E3779B1, 32) if shift <= 16 else (np.uint64, 0x9E3779B97F4A7C15, 64)
+        small = symbols.astype(kind)
+        key = (small[:-1] << kind(shift)) | small[1:]
+        hashed = ((key * kind(factor)) >> kind(bits - HASH_BITS)).astype(np.int32)
         hashed[last[:-1]] = 1 << HASH_BITS  # no pair over the end of a document
         # a count of hash buckets first: only keys in full buckets are sorted
         full = np.bincount(hashed, minlength=(1 << HASH_BITS) + 1) >= least
@@ -125,7 +128,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST, rounds: int
             break
         pair = pairs[chosen]
         # of chosen pairs in one bucket the most frequent goes first, others wait for the next round
-        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        bucket = ((pair * kind(factor)) >> kind(bits - HASH_BITS)).astype(np.int64)
         rank_of = np.full((1 << HASH_BITS) + 1, -1, np.int32)
         rank_of[bucket[::-1]] = np.arange(len(pair) - 1, -1, -1)
         rank = rank_of[hashed]
@@ -143,8 +146,9 @@ def compress(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST, rounds: int
         wins[1:] &= ~(beside & (rank[:-1] < rank[1:]))
         wins[:-1] &= ~(beside & (rank[1:] < rank[:-1]))
         at, rank = at[wins], rank[wins]
-        used, rank = np.unique(rank, return_inverse=True)
-        rule = np.stack([pair[used] >> np.uint64(shift), pair[used] & np.uint64((1 << shift) - 1)], 1).astype(np.int64)
+        met = np.bincount(rank, minlength=len(pair)) > 0
+        used, rank = np.flatnonzero(met), (np.cumsum(met) - 1)[rank]
+        rule = np.stack([pair[used] >> kind(shift), pair[used] & kind((1 << shift) - 1)], 1).astype(np.int64)
         rules.append(rule)
         lengths = np.concatenate([lengths, lengths[rule].sum(1)])
         symbols[at] = n + rank
