@@ -35,7 +35,6 @@ MAGIC = b"RPG1"
 SHARD_IDS = 1_000_000
 #: A pair is replaced where it stands this often in a shard.
 LEAST = 24
-ROUNDS = 3
 #: Buckets in which pairs are counted first, as a power of two.
 HASH_BITS = 20
 RULES_A_ROUND = 8192
@@ -96,32 +95,30 @@ class Grammar:
         return self.terminals[x], self.lengths
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST, rounds: int = ROUNDS, most: int = RULES_A_ROUND) -> tuple[Grammar, np.ndarray]:
+def compress(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST, most: int = RULES_A_ROUND) -> tuple[Grammar, np.ndarray]:
     """A grammar for the ids of documents of the given sizes, and the symbols that each document has.
 
     Each round replaces the pairs that stand `least` times or more, at most `most` of them, the most frequent
-    winning where two overlap; it ends early where no pair is so frequent.
+    winning where two overlap; it ends where no pair is so frequent.
     """
     terminals, symbols = _dense(ids)
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
     lengths = np.ones(len(terminals), np.int64)
     rules: list[np.ndarray] = []
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    # where pairs begin that can still be frequent: a pair that is rare stays so, only new symbols make new ones
+    live = np.flatnonzero(~last)
+    while len(live):
         n = len(lengths)
         # a pair is one key: of 32 bits if the symbols are few enough
         shift = max(1, (n - 1).bit_length())
         kind, factor, bits = (np.uint32, 0x9E3779B1, 32) if shift <= 16 else (np.uint64, 0x9E3779B97F4A7C15, 64)
-        small = symbols.astype(kind)
-        key = (small[:-1] << kind(shift)) | small[1:]
+        key = (symbols[live].astype(kind) << kind(shift)) | symbols[live + 1].astype(kind)
         hashed = ((key * kind(factor)) >> kind(bits - HASH_BITS)).astype(np.int32)
-        hashed[last[:-1]] = 1 << HASH_BITS  # no pair over the end of a document
         # a count of hash buckets first: only keys in full buckets are sorted
-        full = np.bincount(hashed, minlength=(1 << HASH_BITS) + 1) >= least
-        full[-1] = False
-        pairs, counts = np.unique(key[full[hashed]], return_counts=True)
+        full = (np.bincount(hashed, minlength=1 << HASH_BITS) >= least)[hashed]
+        live, key, hashed = live[full], key[full], hashed[full]
+        pairs, counts = np.unique(key, return_counts=True)
         chosen = np.argsort(-counts, kind="stable")
         chosen = chosen[counts[chosen] >= least][:most]
         if not len(chosen):
@@ -129,13 +126,11 @@ def compress(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST, rounds: int
         pair = pairs[chosen]
         # of chosen pairs in one bucket the most frequent goes first, others wait for the next round
         bucket = ((pair * kind(factor)) >> kind(bits - HASH_BITS)).astype(np.int64)
-        rank_of = np.full((1 << HASH_BITS) + 1, -1, np.int32)
+        rank_of = np.full(1 << HASH_BITS, -1, np.int32)
         rank_of[bucket[::-1]] = np.arange(len(pair) - 1, -1, -1)
         rank = rank_of[hashed]
-        at = np.flatnonzero(rank >= 0)
-        rank = rank[at]
-        same = pair[rank] == key[at]
-        at, rank = at[same], rank[same]
+        same = (rank >= 0) & (pair[rank] == key)
+        at, rank = live[same], rank[same]
         # in a run of one symbol every second pair; then, of overlapping pairs, the more frequent
         runs = np.concatenate([[False], (np.diff(at) == 1) & (np.diff(rank) == 0)])
         begin = np.maximum.accumulate(np.where(runs, 0, np.arange(len(at))))
@@ -155,7 +150,12 @@ def compress(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST, rounds: int
         last[at] = last[at + 1]
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
-        symbols, last = symbols[stay], last[stay]
+        begins = np.zeros(len(symbols), bool)
+        begins[live] = begins[at] = True
+        symbols, last, begins = symbols[stay], last[stay], begins[stay]
+        new = at - np.arange(len(at))
+        begins[np.maximum(new - 1, 0)] = True
+        live = np.flatnonzero(begins & ~last)
     ends = np.flatnonzero(last)
     n_symbols = np.zeros(len(sizes), np.int64)
     n_symbols[sizes > 0] = np.diff(np.concatenate([[-1], ends]))

@@ -121,6 +121,19 @@ def test_op8_grammar_gives_random_access():
     assert np.array_equal(one[0].expand(one[0].symbols), np.zeros(1000))
 
 
+def test_op8_replaces_until_no_pair_is_frequent():
+    rng = np.random.default_rng(1)
+    own = rng.integers(0, 5000, 700).astype(np.int32)
+    ids, sizes = np.concatenate([np.tile(own, 30), rng.integers(0, 40, 20_000)]), np.append(np.full(30, 700), 20_000)
+    grammar, n_symbols = token_files.compress(ids, sizes)
+    assert (n_symbols[:30] == 1).all() and grammar.lengths.max() == 700
+    ends = np.cumsum(n_symbols)
+    pairs = collections.Counter(p for k, e in enumerate(ends) for p in zip(grammar.symbols[e - n_symbols[k] : e].tolist(), grammar.symbols[e - n_symbols[k] + 1 : e].tolist()))
+    assert max(pairs.values()) < token_files.LEAST
+    shard = token_files.Shard(token_files.pack(grammar, n_symbols, sizes))
+    assert np.array_equal(shard.all(), ids) and np.array_equal(shard.document(7, 100, 300), own[100:300])
+
+
 def brute_leaks(text, items, window=10):
     fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
     words = fold(text)
