@@ -46,10 +46,30 @@ COMMANDS: dict[str, dict[str, str | None]] = {
 }
 
 
+#: Options that are known but not built, by command, with the one value that they may have.
+_EM_FIXED = {"ctf": "0", "only_flip_phases": "0", "ctf_phase_flipped": "0", "norm": "0", "zero_mask": "0"}
+FIXED: dict[str, dict[str, str]] = {
+    "map3d": {"sym": "C1", "firstiter_cc": "0"} | _EM_FIXED,
+}
+
+
 class OptionError(ValueError):
     """Options that can't be used."""
 
 
+def refuse_unbuilt(command: str, o: dict[str, str]) -> None:
+    """An error where an option has a value that the command would not follow."""
+
+    def same(a: str, b: str) -> bool:
+        try:
+            return float(a) == float(b)
+        except ValueError:
+            return a.lower() == b.lower()
+
+    if wrong := [f"-{k} {o[k]} (only {v})" for k, v in FIXED.get(command, {}).items() if not same(o[k], v)]:
+        raise OptionError(f"{command} can't use {', '.join(wrong)}")
+
+
 def parse(arguments: list[str]) -> tuple[str, dict[str, str]]:
     """The command and its options with defaults filled in."""
     if not arguments or arguments[0].lstrip("-") not in COMMANDS:
@@ -113,6 +133,7 @@ def save_references(path: str, references: np.ndarray) -> None:
 def run(arguments: list[str], spark: SparkSession | None = None) -> None:
     """Run one command."""
     command, o = parse(arguments)
+    refuse_unbuilt(command, o)
     if command in ("convert", "zoom", "compare", "desc"):
         return _files(command, o)
     spark = spark or get_spark()
@@ -176,7 +197,8 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> None:
         start = stacks.read_mrc(o["ref"]).astype(float)
         rng = np.random.default_rng(int(o["random_seed"]))
         volumes = np.stack([start * (1 + 0.05 * rng.normal(size=start.shape)) for _ in range(int(o["K"]))])
-        volumes, _, _ = estimators.classify_3d(rows, volumes, healpix_directions(int(o["healpix_order"])), int(o["iter"]))
+        order = int(o["healpix_order"])
+        volumes, _, _ = estimators.classify_3d(rows, volumes, healpix_directions(order), int(o["iter"]), 60.0 / 2**order, reach=float(o["offset_range"]), shift=float(o["offset_step"]))
         for k, volume in enumerate(volumes):
             stacks.write_mrc(f"{o['o']}_class{k + 1:03d}.mrc", volume.astype(np.float32), float(o["angpix"]))
     return None

@@ -260,15 +260,22 @@ def euler(rot: float, tilt: float, psi: float) -> np.ndarray:
     return np.array([[cg * cb * ca - sg * sa, cg * cb * sa + sg * ca, -cg * sb], [-sg * cb * ca - cg * sa, -sg * cb * sa + cg * ca, sg * sb], [sb * ca, sb * sa, cb]])
 
 
-def classify_3d(images: DataFrame, volumes: np.ndarray, directions: np.ndarray, rounds: int, step: float = 90.0, pad: int = 2, pixels: str = "pixels") -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """(volumes, class shares, log likelihoods): classification over directions (rot, tilt) and in-plane angles.
+#: Weights of classes, views and shifts held at a time in classify_3d.
+WEIGHTS = 2_000_000
 
-    Projections of the current volumes are broadcast; each task scatters its weighted images into partial transforms.
+
+def classify_3d(images: DataFrame, volumes: np.ndarray, directions: np.ndarray, rounds: int, step: float = 90.0, pad: int = 2, pixels: str = "pixels", reach: float = 0.0, shift: float = 1.0) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(volumes, class shares, log likelihoods): classification over directions (rot, tilt), in-plane angles and shifts.
+
+    Projections of the current volumes are broadcast; each task moves its images back by every shift and scatters the
+    weighted ones into partial transforms. Weights are held for a few images at a time.
     """
     n = volumes.shape[-1]
     k, m = len(volumes), n * pad
     views = [(rot, tilt, psi) for rot, tilt in directions for psi in np.arange(0, 360, step)]
     matrices = [euler(*v) for v in views]
+    disc = [(dx, dy) for _, dx, dy in poses(360.0, reach, shift)]
+    some = max(1, WEIGHTS // (k * len(views) * len(disc)))
     sigma2, shares, history = None, np.full(k, 1 / k), []
     for _ in range(rounds):
         each = np.stack([kernels.project(v, a, pad).ravel() for v in volumes for a in matrices])
@@ -279,10 +286,17 @@ def classify_3d(images: DataFrame, volumes: np.ndarray, directions: np.ndarray,
 
         def fold(batch: dict[str, np.ndarray], count: int) -> np.ndarray:
             refs, pi, s2 = shared.value  # noqa: B023
-            x = batch[pixels]
-            d2 = (x * x).sum(1)[:, None] - 2 * x @ refs.T + (refs * refs).sum(1)
-            w, like = softmax(-d2 / (2 * s2) + np.log(np.repeat(pi, len(matrices)) + 1e-300))
-            sums, mass = w.T @ x, w.sum(0)
+            sums, mass, fit = np.zeros(refs.shape), np.zeros(len(refs)), np.zeros(2)
+            square, prior = (refs * refs).sum(1), np.log(np.repeat(pi, len(matrices)) + 1e-300)
+            for a in range(0, count, some):
+                # images by shift: each moved back
+                x = np.stack([[unposed(image.reshape(n, n), (0.0, *t)).ravel() if any(t) else image for t in disc] for image in batch[pixels][a : a + some]])
+                d2 = (x * x).sum(2)[..., None] - 2 * x @ refs.T + square
+                w, like = softmax((-d2 / (2 * s2) + prior).reshape(len(x), -1))
+                w = w.reshape(d2.shape)
+                sums += w.reshape(-1, len(refs)).T @ x.reshape(-1, n * n)
+                mass += w.sum((0, 1))
+                fit += (w * d2).sum(), like.sum()
             parts = []
             for c in range(k):
                 data, weight = np.zeros((m,) * 3, complex), np.zeros((m,) * 3)
@@ -296,7 +310,7 @@ def classify_3d(images: DataFrame, volumes: np.ndarray, directions: np.ndarray,
                             kernels.scatter(extra_data, extra, np.zeros((n, n)), matrix, pad)
                             weight += (mass[i] - 1) * extra
                 parts += [data.real.ravel(), data.imag.ravel(), weight.ravel()]
-            return np.concatenate([*parts, mass.reshape(k, -1).sum(1), [(w * d2).sum(), like.sum(), x.size]])
+            return np.concatenate([*parts, mass.reshape(k, -1).sum(1), fit, [batch[pixels].size]])
 
         total = statistics(images, [pixels], fold, 3 * k * m**3 + k + 3)
         grids = total[: 3 * k * m**3].reshape(k, 3, m, m, m)

@@ -4,6 +4,9 @@ import numpy as np
 import pytest
 
 from lumenfold import cli
+from lumenfold.functions import images as kernels
+from lumenfold.operators import estimators
+from lumenfold.operators.sampling import healpix_directions
 from lumenfold.sources import stacks, star
 
 
@@ -57,3 +60,22 @@ def test_estimator_commands(spark, data, capsys):
     cli.run(["convert", "-i", f"{path}/g.mrcs", "-o", f"{path}/g.dat"])
     cli.run(["desc", "-i", f"{path}/g.mrcs"])
     assert "shape (4, 8, 8)" in capsys.readouterr().out
+
+
+def test_map3d_searches_shifts_and_fine_angles(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    z, y, x = np.mgrid[:12, :12, :12]
+    truth = sum(np.exp(-((x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2) / 3) for a, b, c in ((5, 6, 4), (8, 5, 6), (6, 8, 7)))
+    views = [(*healpix_directions(0)[i % 12], 60.0 * (i % 6)) for i in range(36)]
+    moved = [kernels.translate(kernels.project(truth, estimators.euler(*v)), *[(2, 0), (0, -2), (0, 0)][i % 3]) for i, v in enumerate(views)]
+    stacks.write_mrc(str(tmp_path / "s.mrcs"), (np.stack(moved) + rng.normal(0, 0.01, (36, 12, 12))).astype(np.float32))
+    stacks.write_mrc(str(tmp_path / "ref.mrc"), truth.astype(np.float32))
+    head = "data_\n\nloop_\n_rlnImageName #1\n_rlnMicrographName #2\n"
+    (tmp_path / "in.star").write_text(head + "".join(f"{i + 1:07d}@s.mrcs mic_0\n" for i in range(36)))
+    options = ["map3d", "-i", f"{tmp_path}/in.star", "-o", f"{tmp_path}/v", "-ref", f"{tmp_path}/ref.mrc", "-K", "1", "-iter", "4", "-angpix", "1", "-healpix_order", "0", "-offset_step", "2", "-offset_range", "2"]
+    cli.run(options, spark)
+    volume = stacks.read_mrc(f"{tmp_path}/v_class001.mrc")
+    assert np.corrcoef(volume.ravel(), truth.ravel())[0, 1] > 0.9
+    for more in (["-sym", "C4"], ["-firstiter_cc"], ["-ctf", "1"]):
+        with pytest.raises(cli.OptionError):
+            cli.run(options + more, spark)
