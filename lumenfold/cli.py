@@ -49,7 +49,11 @@ COMMANDS: dict[str, dict[str, str | None]] = {
 #: Options that are known but not built, by command, with the one value that they may have.
 _EM_FIXED = {"ctf": "0", "only_flip_phases": "0", "ctf_phase_flipped": "0", "norm": "0", "zero_mask": "0"}
 FIXED: dict[str, dict[str, str]] = {
+    "map2d": {"oversampling": "0", "particle_diameter": "-1"} | _EM_FIXED,
     "map3d": {"sym": "C1", "firstiter_cc": "0"} | _EM_FIXED,
+    "sml": {"pca": "0", "precision": "10e-12", "weightedsum": "1", "search": "NULL"},
+    "deep2d": _EM_FIXED,
+    "reconstruct": {"refdim": "3", "sym": "c1", "ctf": "0", "maxres": "-1"},
 }
 
 
@@ -66,7 +70,10 @@ def refuse_unbuilt(command: str, o: dict[str, str]) -> None:
         except ValueError:
             return a.lower() == b.lower()
 
-    if wrong := [f"-{k} {o[k]} (only {v})" for k, v in FIXED.get(command, {}).items() if not same(o[k], v)]:
+    wrong = [f"-{k} {o[k]} (only {v})" for k, v in FIXED.get(command, {}).items() if not same(o[k], v)]
+    if "," in (o.get("K") or ""):
+        wrong.append(f"-K {o['K']} (only one number)")
+    if wrong:
         raise OptionError(f"{command} can't use {', '.join(wrong)}")
 
 
@@ -176,13 +183,12 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> None:
         as_map = estimators.LatentMap(np.eye(len(model.references)), model.references, 1 / model.sigma2, model.references)
         return save_table(_with_class(rows, as_map), f"{o['o']}.star")
     if command == "sml":
-        k = int(o["K"].split(",")[0])
-        latent = estimators.fit_latent_map(rows, k, int(o["iter"]), int(o["dimension"]), float(o["alpha"]), o["updatebeta"] != "0")
+        latent = estimators.fit_latent_map(rows, int(o["K"]), int(o["iter"]), int(o["dimension"]), float(o["alpha"]), o["updatebeta"] != "0")
         save_references(f"{o['o']}.mrcs", latent.nodes)
         return save_table(_with_class(rows, latent), f"{o['o']}.star")
     if command == "deep2d":
         first = f"{o['o']}_map2d"
-        run(["map2d", "-i", o["i"], "-o", first, "-K", o["map2d_K"], "-iter", o["map2d_iter"], "-angpix", o["angpix"], "-tau2_fudge", o["tau2_fudge"], "-oversampling", "0", "-psi_step", o["psi_step"], "-offset_range", o["offset_range"], "-offset_step", o["offset_step"]], spark)
+        run(["map2d", "-i", o["i"], "-o", first, "-K", o["map2d_K"], "-iter", o["map2d_iter"], "-angpix", o["angpix"], "-tau2_fudge", o["tau2_fudge"], "-oversampling", "0", "-psi_step", o["psi_step"], "-offset_range", o["offset_range"], "-offset_step", o["offset_step"], "-random_seed", o["random_seed"]], spark)
         for row in star.read_star(spark, f"{first}.star").groupBy("ClassNumber").count().where("count >= 20").orderBy("ClassNumber").collect():
             own = rows.drop("ClassNumber").join(star.read_star(spark, f"{first}.star").select("ImageName", "ClassNumber"), "ImageName").where(F.col("ClassNumber") == row["ClassNumber"])
             latent = estimators.fit_latent_map(own, int(o["sml_K"]), int(o["sml_iter"]), int(o["dimension"]))

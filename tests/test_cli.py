@@ -79,3 +79,18 @@ def test_map3d_searches_shifts_and_fine_angles(spark, tmp_path):
     for more in (["-sym", "C4"], ["-firstiter_cc"], ["-ctf", "1"]):
         with pytest.raises(cli.OptionError):
             cli.run(options + more, spark)
+
+
+@pytest.mark.parametrize(
+    "command, wrong",
+    [("map2d", k) for k in (["-ctf"], ["-only_flip_phases", "1"], ["-ctf_phase_flipped"], ["-norm"], ["-zero_mask"], ["-oversampling", "1"], ["-particle_diameter", "200"])]
+    + [("sml", k) for k in (["-pca"], ["-precision", "1e-3"], ["-weightedsum", "0"], ["-search", "x"], ["-K", "4,8"])]
+    + [("deep2d", k) for k in (["-ctf", "1"], ["-norm"], ["-zero_mask"])]
+    + [("reconstruct", k) for k in (["-ctf", "1"], ["-sym", "d2"], ["-refdim", "2"], ["-maxres", "8"])],
+)
+def test_options_that_are_not_built_are_refused(command, wrong):
+    needed = {k: "0" for k, v in cli.COMMANDS[command].items() if v is None}
+    plain = [command, *[x for k, v in needed.items() for x in (f"-{k}", v)]]
+    cli.refuse_unbuilt(*cli.parse(plain))
+    with pytest.raises(cli.OptionError, match=wrong[0]):
+        cli.run(plain + wrong)
