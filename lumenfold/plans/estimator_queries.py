@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,14 +72,19 @@ def gtm_fine_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("deep_2d")
 def deep_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classification first, then a latent map of the largest class."""
+    """Classification first, then a latent map of every class; one of fewer than 20 images is one node."""
     rows = images(spark, sf_dir)
     model = estimators.classify_2d(rows, 3, 4)
     as_map = estimators.LatentMap(np.eye(3), model.references, 1 / model.sigma2, model.references)
     named = estimators.assign_nodes(rows, as_map)
-    top = named.groupBy("class_no").count().orderBy(F.desc("count"), "class_no").first()["class_no"]
-    largest = named.where(F.col("class_no") == top).drop("class_no")
-    return estimators.assign_nodes(largest, estimators.fit_latent_map(largest, 5, 5)).select("vec_id", F.lit(top).alias("class_no"), F.col("class_no").alias("node"))
+    parts = []
+    for row in named.groupBy("class_no").agg(F.count("*").alias("n")).orderBy("class_no").collect():
+        own = named.where(F.col("class_no") == row["class_no"])
+        if row["n"] < 20:
+            parts.append(own.withColumn("node", F.lit(1).cast("long")))
+        else:
+            parts.append(estimators.assign_nodes(own, estimators.fit_latent_map(own, 5, 5), out="node"))
+    return functools.reduce(DataFrame.unionByName, parts).select("vec_id", "class_no", "node")
 
 
 @register("reconstruction")

@@ -244,3 +244,13 @@ def test_priors_and_units(spark):
     z, a, b = np.array([0, 0, 1.0]), np.array([1.0, 0, 1]), np.array([1.0, 1, 1])
     assert 0 < sampling.half_space_unit(grid, sampling.unit_planes([z, a, b])).count() < 30
     assert abs(sampling.perturbed(0.0, 10.0, 0.7, 1)) <= 2.5
+
+
+def test_deep_2d_gives_every_image_a_node(spark, sf_dir):
+    from lumenfold.plans import estimator_queries
+    from lumenfold.sources.tables import images
+
+    got = estimator_queries.deep_2d(spark, sf_dir).collect()
+    ids = [r.vec_id for r in images(spark, sf_dir).select("vec_id").collect()]
+    assert sorted(r.vec_id for r in got) == sorted(ids)
+    assert len({r.class_no for r in got}) > 1 and all(1 <= r.node <= 5 for r in got)
