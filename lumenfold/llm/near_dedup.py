@@ -221,14 +221,14 @@ def block_links(node: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list
 
 
 def _join_components(rest: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share a bucket and whose shorter hashes are linked.
+    """Pairs (a, b) of nodes of different components that share a bucket and whose shingle sets are linked.
 
     rest: bucket, rep, comp and m, the members of the bucket.
     """
     kind = rest.schema["rep"].dataType
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    short = shingles.select("rep", F.transform("shingles", lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int")).alias("tokens"))
-    held = rest.join(short, "rep")  # dealt by rep, which is even, before blocks multiply the rows of hot buckets
+    # whole hashes: a false link of shorter ones would join components and hide true links
+    held = rest.join(shingles.select("rep", F.col("shingles").alias("tokens")), "rep")  # dealt by rep, which is even, before blocks multiply the rows of hot buckets
     blocks = held.withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     blocks = blocks.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "tokens")
     rows = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")

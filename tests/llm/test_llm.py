@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -256,6 +257,22 @@ def test_op7_blocks_find_links_between_components(monkeypatch):
         assert sorted(near_dedup.block_links(np.arange(6), comp, side, sets, True, 80)) == [(0, 1), (1, 2), (3, 4)]
 
 
+def test_op7_links_are_not_lost_to_equal_low_bits(spark):
+    # i and j are linked with k alone; 31 bits of their hashes would link i with j as well
+    k = set(range(20))
+    sets = {"i": k - {0, 1} | {100, 101}, "j": k - {2, 3} | {2 + (1 << 31), 3 + (1 << 31)}, "k": k}
+    rest, hashes, want = [], [], set()
+    for bucket, order in enumerate(itertools.permutations("ijk")):
+        node = {c: 10 * bucket + n for n, c in enumerate(order)}
+        rest += [(bucket, node[c], node[c], 3) for c in order]
+        hashes += [(node[c], sorted(sets[c])) for c in order]
+        want |= {(max(node[c], node["k"]), min(node[c], node["k"])) for c in "ij"}
+    near_dedup.prepare(spark)
+    rest = spark.createDataFrame(rest, "bucket long, rep long, comp long, m long").coalesce(1)
+    hashes = spark.createDataFrame(hashes, "rep long, shingles array<bigint>").coalesce(1)
+    assert {(r.a, r.b) for r in near_dedup._join_components(rest, hashes, 80).collect()} == want
+
+
 def test_op7_odd_tables(spark, odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == len(ODD) + 2
