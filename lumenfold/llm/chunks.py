@@ -69,35 +69,60 @@ def cut_places(data: np.ndarray, marks: bool = True) -> np.ndarray:
     return cut
 
 
+#: Bytes of a chunk that its name holds; longer chunks are named by a number of their own.
+NAMED = 16
+_WORD_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1] * 9, np.uint64)
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD))
+
+
+def words_at(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The first 16 bytes of each run as two little-endian words, zero beyond its end; data has 16 bytes to spare."""
+    words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    short = np.minimum(lengths, NAMED)
+    out = np.empty((2, len(starts)), np.uint64)
+    out[0] = words[starts] & _WORD_MASKS[np.minimum(short, 8)]
+    out[1] = 0
+    more = np.flatnonzero(short > 8)
+    out[1, more] = words[starts[more] + 8] & _WORD_MASKS[short[more] - 8]
+    return out
+
+
 class ChunkPool:
-    """Ids of chunks, found by two 64-bit hashes of their bytes; encodes the chunks that it lacks.
+    """Ids of chunks by their exact bytes; encodes the chunks that it lacks.
 
-    Chunks are cut, hashed and looked up in numpy for a whole slice of texts at once. The size is bounded: when
-    full, the chunks met most often stay, half of the limits at most.
+    Chunks are cut, named and looked up in numpy for a whole slice of texts at once. A name is three integers:
+    for up to 16 bytes the bytes themselves and their number, for more a number that a dictionary gives these very
+    bytes. So unlike chunks never share a name, whatever they hold. The size is bounded: when full, the chunks
+    met most often stay, half of the limits at most.
     """
 
-    BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-
     def __init__(self, encode_new, whole: tuple[bytes, ...] = (), limit: int = 300_000, limit_ids: int = 2_500_000):
         """whole: strings that must not be cut; a slice that holds one is cut at white space alone."""
         self.encode_new, self.whole, self.limit, self.limit_ids = encode_new, whole, limit, limit_ids
-        self.powers: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
-        self.inverse: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+        self.numbers: dict[bytes, int] = {}
+        self.long_bytes = self.next_number = 0
         self.reset(1 << 16)
 
     def reset(self, slots: int):
         self.slots = slots
         self.table = np.full(slots, -1, np.int32)
         self.flat, self.lengths, self.starts, self.met = np.empty(1 << 16, np.int32), *np.zeros((3, 1 << 14), np.int64)
-        self.names = np.zeros((2, 1 << 14), np.uint64)
+        self.names = np.zeros((3, 1 << 14), np.uint64)
         self.used = self.held = 0
 
+    def full(self) -> bool:
+        return self.used > self.limit or self.held + self.long_bytes // 4 > self.limit_ids
+
     def thin(self):
         """Keep what was met twice or more, the most often first, up to half of the limits."""
         met, lengths, names = self.met[: self.used].copy(), self.lengths[: self.used].copy(), self.names[:, : self.used].copy()
+        sizes = lengths + np.where(names[2] > NAMED, names[2] // np.uint64(4), np.uint64(0)).astype(np.int64)
         stay = np.argsort(-met, kind="stable")
-        stay = stay[(met[stay] > 1) & (np.cumsum(lengths[stay]) <= self.limit_ids // 2)][: self.limit // 2]
+        stay = stay[(met[stay] > 1) & (np.cumsum(sizes[stay]) <= self.limit_ids // 2)][: self.limit // 2]
         flat = self.take(stay)
+        left = set(names[0, stay[names[2, stay] > NAMED]].tolist())
+        self.numbers = {k: n for k, n in self.numbers.items() if n in left}
+        self.long_bytes = sum(map(len, self.numbers))
         self.reset(self.slots)
         self.put(names[:, stay], flat, lengths[stay])
         self.met[: self.used] = met[stay] // 2
@@ -110,24 +135,37 @@ class ChunkPool:
         pick += np.arange(len(pick))
         return self.flat[pick]
 
-    def slot(self, name: np.ndarray) -> np.ndarray:
-        return ((name ^ (name >> np.uint64(29))) * self.BASES[1] >> np.uint64(64 - (self.slots.bit_length() - 1))).astype(np.int64)
-
-    def find(self, names: np.ndarray) -> np.ndarray:
-        """Places of the chunks with these hashes; -1 for those that the pool lacks."""
-        slot = self.slot(names[0])
+    @staticmethod
+    def mixed(names: np.ndarray) -> np.ndarray:
+        """One integer for each name, to place it in the table; unlike names may share it."""
+        x = (names[1] + names[2]) * _MIX[1]
+        x ^= x >> np.uint64(31)
+        x = (x + names[0]) * _MIX[2]
+        x ^= x >> np.uint64(29)
+        return x * _MIX[0]
+
+    def slot(self, mix: np.ndarray) -> np.ndarray:
+        return (mix >> np.uint64(64 - (self.slots.bit_length() - 1))).astype(np.int64)
+
+    def unlike(self, place: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """Whether the chunks at the places have other names."""
+        return (self.names[0][place] != names[0]) | (self.names[1][place] != names[1]) | (self.names[2][place] != names[2])
+
+    def find(self, names: np.ndarray, mix: np.ndarray) -> np.ndarray:
+        """Places of the chunks with these names; -1 for those that the pool lacks."""
+        slot = self.slot(mix)
         place = self.table[slot]
-        on = np.flatnonzero((place >= 0) & ((self.names[0][place] != names[0]) | (self.names[1][place] != names[1])))
+        on = np.flatnonzero((place >= 0) & self.unlike(place, names))
         while len(on):
             slot[on] = (slot[on] + 1) & (self.slots - 1)
             place[on] = there = self.table[slot[on]]
-            on = on[(there >= 0) & ((self.names[0][there] != names[0][on]) | (self.names[1][there] != names[1][on]))]
+            on = on[(there >= 0) & self.unlike(there, names[:, on])]
         return place
 
     def enter(self, first: int) -> None:
         """Put the places from `first` on into the table."""
         place = np.arange(first, self.used)
-        slot = self.slot(self.names[0][first : self.used])
+        slot = self.slot(self.mixed(self.names[:, first : self.used]))
         while len(place):
             free = np.flatnonzero(self.table[slot] < 0)
             self.table[slot[free]] = place[free]
@@ -141,7 +179,7 @@ class ChunkPool:
         if (need := self.used + n) > len(self.lengths):
             more = np.zeros(max(need, 2 * self.used) - self.used, np.int64)
             self.lengths, self.starts, self.met = (np.concatenate([x[: self.used], more]) for x in (self.lengths, self.starts, self.met))
-            self.names = np.concatenate([self.names[:, : self.used], np.zeros((2, len(more)), np.uint64)], axis=1)
+            self.names = np.concatenate([self.names[:, : self.used], np.zeros((3, len(more)), np.uint64)], axis=1)
         self.flat[self.held : self.held + len(flat)] = flat
         at = slice(self.used, self.used + n)
         self.lengths[at], self.names[:, at], self.met[at] = lengths, names, 0
@@ -154,25 +192,24 @@ class ChunkPool:
             first = 0
         self.enter(first)
 
-    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Two 64-bit hashes of each run of bytes: polynomials whose prefix sums wrap around."""
-        out = np.empty((2, len(starts)), np.uint64)
-        x = data.astype(np.uint64)
-        x += np.uint64(1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        for k, base in enumerate(self.BASES):
-            if len(self.powers[k]) < len(data):
-                n = 1 << len(data).bit_length()
-                other = np.uint64(pow(int(base), -1, 1 << 64))
-                self.powers[k] = np.cumprod(np.full(n, base))
-                self.inverse[k] = np.cumprod(np.full(n, other))
-            np.cumsum(x * self.powers[k][: len(data)], out=total[1:])
-            out[k] = (total[ends] - total[starts]) * self.inverse[k][starts]
+    def name(self, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The names of runs of bytes: equal for equal bytes and for no others."""
+        sizes = ends - starts
+        out = np.empty((3, len(starts)), np.uint64)
+        out[:2] = words_at(np.concatenate([data, np.zeros(NAMED, np.uint8)]), starts, sizes)
+        out[2] = sizes
+        for k in np.flatnonzero(sizes > NAMED).tolist():
+            chunk = raw[starts[k] : ends[k]]
+            if (number := self.numbers.get(chunk)) is None:
+                self.numbers[chunk] = number = self.next_number
+                self.next_number += 1
+                self.long_bytes += len(chunk)
+            out[0, k], out[1, k] = number, 0
         return out
 
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts data[offsets[i]:offsets[i + 1]], and how many each text has."""
-        if self.used > self.limit or self.held > self.limit_ids:
+        if self.full():
             self.thin()
         if not len(data):
             return np.empty(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
@@ -181,13 +218,15 @@ class ChunkPool:
         begins[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))
-        names = self.hashes(data, starts, ends)
-        place = self.find(names)
+        names = self.name(data, raw, starts, ends)
+        mix = self.mixed(names)
+        place = self.find(names, mix)
         while len(lacks := np.flatnonzero(place < 0)):
-            first = lacks[np.unique(names[0][lacks], return_index=True)[1]]
+            # the first of each mix: unlike chunks that share one wait for the next turn
+            first = lacks[np.unique(mix[lacks], return_index=True)[1]]
             new = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
             self.put(names[:, first], *self.encode_new(new))
-            place[lacks] = self.find(names[:, lacks])
+            place[lacks] = self.find(names[:, lacks], mix[lacks])
         np.add.at(self.met, place, 1)
         before = np.concatenate([[0], np.cumsum(self.lengths[place])])
         return self.take(place), np.diff(before[np.searchsorted(starts, offsets)])
