@@ -1,7 +1,8 @@
 """Operator 8, token-id files with Re-Pair grammar compression.
 
-Documents are encoded in ascending order of their ids and written in shards. Within a shard frequent pairs of
-neighbouring symbols are replaced by nonterminals, round by round, never across the end of a document. A shard
+Documents are encoded in ascending order of their ids and written in shards. Within a shard pairs of
+neighbouring symbols that stand often enough to repay a rule are replaced by nonterminals, round by round until
+there is none, never across the end of a document. A shard
 stores its rules, how many ids each nonterminal expands to, and how many symbols and ids each document has,
 so that any document, or any run of ids in it, is decoded alone.
 
@@ -9,10 +10,11 @@ A shard is one row of a Parquet table (whose writers and committers survive lost
 part, number     the range partition and the shard's place in it
 before, n_ids    ids of earlier shards of the partition, ids of this one
 docs             the documents' ids in order
-payload          "RPG1", then as little-endian unsigned 32-bit integers: the numbers of documents, terminals,
+payload          "RPG2", then as little-endian unsigned 32-bit integers: the numbers of documents, terminals,
                  rules and symbols and the bytes of a symbol (2 or 4); per document its symbols, then per document
-                 its ids; the terminals; per rule its left, its right symbol; per rule its expansion
-                 length; then the symbols. Symbols below the number of terminals are terminals, others rules.
+                 its ids; the terminals; per rule its expansion length; then, in that many bytes each, per
+                 rule its left and its right symbol, and the symbols. Symbols below the number of
+                 terminals are terminals, others rules.
 """
 
 from __future__ import annotations
@@ -30,14 +32,13 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from lumenfold.llm.chunks import ChunkPool
 from lumenfold.llm.common import SLICE_CHARS, prepare
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 #: Ids in a shard; a longer document is a shard of its own.
 SHARD_IDS = 1_000_000
-#: A pair is replaced where it stands this often in a shard.
-LEAST = 24
+#: Up to so many terminals and rules a stored symbol takes two bytes, beyond four.
+NARROW = 1 << 16
 #: Buckets in which pairs are counted first, as a power of two.
 HASH_BITS = 20
-RULES_A_ROUND = 8192
 
 
 class Encoder:
@@ -95,57 +96,86 @@ class Grammar:
         return self.terminals[x], self.lengths
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST, most: int = RULES_A_ROUND) -> tuple[Grammar, np.ndarray]:
+def width_of(symbols: int) -> int:
+    """Bytes of a stored symbol where there are so many terminals and rules."""
+    return 2 if symbols <= NARROW else 4
+
+
+def repays(width: int) -> int:
+    """The least number of replacements that save more bytes than a rule (two symbols and a length) takes."""
+    return (2 * width + 4) // width + 1
+
+
+def compress(ids: np.ndarray, sizes: np.ndarray, least: int = 0) -> tuple[Grammar, np.ndarray]:
     """A grammar for the ids of documents of the given sizes, and the symbols that each document has.
 
-    Each round replaces the pairs that stand `least` times or more, at most `most` of them, the most frequent
-    winning where two overlap; it ends where no pair is so frequent.
+    Each round replaces the pairs that stand often enough to repay their rules, the most frequent winning where
+    two overlap; it ends where no pair repays its rule. Past NARROW symbols all of them take twice the bytes: the
+    rounds go on, and of the two grammars, that at the limit and the last, the one of fewer bytes is given.
+    least: replacements that a rule must make, if more than it needs to repay.
     """
     terminals, symbols = _dense(ids)
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
     lengths = np.ones(len(terminals), np.int64)
     rules: list[np.ndarray] = []
+
+    def grammar() -> tuple[Grammar, np.ndarray]:
+        n_symbols = np.zeros(len(sizes), np.int64)
+        n_symbols[sizes > 0] = np.diff(np.concatenate([[-1], np.flatnonzero(last)]))
+        return Grammar(terminals, np.concatenate([np.empty((0, 2), np.int64), *rules]), lengths[len(terminals) :], symbols), n_symbols
+
+    narrow = None
     # where pairs begin that can still be frequent: a pair that is rare stays so, only new symbols make new ones
     live = np.flatnonzero(~last)
     while len(live):
         n = len(lengths)
+        enough = max(least, repays(width_of(n + 1)))
         # a pair is one key: of 32 bits if the symbols are few enough
         shift = max(1, (n - 1).bit_length())
         kind, factor, bits = (np.uint32, 0x9E3779B1, 32) if shift <= 16 else (np.uint64, 0x9E3779B97F4A7C15, 64)
         key = (symbols[live].astype(kind) << kind(shift)) | symbols[live + 1].astype(kind)
         hashed = ((key * kind(factor)) >> kind(bits - HASH_BITS)).astype(np.int32)
         # a count of hash buckets first: only keys in full buckets are sorted
-        full = (np.bincount(hashed, minlength=1 << HASH_BITS) >= least)[hashed]
+        full = (np.bincount(hashed, minlength=1 << HASH_BITS) >= enough)[hashed]
         live, key, hashed = live[full], key[full], hashed[full]
-        pairs, counts = np.unique(key, return_counts=True)
-        chosen = np.argsort(-counts, kind="stable")
-        chosen = chosen[counts[chosen] >= least][:most]
+        # in a run of one symbol every second pair counts
+        runs = np.concatenate([[False], (np.diff(live) == 1) & (key[1:] == key[:-1])]) if len(live) else np.empty(0, bool)
+        begin = np.maximum.accumulate(np.where(runs, 0, np.arange(len(live))))
+        even = np.flatnonzero((np.arange(len(live)) - begin) % 2 == 0)
+        pairs, counts = np.unique(key[even], return_counts=True)
+        chosen = np.flatnonzero(counts >= enough)
         if not len(chosen):
             break
+        chosen = chosen[np.argsort(-counts[chosen], kind="stable")]
+        if n < NARROW:
+            chosen = chosen[: NARROW - n]
+        elif narrow is None:
+            narrow = grammar()
         pair = pairs[chosen]
         # of chosen pairs in one bucket the most frequent goes first, others wait for the next round
         bucket = ((pair * kind(factor)) >> kind(bits - HASH_BITS)).astype(np.int64)
         rank_of = np.full(1 << HASH_BITS, -1, np.int32)
         rank_of[bucket[::-1]] = np.arange(len(pair) - 1, -1, -1)
-        rank = rank_of[hashed]
-        same = (rank >= 0) & (pair[rank] == key)
-        at, rank = live[same], rank[same]
-        # in a run of one symbol every second pair; then, of overlapping pairs, the more frequent
-        runs = np.concatenate([[False], (np.diff(at) == 1) & (np.diff(rank) == 0)])
-        begin = np.maximum.accumulate(np.where(runs, 0, np.arange(len(at))))
-        even = (np.arange(len(at)) - begin) % 2 == 0
-        at, rank = at[even], rank[even]
+        rank = rank_of[hashed[even]]
+        same = (rank >= 0) & (pair[rank] == key[even])
+        at, rank = live[even[same]], rank[same]
+        # of overlapping pairs the more frequent
         beside = np.diff(at) == 1
         wins = np.ones(len(at), bool)
         wins[1:] &= ~(beside & (rank[:-1] < rank[1:]))
         wins[:-1] &= ~(beside & (rank[1:] < rank[:-1]))
         at, rank = at[wins], rank[wins]
-        met = np.bincount(rank, minlength=len(pair)) > 0
-        used, rank = np.flatnonzero(met), (np.cumsum(met) - 1)[rank]
+        # what lost too many places no longer repays; the most frequent pair loses none
+        met = np.bincount(rank, minlength=len(pair)) >= enough
+        made = met[rank]
+        at, rank = at[made], (np.cumsum(met) - 1)[rank[made]]
+        used = np.flatnonzero(met)
         rule = np.stack([pair[used] >> kind(shift), pair[used] & kind((1 << shift) - 1)], 1).astype(np.int64)
         rules.append(rule)
         lengths = np.concatenate([lengths, lengths[rule].sum(1)])
+        if narrow is not None:
+            symbols = symbols.copy()
         symbols[at] = n + rank
         last[at] = last[at + 1]
         stay = np.ones(len(symbols), bool)
@@ -156,11 +186,14 @@ def compress(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST, most: int =
         new = at - np.arange(len(at))
         begins[np.maximum(new - 1, 0)] = True
         live = np.flatnonzero(begins & ~last)
-    ends = np.flatnonzero(last)
-    n_symbols = np.zeros(len(sizes), np.int64)
-    n_symbols[sizes > 0] = np.diff(np.concatenate([[-1], ends]))
-    table = np.concatenate([np.empty((0, 2), np.int64), *rules])
-    return Grammar(terminals, table, lengths[len(terminals) :], symbols), n_symbols
+    found = grammar()
+    return found if narrow is None or stored_bytes(found[0]) < stored_bytes(narrow[0]) else narrow
+
+
+def stored_bytes(grammar: Grammar) -> int:
+    """Bytes of a packed grammar's rules and symbols."""
+    width = width_of(len(grammar.terminals) + len(grammar.rules))
+    return (2 * width + 4) * len(grammar.rules) + width * len(grammar.symbols)
 
 
 def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,11 +203,11 @@ def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(grammar: Grammar, n_symbols: np.ndarray, n_ids: np.ndarray) -> bytes:
-    total = len(grammar.terminals) + len(grammar.rules)
-    width = 2 if total <= 1 << 16 else 4
+    width = width_of(len(grammar.terminals) + len(grammar.rules))
     head = np.array([len(n_ids), len(grammar.terminals), len(grammar.rules), len(grammar.symbols), width])
-    parts = [head, n_symbols, n_ids, grammar.terminals, grammar.rules.reshape(-1), grammar.lengths]
-    return MAGIC + np.concatenate(parts).astype("<u4").tobytes() + grammar.symbols.astype(f"<u{width}").tobytes()
+    parts = [head, n_symbols, n_ids, grammar.terminals, grammar.lengths]
+    small = np.concatenate([grammar.rules.reshape(-1), grammar.symbols])
+    return MAGIC + np.concatenate(parts).astype("<u4").tobytes() + small.astype(f"<u{width}").tobytes()
 
 
 class Shard:
@@ -192,8 +225,9 @@ class Shard:
             return np.frombuffer(payload, "<u4", n, at - 4 * n).astype(np.int64)
 
         self.n_symbols, self.n_ids = numbers(docs), numbers(docs)
-        head, pairs, lengths = numbers(terminals), numbers(2 * rules).reshape(-1, 2), numbers(rules)
-        self.grammar = Grammar(head, pairs, lengths, np.frombuffer(payload, f"<u{width}", symbols, at))
+        head, lengths = numbers(terminals), numbers(rules)
+        pairs = np.frombuffer(payload, f"<u{width}", 2 * rules, at).astype(np.int64).reshape(-1, 2)
+        self.grammar = Grammar(head, pairs, lengths, np.frombuffer(payload, f"<u{width}", symbols, at + 2 * rules * width))
         self.ends = np.cumsum(self.n_symbols)
 
     def all(self) -> np.ndarray:
@@ -213,14 +247,14 @@ class Shard:
 def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS) -> None:
     """Encode every whole text, append end_id and write the shards to path.
 
-    Null and empty texts give end_id alone. Rows go by key, nulls first, then by text, so that ties and repeated
-    rows have a fixed order and all stay. Special strings are handled as the tokenizer file says. Other columns
-    are left out; an empty table gives an empty file set. Keys should be nearly unique: the rows of one
-    key go to one task, which streams them.
+    Null and empty texts give end_id alone. Rows go by key, nulls first, then by a hash of the text and by the
+    text, so that ties and repeated rows have a fixed order and all stay; the rows of one key may go to many tasks,
+    rows that are equal throughout go to one, which streams them. Special strings are handled as the tokenizer
+    file says. Other columns are left out; an empty table gives an empty file set.
     """
     spark = prepare(df.sparkSession)
-    rows = df.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("doc").sortWithinPartitions("doc", "text")
+    rows = df.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("place"))
+    ordered = rows.repartitionByRange("doc", "place").sortWithinPartitions("doc", "place", "text").drop("place")
     kind = ordered.schema["doc"].dataType
     schema = f"part int, number int, before bigint, n_ids bigint, docs array<{kind.simpleString()}>, payload binary"
 
