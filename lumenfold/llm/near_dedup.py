@@ -7,13 +7,13 @@ their similarity, with the concentration of independent ones. Equal sets are one
 that share a band are candidates:
 
 1. Each node is verified against the least node of the bucket that it shares most often: most links of a
-   group are found with one comparison a node.
-2. Buckets that still hold several components are compared in blocks of bounded size: a product of incidence
-   matrices gives all intersections of a block at once, and only links that join components leave it. No pairs
-   are emitted for the test, and a hot bucket is spread over many tasks.
+   group are found with one comparison a node. The nodes of a common least node are dealt to many tasks.
+2. Buckets that still hold several components are compared in blocks of bounded rows and shingles: a product of
+   incidence matrices gives all intersections of a block at once, and only links that join components leave it.
+   No pairs are emitted for the test, and a hot bucket is spread over many tasks.
 
-A link of similarity 0.8 is missed where none of 48 bands agrees, with a probability of 5e-9. All links are
-confirmed on the full sets, held as 64-bit hashes of shingles; step 2 looks at their lower halves first.
+A link of similarity 0.8 is missed where none of 48 bands agrees, with a probability of 5e-9. Both steps test
+links on the full sets, held as 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ from lumenfold.session import discard, materialize
 BANDS, ROWS = 48, 5
 #: Members of a bucket that one block holds, on average.
 BLOCK = 1024
+#: Shingles of all members of a block, on average; a member of more is as large as it is.
+BLOCK_SHINGLES = 1 << 20
+#: Nodes that one task verifies against a common least node, on average.
+HUB_ROWS = 256
 #: Cells of an incidence matrix at most.
 CELLS = 4 << 20
 #: Words whose hashes a worker keeps; when full the store starts anew.
@@ -175,12 +179,16 @@ def _shingle_table(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are linked."""
+    """The pairs (a, b) whose full shingle sets are linked; many a may share a b, which is then copied for each HUB_ROWS of them."""
     one = shingles.select(F.col("rep").alias("a"), F.col("shingles").alias("s"))
-    other = shingles.select(F.col("rep").alias("b"), F.col("shingles").alias("t"))
+    salts = F.ceil(F.col("k") / HUB_ROWS).cast("int")
+    hubs = pairs.groupBy("b").agg(F.count("*").alias("k")).select("b", salts.alias("salts"))
+    copies = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    other = copies.join(shingles.select(F.col("rep").alias("b"), F.col("shingles").alias("t")), "b").drop("salts")
+    dealt = pairs.join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
+    met = dealt.join(one, "a").join(other, ["b", "salt"])
     both = F.size(F.array_intersect("s", "t"))
-    met = pairs.join(one, "a").join(other, "b")
-    return materialize(met.where(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("a", "b").distinct(), "links")
+    return materialize(met.where(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("a", "b"), "links")
 
 
 def block_links(node: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], crossed: bool, percent: int) -> list[tuple[int, int]]:
@@ -223,10 +231,10 @@ def block_links(node: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list
 def _join_components(rest: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes of different components that share a bucket and whose shingle sets are linked.
 
-    rest: bucket, rep, comp and m, the members of the bucket.
+    rest: bucket, rep, comp, m, the members of the bucket, and their shingles in all.
     """
     kind = rest.schema["rep"].dataType
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    parts = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
     # whole hashes: a false link of shorter ones would join components and hide true links
     held = rest.join(shingles.select("rep", F.col("shingles").alias("tokens")), "rep")  # dealt by rep, which is even, before blocks multiply the rows of hot buckets
     blocks = held.withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -267,7 +275,13 @@ def _join_components(rest: DataFrame, shingles: DataFrame, percent: int) -> Data
         finish()
 
     found = rows.mapInArrow(compared, f"a {kind.simpleString()}, b {kind.simpleString()}")
-    return materialize(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    return materialize(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+
+
+def _shared_nodes(sketches: DataFrame, sets: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Pairs (node, rep) for every set of the nodes that have several texts: such a node is linked with all of its sets."""
+    own = sketches.select("node", "set_hash").where("set_hash is not null").join(repeated.select("node"), "node").distinct()
+    return own.join(sets.select("set_hash", "rep"), "set_hash").select(F.col("node").alias("a"), F.col("rep").alias("b"))
 
 
 def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -276,7 +290,7 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, key: str = "do
     Sets are linked where 100 * intersection >= percent * union, on distinct shingles of n words; a text of
     fewer words is one shingle, one without words (or null) has none and is linked with nothing. A null key
     takes no part: component_id null, kept. Rows that share a key are one node, which is linked with whatever
-    any of their texts is linked with. Other columns are left out; an empty table gives no rows.
+    any of their texts is linked with, and equal texts link their nodes. Other columns are left out; an empty table gives no rows.
     """
     prepare(df.sparkSession)
     sketches = materialize(_sketches(df, key, text, n), "sketches")
@@ -284,6 +298,8 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, key: str = "do
         F.min("node").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
     sets = materialize(sets, "sets")
+    repeated = materialize(sketches.where("node is not null").groupBy("node").agg(F.count("*").alias("k")).where("k > 1"), "repeated")
+    again = not repeated.isEmpty()
     rows = sets.select("rep", "n", F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("low"), F.max("rep").alias("high")).where("low.rep < high")
     members = rows.join(buckets.select("bucket", F.col("low.rep").alias("low"), F.col("low.n").alias("low_n")), "bucket")
@@ -294,26 +310,27 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, key: str = "do
     best = shared.groupBy("rep").agg(F.max(F.struct("k", F.struct("low"))).alias("best"))
     first = materialize(best.select(F.col("rep").alias("a"), F.col("best.col2.low").alias("b")), "pairs")
     texts = df.select(F.col(key).alias("node"), F.col(text).alias("text"))
+    texts = texts.distinct() if again else texts
     shingles = _shingle_table(texts, members.select("rep").distinct(), n)
-    links = _confirm(first, shingles, percent)
+    confirmed = _confirm(first, shingles, percent)
+    links = confirmed.unionAll(_shared_nodes(sketches, sets, repeated)) if again else confirmed
 
     known = connected_components(links)
     placed = members.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    placed = materialize(placed.select("bucket", "rep", "comp"), "members")
+    placed = materialize(placed.select("bucket", "rep", "n", "comp"), "members")
     discard(members, first)
-    parted = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d")
-    rest = placed.join(parted.select("bucket", "m"), "bucket")
-    pairs = _join_components(rest, shingles, percent)
-    more = _confirm(pairs, shingles, percent)
-    discard(placed, pairs, shingles)
+    parted = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d")
+    rest = placed.drop("n").join(parted.select("bucket", "m", "total"), "bucket")
+    more = _join_components(rest, shingles, percent)
+    discard(placed, shingles)
     if not more.isEmpty():
         discard(known)
         known = connected_components(links.unionAll(more))
-    discard(links, more)
+    discard(confirmed, more)
 
     by_set = sketches.select("node", "n_shingles", "set_hash").join(sets.select("set_hash", "rep"), "set_hash", "left")
-    found = by_set.join(known.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "node")
+    found = by_set.withColumn("rep", F.coalesce("rep", "node")).join(known.withColumnRenamed("node", "rep"), "rep", "left")
+    component = F.coalesce("component", "rep")
     return found.select(
         F.col("node").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("node") == component, F.lit(True)).alias("kept")
     )

@@ -130,11 +130,74 @@ def test_op8_replaces_until_no_pair_is_frequent():
     assert (n_symbols[:30] == 1).all() and grammar.lengths.max() == 700
     ends = np.cumsum(n_symbols)
     pairs = collections.Counter(p for k, e in enumerate(ends) for p in zip(grammar.symbols[e - n_symbols[k] : e].tolist(), grammar.symbols[e - n_symbols[k] + 1 : e].tolist()))
-    assert max(pairs.values()) < token_files.LEAST
+    assert max(pairs.values()) < token_files.repays(2)
     shard = token_files.Shard(token_files.pack(grammar, n_symbols, sizes))
     assert np.array_equal(shard.all(), ids) and np.array_equal(shard.document(7, 100, 300), own[100:300])
 
 
+def test_op8_keeps_the_smaller_of_two_widths(monkeypatch):
+    rng = np.random.default_rng(2)
+    sizes = np.array([6000, 0, 6000])
+    ids = rng.integers(0, 12, 12_000)
+    monkeypatch.setattr(token_files, "NARROW", 40)
+    grammar, n_symbols = token_files.compress(ids, sizes)
+    wide = len(grammar.terminals) + len(grammar.rules) > 40
+    shard = token_files.Shard(token_files.pack(grammar, n_symbols, sizes))
+    assert np.array_equal(shard.all(), ids) and np.array_equal(shard.document(2), ids[6000:])
+    few = token_files.compress(np.repeat(ids[:3000], 4), np.array([12_000]))[0]
+    assert token_files.stored_bytes(few) <= 2 * 12_000 and (wide or len(grammar.rules) == 28)
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if k.bit_count() % 2 else a for k in range(n))
+
+
+@pytest.mark.parametrize("n", [16, 17, 1024, 2048])
+def test_chunks_with_colliding_hashes_keep_their_ids(n):
+    # polynomial hashes modulo a power of two are equal on these
+    texts = [thue_morse(n), thue_morse(n, "b", "a"), f"x {thue_morse(n)} y {thue_morse(n, 'b', 'a')}", "a\0", "a", "a\0\0"]
+    from tokenizers import Tokenizer
+
+    path, other = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
+    library = Tokenizer.from_file(path)
+    ids, sizes = token_files.Encoder(path).pool.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, sizes = bpe.ByteBpe(other, P.PATTERN).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [tiktoken_of(other).encode_ordinary(t) for t in texts]
+
+
+def test_a_full_chunk_pool_keeps_what_is_met_often():
+    from lumenfold.llm.chunks import ChunkPool
+
+    random.seed(5)
+    pool = ChunkPool(lambda new: (np.concatenate([np.frombuffer(c.encode(), np.uint8) for c in new]).astype(np.int32), np.array([len(c.encode()) for c in new])), limit=40, limit_ids=4000)
+    words = ["".join(random.choice("ab") for _ in range(random.choice([1, 8, 9, 16, 17, 18, 300]))) for _ in range(300)]
+    for _ in range(60):
+        text = " ".join(random.choices(words, k=20))
+        ids, n = pool.encode([text, ""])
+        assert bytes(ids.astype(np.uint8)) == text.encode() and n.tolist() == [len(text), 0]
+    assert pool.used < 120
+
+
+def test_op10_lengths_about_the_longest_row():
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    library, own = tiktoken_of(path), bpe.ByteBpe(path, P.PATTERN)
+    random.seed(8)
+    sizes = [bpe.LONGEST_ROW + d for d in (-1, 0, 1)]
+    texts = ["".join(random.choice(signs) for _ in range(n)) for n in sizes for signs in ("abcdefghij", "a", "!?", "st")]
+    ids, n = own.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_op10_decode_refuses_ids_that_it_lacks(spark):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    some = spark.createDataFrame([(1, [97, None]), (2, [10**6])], "k long, ids array<int>")
+    assert bpe.decode(spark.createDataFrame([(1, None), (2, [])], "k long, ids array<int>"), path, P.PATTERN).where("octet_length(decoded) = 0").count() == 2
+    for k in (1, 2):
+        with pytest.raises(Exception):  # noqa: B017
+            bpe.decode(some.where(f"k = {k}"), path, P.PATTERN).collect()
+
+
 def brute_leaks(text, items, window=10):
     fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
     words = fold(text)
@@ -268,11 +331,35 @@ def test_op7_links_are_not_lost_to_equal_low_bits(spark):
         hashes += [(node[c], sorted(sets[c])) for c in order]
         want |= {(max(node[c], node["k"]), min(node[c], node["k"])) for c in "ij"}
     near_dedup.prepare(spark)
-    rest = spark.createDataFrame(rest, "bucket long, rep long, comp long, m long").coalesce(1)
+    rest = spark.createDataFrame([(*r, 66) for r in rest], "bucket long, rep long, comp long, m long, total long").coalesce(1)
     hashes = spark.createDataFrame(hashes, "rep long, shingles array<bigint>").coalesce(1)
     assert {(r.a, r.b) for r in near_dedup._join_components(rest, hashes, 80).collect()} == want
 
 
+def test_op7_rows_that_share_a_key_are_one_node(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "quite another text of several words here")
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, c), (7, None), (11, ""), (11, c), (12, "")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (7, 3), (9, 9), (9, 9), (11, 9), (11, 9), (12, 12)]
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_op7_large_group_and_blocks(spark, monkeypatch):
+    # near copies in a ring of one-word changes, compared in many small blocks and under many copies of a hub
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "HUB_ROWS", 5)
+    random.seed(12)
+    base = [f"w{i}" for i in range(40)]
+    texts = {}
+    for i in range(120):
+        words = list(base)
+        for k in range(i % 6):
+            words[(i * 7 + k * 11) % 40] = f"v{random.randrange(9)}"
+        texts[i] = " ".join(words)
+    got = rows_of(near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), n=2))
+    assert {k: r.component_id for k, r in got.items()} == brute_components(texts, 2, 80)[0]
+
+
 def test_op7_odd_tables(spark, odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == len(ODD) + 2
