@@ -1,8 +1,9 @@
 """Operator 1, toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-Spans that may be disguised (look-alike signs inside words, a letter three times or more in a row, single
-letters set apart) become character lattices; Viterbi decoding under a trigram character model of the whole
-corpus, with a cost for each disguise, restores them. The words of the restored text are scored by the odds of
+Spans that may be disguised become character lattices: look-alike signs inside words, letters repeated three times
+or more or doubled throughout a word, single letters set apart, signs between the letters of a word, and words cut
+in two where the character model likes the whole better. Viterbi decoding under a trigram character model of the
+whole corpus, with a cost for each disguise, restores them. The words of the restored text are scored by the odds of
 their whole form and of their first letters among labelled documents; a logistic function of a document's
 strongest words gives the probability that it is toxic.
 """
@@ -39,11 +40,18 @@ LOOKALIKES = {
 }
 #: Costs, in nats, of the disguises and of leaving signs, repeated letters and gaps as they are.
 SUBSTITUTED, LEFT, REPEATED, AS_IS, SPACED, APART = 1.0, 7.0, 2.5, 0.0, 0.5, 5.0
+#: Costs of a gap or sign within a word of longer fragments: of dropping a sign or a space, of keeping either.
+INNER, SPLIT, WHOLE = 3.0, 6.0, 0.0
 
 LETTERS = 27  # 0 stands for all but letters
-_STRIP = ".,;:!?\"'()[]{}*#%&|<>-_…«»“”‘’"
-_REPEATS = re.compile(r"([^\W\d_])\1\1")
+_STRIP = ".,;:!?\"'()[]{}*#%&<>-_…«»“”‘’"
+_GAPS = " .-_*·"
+_REPEATS = re.compile(r"(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*")
+_DOUBLES = re.compile(r"(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1[^\W\d_]*?([^\W\d_])\2[^\W\d_]*")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){2,}[^\W_](?![^\W_])")
+_INNER = re.compile(r"[^\W\d_]+(?:[.\-_·][^\W\d_]+)+")
+_MARKED = re.compile(r"(?<!\S)[^\s0-9@$!|+(€£¥*]*[0-9@$!|+(€£¥*]\S*")
+_RUN = re.compile(r"(.)\1", re.DOTALL)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -89,22 +97,63 @@ def log_model(trigrams: np.ndarray) -> np.ndarray:
     return np.log(three / three.sum(2, keepdims=True))
 
 
-def suspects(text: str) -> list[str]:
-    """The spans of a text that may be disguised, each once."""
-    found = dict.fromkeys(m[0] for m in _SPACED.finditer(text))
-    for token in text.split():
-        if token.isalpha():
-            continue
-        core = token.rstrip(_STRIP).lstrip(_STRIP.replace("!", ""))
-        if core.isalpha():
-            if token.endswith("$") and not token.endswith("$$$"):
-                found[core + token[len(core) :]] = None
-        elif core and any(c in LOOKALIKES for c in core) and any(c.isalpha() for c in core):
-            if not core.endswith("$$$"):
-                found[core] = None
-    if _REPEATS.search(text):
-        found.update(dict.fromkeys(w for w in _WORDS.findall(text) if _REPEATS.search(w)))
-    return list(found)
+def gap_gains(logs: np.ndarray) -> np.ndarray:
+    """How much likelier two words are as one, by the last two letters of the one and the first two of the other."""
+    joined = logs[:, :, 1:, None] + logs[None, :, 1:, :]
+    apart = logs[:, :, 0][:, :, None, None] + logs[:, 0, 1:][None, :, :, None] + logs[0, 1:, :][None, None]
+    out = np.full((LETTERS,) * 4, -np.inf, np.float32)
+    out[:, 1:, 1:, :] = (joined - apart)[:, 1:]
+    return out
+
+
+def marked(token: str) -> tuple[int, int] | None:
+    """Where the part of a token with look-alike signs that may be disguised letters begins and ends.
+
+    Punctuation at the ends is left out, but for a "!" or "|" before a letter. Three or more "$" at the end are
+    decoration; one or two may be letters.
+    """
+    bare = token.rstrip(_STRIP + "|")
+    if bare.endswith("$$$"):
+        bare = bare.rstrip("$").rstrip(_STRIP + "|")
+    begin = len(bare) - len(bare.lstrip(_STRIP.replace("!", "")))
+    core = bare[begin:]
+    if core.isalpha() or not any(c in LOOKALIKES for c in core) or not any(c.isalpha() for c in core):
+        return None
+    return begin, len(bare)
+
+
+def suspects(text: str, gains: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Where the spans of a text that may be disguised begin and end, in order; those that overlap are one."""
+    found = [m.span() for m in _SPACED.finditer(text)]
+    for m in _MARKED.finditer(text):
+        if part := marked(m[0]):
+            found.append((m.start() + part[0], m.start() + part[1]))
+    found += [m.span() for m in _INNER.finditer(text)]
+    if _RUN.search(text):
+        found += [m.span() for m in _REPEATS.finditer(text)]
+        found += [m.span() for m in _DOUBLES.finditer(text) if 2 * sum(2 for _ in _RUN.finditer(m[0])) >= len(m[0])]
+    if gains is not None and " " in text:
+        code = np.frombuffer(f"  {text}  ".encode("utf-32-le"), np.uint32)
+        letter = _TABLE[np.minimum(code, 0x250)]
+        gap = np.flatnonzero(code[2:-2] == 32) + 2
+        likely = gap[gains[letter[gap - 2], letter[gap - 1], letter[gap + 1], letter[gap + 2]] > SPLIT] - 2
+        for i in likely.tolist():
+            j, k = i, i + 1
+            while j and text[j - 1].isalpha():
+                j -= 1
+            while k < len(text) and text[k].isalpha():
+                k += 1
+            found.append((j, k))
+    if len(found) < 2:
+        return found
+    found.sort()
+    spans = [found[0]]
+    for a, b in found[1:]:
+        if a < spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+        else:
+            spans.append((a, b))
+    return spans
 
 
 class Decoder(dict):
@@ -113,6 +162,7 @@ class Decoder(dict):
     def __init__(self, logs: np.ndarray):
         super().__init__()
         self.logs = logs.tolist()
+        self.gains = gap_gains(logs)
 
     def __missing__(self, span: str) -> str:
         if len(self) >= KEPT_SPANS:
@@ -123,8 +173,10 @@ class Decoder(dict):
     @staticmethod
     def lattice(span: str) -> list[list[tuple[str, float]]]:
         """For each run of one character, its readings and their costs."""
-        spaced = bool(_SPACED.fullmatch(span))
         low = span.lower()
+        # a span may hold several gaps: the letters about a gap are set apart if they stand alone on both sides
+        gap = [c in _GAPS and 0 < i < len(low) - 1 and low[i - 1].isalnum() and low[i + 1].isalnum() for i, c in enumerate(low)]
+        alone = lambda i: (i <= 0 or gap[i - 1]) and (i >= len(low) - 1 or gap[i + 1])
         slots: list[list[tuple[str, float]]] = []
         i = 0
         while i < len(low):
@@ -132,8 +184,10 @@ class Decoder(dict):
             while j < len(low) and low[j] == low[i]:
                 j += 1
             char, n = low[i], j - i
-            if spaced and i % 2 == 1 and n == 1:
+            if gap[i] and alone(i - 1) and alone(i + 1):
                 slots.append([("", SPACED), (char, APART)])
+            elif gap[i] and char not in LOOKALIKES:
+                slots.append([(char, WHOLE), ("", SPLIT if char == " " else INNER)])
             elif _letter(char):
                 slots.append([(char, 0.0)] if n == 1 else [(char, REPEATED), (char * 2, 0.0 if n == 2 else REPEATED), *[(char * n, AS_IS)] * (n > 2)])
             elif char in LOOKALIKES:
@@ -167,11 +221,14 @@ class Decoder(dict):
         return "".join(reversed(parts[1:]))
 
     def restore(self, text: str) -> str:
-        """The text with every disguised span replaced by its reading."""
-        read = {s: to for s in suspects(text) if (to := self[s]) != s.lower()}
-        if not read:
-            return text
-        return re.sub("|".join(re.escape(s) for s in sorted(read, key=len, reverse=True)), lambda m: read[m[0]], text)
+        """The text with every disguised span replaced by its reading, each at its place."""
+        parts, end = [], 0
+        for a, b in suspects(text, self.gains):
+            span = text[a:b]
+            if (read := self[span]) != span.lower():
+                parts += [text[end:a], read]
+                end = b
+        return "".join([*parts, text[end:]]) if parts else text
 
 
 def feature_hashes(word: str) -> list[int]:
