@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
+
+from lumenfold.session import materialize
 
 #: More intervals than this are not broadcast: the join then shuffles and salts.
 BROADCAST_ROWS = 100_000
@@ -65,8 +68,9 @@ def filter_urls(captures: DataFrame, events: DataFrame, url: str = "url", fetche
     URL, or without fetch time, matches nothing: 0, null, false. Captures stay one for one with ties, repeats
     and other columns; input columns of these three names are replaced. Equal (url, time) are tested once.
     """
-    valid = intervals(events)
-    asked = captures.select(F.col(url).alias("__url"), F.col(fetched_at).alias("__at")).distinct()
+    # written, as it is counted first and then joined
+    valid = materialize(intervals(events), "intervals")
+    asked = captures.select(F.col(url).alias("__url"), F.col(fetched_at).alias("__at")).dropna().distinct()
     keyed = asked.select("__url", "__at", F.explode(keys_of(F.col("__url"))).alias("key"))
     if valid.limit(broadcast_rows + 1).count() <= broadcast_rows:
         met = keyed.join(F.broadcast(valid), "key")
@@ -77,8 +81,14 @@ def filter_urls(captures: DataFrame, events: DataFrame, url: str = "url", fetche
     rank = F.struct(F.char_length("key"), (F.col("list") != "allow").cast("int"), F.col("key"))
     found = active.groupBy("__url", "__at").agg(F.count("*").alias("__n"), F.max(rank).alias("__best"))
     kept = captures.drop("n_active", "decided_by", "blocked")
+    # captures without host or time match nothing; a hash of the row deals them out, as nulls would all go to one task
+    hashable = [f.name for f in kept.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    matches = (host_of(F.col(url)) != "") & F.col(fetched_at).isNotNull()
+    kept = kept.withColumn("__place", F.when(matches, F.lit(0).cast("long")).otherwise(F.xxhash64(*hashable)))
+    found = found.withColumn("__place", F.lit(0).cast("long"))
     return (
-        kept.join(found, kept[url].eqNullSafe(found["__url"]) & kept[fetched_at].eqNullSafe(found["__at"]), "left")
+        kept.join(found, (kept["__place"] == found["__place"]) & (kept[url] == found["__url"]) & (kept[fetched_at] == found["__at"]), "left")
+        .drop("__place")
         .withColumn("n_active", F.coalesce("__n", F.lit(0).cast("long")))
         .withColumn("decided_by", F.col("__best")["key"])
         .withColumn("blocked", F.coalesce(F.col("__best")["col2"] == 1, F.lit(False)))
