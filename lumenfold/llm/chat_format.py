@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Turns whose spans are gathered at once.
+STEP = 256
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 
 
@@ -63,17 +65,30 @@ def format_chats(
         ).alias("pieces"),
     )
     size = F.char_length
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,chars:int>>)").alias("spans"))
+    # appending copies an array: spans grow in runs of STEP turns, and only the runs are appended to each other
+    runs = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("pieces"), F.lit(1)), F.lit(STEP)),
+        lambda i: F.aggregate(
+            F.slice("pieces", i, F.lit(STEP)),
+            start,
+            lambda acc, p: F.struct(
+                (acc["at"] + size(p["before"]) + size(p["text"]) + size(p["after"])).alias("at"),
+                F.when(
+                    p["loss"],
+                    F.concat(acc["spans"], F.array(F.struct((acc["at"] + size(p["before"])).alias("start"), size(p["text"]).alias("chars")))),
+                )
+                .otherwise(acc["spans"])
+                .alias("spans"),
+            ),
+        ),
+    )
     spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,chars:int>>)").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + size(p["before"]) + size(p["text"]) + size(p["after"])).alias("at"),
-            F.when(
-                p["loss"],
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + size(p["before"])).alias("start"), size(p["text"]).alias("chars")))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
+        runs,
+        start,
+        lambda acc, run: F.struct(
+            (acc["at"] + run["at"]).alias("at"),
+            F.concat(acc["spans"], F.transform(run["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["chars"].alias("chars")))).alias("spans"),
         ),
         lambda acc: acc["spans"],
     )

@@ -8,7 +8,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.session import ship_package
@@ -80,8 +80,14 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_CHARS) ->
         yield some
 
 
-#: Labelled rows that a model is fitted on at most (a documented bound of the fit alone; all rows are scored).
+#: Labelled rows that a model is fitted on at most, and characters of their texts in all (documented bounds of the fit
+#: alone; all rows are scored).
 SAMPLE_ROWS = 4000
+SAMPLE_CHARS = 16_000_000
+#: Longer texts are not sampled, so that one of them does not use up the bound.
+LONGEST_SAMPLED = 250_000
+#: Partitions that a sample is dealt to.
+SAMPLE_PARTS = 16
 
 
 def trains() -> Column:
@@ -89,11 +95,17 @@ def trains() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 != 1
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """documents joined with at most `rows` rows of labels, the least by a hash of doc_id, outside the held-out fold.
+def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, text, labels) of at most `rows` rows of labels, the least by a hash of doc_id, outside the held-out fold.
 
-    The bound makes the label side small enough to broadcast.
+    Of rows that share a doc_id, documents give their least text and labels their least values. In the order of
+    the hash, texts of up to LONGEST_SAMPLED characters are taken while these are at most `chars` in all. The bound of rows makes the label
+    side small enough to broadcast and the running sum over the sample one task of at most `rows` rows.
     """
-    chosen = labels.where(F.col("doc_id").isNotNull() & trains()).dropDuplicates(["doc_id"])
+    named = [c for c in labels.columns if c != "doc_id"]
+    chosen = labels.where(F.col("doc_id").isNotNull() & trains()).groupBy("doc_id").agg(F.min(F.struct(*named)).alias("__of"))
     few = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return documents.join(F.broadcast(few), "doc_id")
+    short = documents.where(F.coalesce(F.char_length("text"), F.lit(0)) <= LONGEST_SAMPLED)
+    met = short.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__of").alias("__of"))
+    upto = F.sum(F.coalesce(F.char_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return met.withColumn("__upto", upto).where(F.col("__upto") <= chars).select("doc_id", "text", "__of.*").repartition(SAMPLE_PARTS, "doc_id")

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import begin, finish, prepare, text_slices
 from lumenfold.session import materialize
 
-#: Item words in one broadcast automaton (some 50 MB in a worker); a longer benchmark goes in blocks, each a pass
-#: of its own over a written table, so that a task holds one automaton at a time.
+#: Item words in one broadcast automaton, by default (some 50 MB in a worker); a longer benchmark goes in blocks, each a
+#: pass of its own over a written table, so that a task holds one automaton at a time. Workers with more memory
+#: take larger blocks and so fewer passes: 500 bytes a word.
 BLOCK_WORDS = 100_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -144,13 +145,13 @@ class Automaton:
         return spans, items
 
 
-def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(items: DataFrame, key: str, text: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Items in blocks of bounded size, one block on the driver at a time."""
     block: list[tuple[str, list[bytes]]] = []
     size = 0
     for row in items.select(F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).toLocalIterator():
         words = words_of(row[1])
-        if block and size + len(words) > BLOCK_WORDS:
+        if block and size + len(words) > block_words:
             yield block
             block, size = [], 0
         block.append((row[0], words))
@@ -158,10 +159,11 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[str, l
     yield block
 
 
-def find_leaks(df: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "leaks", longest: int = 0) -> DataFrame:
+def find_leaks(df: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "leaks", longest: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """df with the struct out: n_words, n_hit, items (sorted ids as strings), spans of hit words and cleaned.
 
-    cleaned is the text without the spans of over `longest` words; null where nothing is cut.
+    cleaned is the text without the spans of over `longest` words; null where nothing is cut. block_words: item
+    words in one automaton, and so in one pass over df.
 
     A window is `window` consecutive item words, or a whole item of fewer. Spans are merged and count words
     from 0, end excluded. Null and empty texts have no words, items without words no windows; items that share
@@ -170,7 +172,7 @@ def find_leaks(df: DataFrame, items: DataFrame, window: int = 10, text: str = "t
     """
     spark: SparkSession = prepare(df.sparkSession)
     found = df.withColumn(out, F.lit(None).cast(RESULT))
-    for k, block in enumerate(_blocks(items, item_id, item_text)):
+    for k, block in enumerate(_blocks(items, item_id, item_text, block_words)):
         found = materialize(found, "leaks") if k else found
         shared = spark.sparkContext.broadcast(Automaton(block, window))
         found = found.withColumn(out, _pass(shared, longest)(F.col(text), F.col(out)))

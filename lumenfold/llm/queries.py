@@ -48,14 +48,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = pages.withColumn("fetched_at", F.expr("cast(date_add(date'2024-01-01', cast(page_id % 366 as int)) as timestamp)"))
     hosts = captures.select(url_filters.host_of(F.col("url")).alias("host")).where("host != ''").distinct()
     seen = hosts.withColumn("v", F.expr("cast(conv(substring(md5(host), 1, 8), 16, 10) as bigint)"))
-    day = lambda shift: f"cast(date_add(date'2024-01-01', cast(v % 200 + {shift} as int)) as timestamp)"
-    events = (
-        seen.where("v % 2 = 0").selectExpr("host as key", "'block' as list", f"{day(0)} as listed_at", "'add' as action")
-        .unionAll(seen.where("v % 6 = 0").selectExpr("host", "'block'", day(60), "'remove'"))
-        .unionAll(seen.where("v % 12 = 0").selectExpr("host", "'block'", day(120), "'add'"))
-        .unionAll(seen.where("v % 4 = 0").selectExpr("host || '/en'", "'allow'", day(30), "'add'"))
-        .unionAll(seen.where("v % 5 = 0").selectExpr("host || '/de'", "'block'", day(10), "'add'"))
+    event = lambda every, path, list_, shift, action: (
+        f"if(v % {every} = 0, struct(host || '{path}' as key, '{list_}' as list, cast(date_add(date'2024-01-01', cast(v % 200 + {shift} as int)) as timestamp) as listed_at, '{action}' as action), null)"
     )
+    kinds = [(2, "", "block", 0, "add"), (6, "", "block", 60, "remove"), (12, "", "block", 120, "add"), (4, "/en", "allow", 30, "add"), (5, "/de", "block", 10, "add")]
+    events = seen.select(F.inline(F.array_compact(F.array(*[F.expr(event(*k)) for k in kinds]))))
     return url_filters.filter_urls(captures, events).select("page_id", "n_active", "decided_by", "blocked")
 
 

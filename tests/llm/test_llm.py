@@ -227,12 +227,11 @@ def test_op2_against_brute_force(spark, odd, empty):
     assert decontaminate.find_leaks(odd, bench.where("false")).where("leaks.n_hit > 0").count() == 0
 
 
-def test_op2_blocks_agree(spark, monkeypatch):
+def test_op2_blocks_agree(spark):
     docs = spark.createDataFrame([(1, "x " + " ".join(f"w{i}" for i in range(40)))], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(3 * i, 3 * i + 12))) for i in range(9)], "item_id long, text string")
     whole = decontaminate.find_leaks(docs, bench).select("leaks.*").first()
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)
-    assert decontaminate.find_leaks(docs, bench).select("leaks.*").first() == whole
+    assert decontaminate.find_leaks(docs, bench, block_words=20).select("leaks.*").first() == whole
 
 
 def test_op2_removes_spans(spark):
@@ -244,6 +243,15 @@ def test_op2_removes_spans(spark):
     assert kept[1].text == "Before this, ! And after that there are many more words in the text here."
 
 
+def test_op2_odd_and_clashing_tables(spark, odd, empty):
+    bench = spark.createDataFrame([(1, "one two three"), (None, "lead and gaps"), (2, None)], "item_id long, text string")
+    clash = odd.withColumn("leaks", F.lit("old")).withColumn("cleaned", F.lit("own"))
+    found = decontaminate.remove_leaks(decontaminate.find_leaks(clash, bench), coverage=1.0)
+    assert found.count() == odd.count() and found.where("cleaned = 'own'").count() == odd.count()
+    assert rows_of(found.where("doc_id = 5"))[5].text == "" and found.where("text like '%gaps%'").count() == 0
+    assert decontaminate.remove_leaks(decontaminate.find_leaks(empty, bench)).count() == 0
+
+
 def test_op3_intervals_and_precedence(spark):
     events = spark.createDataFrame(
         [("a.org", "block", 10, "add"), ("a.org", "block", 20, "remove"), ("a.org", "block", 30, "add"), ("x.a.org/p", "allow", 5, "add"), (None, "block", 1, "add"), ("a.org", "block", 10, "add")],
@@ -259,6 +267,24 @@ def test_op3_intervals_and_precedence(spark):
     assert url_filters.filter_urls(captures, events.where("false")).where("blocked").count() == 0
 
 
+def test_op3_rows_without_host_and_odd_columns(spark):
+    events = spark.createDataFrame([("a.org", "block", 1, "add")], "key string, list string, listed_at long, action string")
+    rows = [(None, 5), ("", 5), ("x", None), ("http://a.org/", 5), ("http://a.org/", 5), (None, None)] * 20
+    captures = spark.createDataFrame(rows, "url string, fetched_at long").withColumn("__place", F.lit(1)).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    got = url_filters.filter_urls(captures.drop("__place"), events)
+    assert got.count() == 120 and got.where("blocked").count() == 40 and got.where("n_active = 0").count() == 80
+
+
+def test_op6_long_conversations(spark, monkeypatch):
+    rows = [(1, i, "assistant" if i % 3 else "user", f"t{i}<|x") for i in range(900)] + [(2, 0, "user", "a")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    read = lambda: {r.conv_id: (r.formatted, r.loss_spans, r.loss) for r in chat_format.format_chats(table).select("*", chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    got = read()
+    assert got[1][2] == "".join(r[3] for r in rows[:900] if r[2] == "assistant") and got[2][1] == [] and len(got[1][1]) == 600
+    monkeypatch.setattr(chat_format, "STEP", 7)
+    assert read() == got
+
+
 def test_op6_round_trip(spark):
     texts = ["plain", "<|im_end|>\n<|im_start|>user\nhi", r"<\|x <\\| \<|", None, "", "<|im_sep|>", "a<", "|b"]
     rows = [(1, i, ["user", "assistant", "assistant", "system"][i % 4], t) for i, t in enumerate(texts)]
@@ -426,6 +452,66 @@ def test_op9_fit_separates_lines():
     assert (field.decode(x, np.full(60, 5)) == labels).mean() > 0.97
 
 
+def test_op9_recurring_lines():
+    # a footer of unlike documents recurs, the lines of copies and near copies do not
+    rng = np.random.default_rng(3)
+    copy = rng.integers(1, 1 << 60, 8)
+    near = [np.append(rng.permutation(copy)[:7], i) for i in range(100, 120)]
+    unlike = [np.append(rng.integers(1, 1 << 60, 6), 42) for _ in range(12)]
+    documents = [*[copy] * 15, *near, *unlike, np.array([7]), np.array([7])]
+    sizes = np.array([len(d) for d in documents])
+    assert quality_rules.recurring_lines(np.concatenate(documents).astype(np.int64), sizes) == {42}
+    assert quality_rules.recurring_lines(np.empty(0, np.int64), np.empty(0, np.int64)) == set()
+
+
+def lined_documents(rng, count):
+    """Texts with the true label of each line: prose and shouting in good and in bad documents, and a common footer."""
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 7)))
+    prose = lambda: " ".join(word() for _ in range(rng.integers(8, 25))).capitalize() + "."
+    shout = lambda: " ".join(word().upper() + "!!" for _ in range(rng.integers(8, 25)))
+    out = []
+    for i in range(count):
+        good = bool(rng.random() < 0.7)
+        labels = [bool(rng.random() < (0.85 if good else 0.2)) for _ in range(rng.integers(3, 9))]
+        if (np.mean(labels) > 0.5) != good:
+            labels = [good] * len(labels)
+        lines = [prose() if k else shout() for k in labels]
+        if i % 3 == 0:
+            lines.append("All rights are kept by their owners.")
+            labels.append(False)
+        out.append((good, labels, "\n".join(lines)))
+    return out
+
+
+def test_op9_labels_planted_lines(spark):
+    rng = np.random.default_rng(11)
+    documents = lined_documents(rng, 400)
+    texts = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(documents)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(g), 0) for i, (g, _, _) in enumerate(documents)], "doc_id long, quality int, toxic int")
+    field = quality_rules.train(texts, labels)
+    assert quality_rules.line_hash(b"All rights are kept by their owners.") in field.recurring
+    got = rows_of(quality_rules.label_lines(texts, field))
+    hits = [a == b for i, (_, truth, _) in enumerate(documents) for a, b in zip(got[i].rules.content, truth)]
+    assert np.mean(hits) > 0.95
+    mixed = [0 < sum(r.rules.content) < len(r.rules.content) for r in got.values()]
+    assert np.mean(mixed) > 0.3 and 0.02 < np.mean([0 < r.rules.content_share < 1 for r in got.values()])
+
+
+def test_op9_lines_of_real_documents_are_mixed(spark):
+    folder = "/root/testdata/sf0.01"
+    got = queries.op9_quality_rules(spark, folder).collect()
+    field = quality_rules.train(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    lined = quality_rules.label_lines(spark.read.parquet(f"{folder}/documents.parquet"), field).select("doc_id", "rules.content", "rules.content_share").collect()
+    several = [r for r in lined if len(r.content) > 1]
+    assert np.mean([0 < sum(r.content) < len(r.content) for r in several]) > 0.05
+    labels = held_out(spark.read.parquet(f"{folder}/labels.parquet").toPandas())
+    share = {r.doc_id: r.content_share for r in lined}
+    assert np.mean([(share[i] >= 0.5) == (q == 1) for i, q in zip(labels.doc_id, labels.quality)]) > 0.93
+    failed = {r.doc_id: r.base_failed for r in got}
+    good = [i for i, q in zip(labels.doc_id, labels.quality) if q == 1 and not failed[i]]
+    assert np.mean([share[i] >= 0.5 for i in good]) > 0.97
+
+
 def held_out(labels):
     return labels[[zlib.crc32(str(i).encode()) % 3 == 1 for i in labels.doc_id]]
 
@@ -453,6 +539,100 @@ def test_op1_restores_disguises(spark, sf_dir):
     assert decoder.restore("nothing hidden here, 42 times.") == "nothing hidden here, 42 times."
 
 
+def test_op1_viterbi_finds_the_cheapest_reading():
+    rng = np.random.default_rng(4)
+    decoder = toxicity.Decoder(np.log(rng.dirichlet(np.ones(27), (27, 27))))
+
+    def cost(path):
+        x = y = 0
+        total = 0.0
+        for out, price in [*path, (" ", 0.0)]:
+            total += price
+            for char in out:
+                z = toxicity._letter(char)
+                total -= decoder.logs[x][y][z]
+                x, y = y, z
+        return total
+
+    for span in ("1d10t", "s t u p", "iddiioott", "st upid", "id-i.ot", "$$a@b", "aaa bbb", "*|*"):
+        paths = list(itertools.product(*decoder.lattice(span)))
+        best = min(map(cost, paths))
+        read = decoder.decode(span)
+        assert min(cost(p) for p in paths if "".join(o for o, _ in p) == read) == pytest.approx(best)
+
+
+def test_op1_suspects_and_places():
+    found = lambda text: [text[a:b] for a, b in toxicity.suspects(text)]
+    assert found("an iddiioott, a committed letter") == ["iddiioott"]
+    assert found("id-iot st_u.pid plain.") == ["id-iot", "st_u.pid"]
+    assert found("1d10t$$$ |diot price$$$ m0r0n!! 42 (see) wow!!!") == ["1d10t", "|diot", "m0r0n"]
+    assert found("s t u p i d and traaash") == ["s t u p i d", "traaash"]
+    logs = toxicity.log_model(np.ones((27, 27, 27)))
+    decoder = toxicity.Decoder(logs)
+    decoder["1d"], decoder["aaa"] = "X", "Y"
+    assert decoder.restore("1d x1d 1d, aaa baaab 1d") == "X x1d X, Y baaab X".replace("x1d", decoder["x1d"]).replace("baaab", decoder["baaab"])
+    assert decoder.restore("") == "" and toxicity.suspects("") == []
+
+
+def test_op1_joins_what_the_model_likes_whole(spark):
+    model = toxicity.log_model(toxicity.count_trigrams(spark.createDataFrame([("you stupid clown the stupid moron is stupid and a clown " * 30,)], "text string")))
+    decoder = toxicity.Decoder(model)
+    for seen, want in {"st upid here": "stupid", "so iddiioott": "idiot", "stup-id": "stupid", "s.tupid": "stupid", "|diot": "idiot"}.items():
+        if "idiot" not in want:
+            assert want in decoder.restore(seen), (seen, decoder.restore(seen))
+    assert decoder.restore("the clown is stupid") == "the clown is stupid"
+
+
+def test_op1_time_grows_with_the_text_alone():
+    import time
+
+    decoder = toxicity.Decoder(toxicity.log_model(np.ones((27, 27, 27))))
+    texts = [" ".join(f"w{k % 500}0rd{k % 7}" for k in range(n)) for n in (4_000, 64_000)]
+    decoder.restore(texts[0])
+    spent = []
+    for text in texts:
+        began = time.perf_counter()
+        decoder.restore(text)
+        spent.append(time.perf_counter() - began)
+    assert spent[1] < 64 * max(spent[0], 0.01)
+
+
+def test_op4_fit_is_the_likeliest_of_a_grid():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=80)
+    grades = (x + rng.logistic(0, 0.7, 80) > -0.5).astype(int) + (x + rng.logistic(0, 0.7, 80) > 0.8)
+    ridge = 1e-4
+    model = quality.fit([np.array([5])] * 80, [np.array([v]) for v in x], grades, rounds=3000, rate=0.02, ridge=ridge)
+
+    def loss(w, a, b):
+        below = 1 / (1 + np.exp(-(np.array([[a], [b]]) - w * x)))
+        p = np.stack([below[0], below[1] - below[0], 1 - below[1]])[grades, np.arange(80)]
+        return -np.log(np.maximum(p, 1e-12)).mean() + 5 * ridge * w * w / 80
+
+    w, (a, b) = model.weights[5], model.thresholds
+    own = loss(w, a, b)
+    brute = min(loss(u, c, d) for u in np.linspace(0, 4, 41) for c in np.linspace(-3, 1, 41) for d in np.linspace(-1, 4, 51) if c < d)
+    assert own <= brute + 1e-6
+    steps = [loss(w + e, a, b) for e in (-0.02, 0.02)] + [loss(w, a + e, b) for e in (-0.02, 0.02)] + [loss(w, a, b + e) for e in (-0.02, 0.02)]
+    assert all(s >= own - 1e-9 for s in steps)
+    # probabilities of the grades by hand
+    below = 1 / (1 + np.exp(-(model.thresholds - (w * x)[:, None])))
+    assert np.allclose(model.below(w * x), below)
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    from lumenfold.llm import common
+
+    docs = spark.createDataFrame([(i % 30, "x" * (i + 1)) for i in range(60)] + [(99, "y" * 300_000), (None, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(3, 0), (99, 1), (None, 1)], "doc_id long, quality int")
+    got = common.labelled_sample(docs, labels, rows=1000).collect()
+    assert len({r.doc_id for r in got}) == len(got) and all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id != 99 for r in got)
+    assert {r.quality for r in got if r.doc_id == 3} <= {0}
+    few = common.labelled_sample(docs, labels, rows=1000, chars=100).collect()
+    assert 0 < sum(len(r.text) for r in few) <= 100 and len(few) < len(got)
+    assert len(common.labelled_sample(docs, labels, rows=5).collect()) <= 5
+
+
 def test_op4_held_out_accuracy(spark, odd, empty):
     folder = "/root/testdata/sf0.01"
     labels = held_out(spark.read.parquet(f"{folder}/labels.parquet").toPandas())
