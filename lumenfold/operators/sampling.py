@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators import healpix
+
 
 def translations(spark: SparkSession, reach: float, step: float) -> DataFrame:
     """(x, y): multiples of step within the disc of radius reach."""
@@ -41,37 +43,6 @@ def sampling_counts(step: float, reach: float, offset_step: float, healpix_order
     return {"directions": directions, "psi": math.ceil(360 / step), "translations": shifts, "points": directions * math.ceil(360 / step) * shifts * 8**order * 4**order}
 
 
-#: Fixed values of the nested equal-area pixelisation: ring and longitude offsets of its twelve base faces.
-FACE_RING = (2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4)
-FACE_PHI = (1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7)
-
-
-def healpix_directions(order: int) -> np.ndarray:
-    """Centres (rot, tilt) in degrees of all pixels, in nested order."""
-    side = 2**order
-    pixel = np.arange(12 * side * side)
-    face, inside = np.divmod(pixel, side * side)
-    x, y = np.zeros_like(inside), np.zeros_like(inside)
-    for bit in range(order):
-        x |= (inside >> (2 * bit) & 1) << bit
-        y |= (inside >> (2 * bit + 1) & 1) << bit
-    ring = np.array(FACE_RING)[face] * side - x - y - 1
-    north, south = ring < side, ring > 3 * side
-    half = np.where(north, ring, np.where(south, 4 * side - ring, side))
-    z = np.where(north, 1 - half**2 / (3 * side**2), np.where(south, half**2 / (3 * side**2) - 1, (2 * side - ring) * 2 / (3 * side)))
-    shift = np.where(north | south, 0, (ring - side) & 1)
-    place = (np.array(FACE_PHI)[face] * half + x - y + 1 + shift) // 2
-    place = np.where(place > 4 * half, place - 4 * half, np.where(place < 1, place + 4 * half, place))
-    phi = (place - (shift + 1) * 0.5) * (np.pi / 2) / half
-    return np.stack([np.degrees(phi), np.degrees(np.arccos(z))], 1)
-
-
-def directions(spark: SparkSession, order: int) -> DataFrame:
-    """(pixel, rot, tilt): a table bounded by the order."""
-    found = healpix_directions(order)
-    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(found)], "pixel long, rot double, tilt double")
-
-
 def asymmetric_unit(grid: DataFrame, group: str, n: int = 1) -> DataFrame:
     """Directions of one unit of a point group; rot is taken in (-180, 180]."""
     rot = "(rot - ceil((rot - 180) / 360) * 360)"
@@ -154,20 +125,21 @@ def perturbed(angle: float, step: float, draw: float, order: int = 0) -> float:
     return float((moved + width / 2) % width - width / 2)
 
 
-def near_prior(grid: DataFrame, priors: DataFrame, sigma: float, reach: float = 3.0) -> DataFrame:
-    """(id, pixel, weight): directions within reach * sigma of each prior, or the nearest one, with Gaussian shares.
+def near_prior(priors: DataFrame, order: int, sigma: float, reach: float = 3.0) -> DataFrame:
+    """(id, pixel, weight): directions of the order within reach * sigma of each prior, or the nearest one, with Gaussian shares.
 
-    grid (pixel, rot, tilt) is bounded by its order and broadcast; priors have id, prior_rot and prior_tilt.
+    priors have id, prior_rot and prior_tilt; each meets the directions of the cells around its own only.
     """
-    from pyspark.sql import Window
-
+    grid = healpix.directions(priors.sparkSession, order)
+    met = healpix.near(grid, priors, reach * sigma, order, "prior_rot", "prior_tilt")
     dot = F.expr("cos(radians(tilt)) * cos(radians(prior_tilt)) + sin(radians(tilt)) * sin(radians(prior_tilt)) * cos(radians(rot - prior_rot))")
     angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
-    met = priors.join(F.broadcast(grid), F.lit(True)).select("id", "pixel", angle.alias("angle"))
     nearest = Window.partitionBy("id").orderBy("angle", "pixel")
-    kept = met.withColumn("k", F.row_number().over(nearest)).where((F.col("angle") <= reach * sigma) | (F.col("k") == 1))
+    placed = met.select("id", "pixel", angle.alias("angle")).withColumn("k", F.row_number().over(nearest))
+    kept = placed.where((F.col("angle") <= reach * sigma) | (F.col("k") == 1))
     weight = F.exp(-F.col("angle") * F.col("angle") / (2 * sigma * sigma))
-    return kept.select("id", "pixel", (weight / F.sum(weight).over(Window.partitionBy("id"))).alias("weight"))
+    total = F.sum(weight).over(Window.partitionBy("id"))
+    return kept.select("id", "pixel", F.when(total > 0, weight / total).otherwise(F.lit(1.0)).alias("weight"))
 
 
 def half_space_unit(grid: DataFrame, planes: list[np.ndarray]) -> DataFrame:
