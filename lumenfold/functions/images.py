@@ -31,6 +31,28 @@ def soft_mask(image: np.ndarray, radius: float, width: float) -> np.ndarray:
     return w * image + (1 - w) * background
 
 
+def solvent_flatten(image: np.ndarray, radius: float, width: float) -> np.ndarray:
+    """The image or volume inside the radius, over a cosine edge; 0 beyond."""
+    at = np.meshgrid(*[np.arange(n) - n // 2 for n in image.shape], indexing="ij")
+    return image * cosine_weights(np.sqrt(sum(a * a for a in at)), radius, width)
+
+
+def noise_mask(image: np.ndarray, radius: float, width: float, sigma2: np.ndarray, seed: int) -> np.ndarray:
+    """The image inside the radius; beyond, noise of the given spectrum by shell that the seed fixes."""
+    n = image.shape[0]
+    shell = np.minimum(np.round(np.hypot(np.fft.fftfreq(n)[:, None], np.fft.rfftfreq(n)) * n).astype(int), len(sigma2) - 1)
+    drawn = np.fft.rfft2(np.random.default_rng(seed).normal(size=image.shape)) / n
+    noise = np.fft.irfft2(drawn * np.sqrt(2 * sigma2[shell]) * n * n, s=image.shape)
+    w = cosine_weights(grid(n), radius, width)
+    return w * image + (1 - w) * noise
+
+
+def window(image: np.ndarray, m: int) -> np.ndarray:
+    """The middle of side m of an image or volume."""
+    cut = tuple(slice(n // 2 - m // 2, n // 2 - m // 2 + m) for n in image.shape)
+    return image[cut]
+
+
 def low_pass(image: np.ndarray, shell: float, width: float = 2.0) -> np.ndarray:
     """Frequencies below the shell, with a raised cosine edge."""
     n = image.shape[0]

@@ -117,8 +117,33 @@ def polynomial_fit(x: np.ndarray, y: np.ndarray, degree: int, weights: np.ndarra
 
 
 def weighted_chi2_cdf(x: float, weights: np.ndarray, samples: int = 4096) -> float:
-    """P(sum of weights times squared normals <= x), by numerical inversion of the characteristic function."""
+    """P(sum of weights times squared normals <= x).
+
+    Weights of like size: a mixture of chi-square distributions of rising order, all scaled by the least weight, with
+    non-negative shares. Others: numerical inversion of the characteristic function.
+    """
     weights = np.asarray(weights, float)
+    if x <= 0:
+        return 0.0
+    least = float(weights.min())
+    if weights.max() <= 50 * least:
+        n, y = len(weights), x / least
+        decay = 1 - least / weights
+        shares, powers, part = [float(np.prod(np.sqrt(least / weights)))], [], np.ones(n)
+        at = math.erf(math.sqrt(y / 2)) if n % 2 else -math.expm1(-y / 2)
+        for order in range(2 - n % 2, n, 2):
+            at -= math.exp(order / 2 * math.log(y / 2) - y / 2 - math.lgamma(order / 2 + 1))
+        total, held = shares[0] * at, shares[0]
+        for k in range(1, 5000):
+            if held > 1 - 1e-12:
+                break
+            part = part * decay
+            powers.append(part.sum())
+            shares.append(float(np.dot(powers[::-1], shares)) / (2 * k))
+            order = n + 2 * k - 2
+            at -= math.exp(order / 2 * math.log(y / 2) - y / 2 - math.lgamma(order / 2 + 1))
+            total, held = total + shares[-1] * at, held + shares[-1]
+        return float(min(max(total, 0.0), 1.0))
     scale = float(np.sqrt((weights**2).sum()))
     limit, u = 60 / scale, None
     u = (np.arange(samples * 8) + 0.5) * limit / (samples * 8)
@@ -181,6 +206,68 @@ def zoom(a: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
     return a
 
 
+def convolve(a: np.ndarray, b: np.ndarray, same: bool = False) -> np.ndarray:
+    """The full convolution of two series, or its middle part as long as the first."""
+    full = np.convolve(a, b)
+    start = (len(b) - 1) // 2
+    return full[start : start + len(a)] if same else full
+
+
+def converged(history: list[float], precision: float) -> bool:
+    """Whether the last three values differ by less than the precision, relative to the earlier ones; equal ones tell nothing."""
+    if len(history) < 3 or history[-1] == history[-2]:
+        return False
+    a, b, c = history[-3:]
+    return abs(a - b) < precision * abs(a) and abs(c - b) < precision * abs(b)
+
+
+def bracket(f: Callable[[float], float], a: float, b: float, grow: float = 1.618, rounds: int = 100) -> tuple[float, float]:
+    """Ends of an interval that holds a minimum, by growing steps downhill from a and b."""
+    fa, fb = f(a), f(b)
+    if fb > fa:
+        a, b, fa, fb = b, a, fb, fa
+    for _ in range(rounds):
+        c = b + grow * (b - a)
+        fc = f(c)
+        if fc >= fb:
+            return (a, c) if a < c else (c, a)
+        a, b, fb = b, c, fc
+    raise ValueError("no minimum was enclosed")
+
+
+def grid_peak(f: Callable[[tuple[int, ...]], float], bounds: list[tuple[int, int]], parts: int = 8) -> tuple[tuple[int, ...], float]:
+    """The best point of an integer grid [low, high) found by halving steps.
+
+    Each round tries all points of its step; where the best stands out by half a standard deviation, the next looks
+    about it alone, else everywhere.
+    """
+    steps = [max(1, (high - low) // parts) for low, high in bounds]
+    box = list(bounds)
+    best, value = tuple(low for low, _ in bounds), -math.inf
+    while True:
+        axes = [np.arange(low, high, step) for (low, high), step in zip(box, steps)]
+        points = [tuple(int(v) for v in p) for p in np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, len(bounds))]
+        found = np.array([f(p) for p in points])
+        if found.max() > value:
+            value, best = float(found.max()), points[int(found.argmax())]
+        if all(s == 1 for s in steps):
+            return best, value
+        if value - found.mean() > 0.5 * found.std():
+            box = [(max(low, b - s), min(high, b + s + 1)) for (low, high), b, s in zip(bounds, best, steps)]
+        steps = [max(1, s // 2) for s in steps]
+
+
+def clear_peaks(y: np.ndarray, least_height: float = 0.0, least_gap: int = 1) -> list[int]:
+    """Places of local maxima at least so high, the highest first to claim its surroundings of least_gap places."""
+    y = np.asarray(y, float)
+    inner = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:])) + 1
+    kept: list[int] = []
+    for i in sorted(inner[y[inner] >= least_height].tolist(), key=lambda i: (-y[i], i)):
+        if all(abs(i - k) >= least_gap for k in kept):
+            kept.append(i)
+    return sorted(kept)
+
+
 def ricker(points: int, width: float) -> np.ndarray:
     t = np.arange(points) - (points - 1) / 2
     q = (t / width) ** 2

@@ -128,6 +128,24 @@ def ricker(t: Column, width: float) -> Column:
     return 2 / (math.sqrt(3 * width) * math.pi**0.25) * (1 - q) * F.exp(-q / 2)
 
 
+def uniform(key: Column, seed: int) -> Column:
+    """A number from 0 to 1 that the seed and the key fix: 52 bits of a hash."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 13), 16, 10)
+    return bits.cast("double") / float(1 << 52)
+
+
+def normal(key: Column, seed: int) -> Column:
+    """A standard normal number that the seed and the key fix, from two uniform ones."""
+    first = F.greatest(uniform(key, seed), F.lit(2.0**-52))
+    return F.sqrt(-2 * F.log(first)) * F.cos(2 * F.pi() * uniform(key, seed + 1))
+
+
+def perturbed(angle: Column, step: float, draw: Column, order: int = 0) -> Column:
+    """An accumulated random perturbation, wrapped into half a step on both sides; draw is between -1 and 1."""
+    width = step / 2**order
+    return wrap(angle + draw * (width / 2), -width / 2, width / 2)
+
+
 def half_away(x: Column) -> Column:
     """Rounding half away from zero."""
     return F.signum(x) * F.floor(F.abs(x) + 0.5)

@@ -1,18 +1,56 @@
-"""Expectation-maximisation building blocks on long tables; everything per image stays in one partition."""
+"""Expectation-maximisation building blocks; everything per image stays in one partition."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
+
+from lumenfold.session import ship_package
+
+
+def reference_images(means: DataFrame, at: str = "p", value: str = "r", by: str = "class_no") -> tuple[list, np.ndarray]:
+    """Class numbers and their images from a long table, whose size the model fixes."""
+    rows = means.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(at, value))).alias("r")).orderBy(by).collect()
+    return [r[by] for r in rows], np.array([[x[value] for x in r["r"]] for r in rows], float)
+
+
+def matrix_of(batch: pa.Array) -> np.ndarray:
+    """The rows of an array column of equally long arrays as a matrix."""
+    flat = batch.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(batch), -1).astype(float, copy=False)
 
 
-def squared_difference(pixels: DataFrame, references: DataFrame, image: str = "vec_id", at: str = "p", value: str = "v", reference: str = "r", by: str = "class_no") -> DataFrame:
-    """(image, by, diff2): half the squared difference of each image from each reference.
+def squared_difference(images: DataFrame, references: tuple[list, np.ndarray], image: str = "vec_id", pixels: str = "pixels", by: str = "class_no", kind: DataType | None = None) -> DataFrame:
+    """(image, by, diff2): half the squared difference of each image from each reference; kind: the type of by.
 
-    References are classes times pixels, a size fixed by the model, and are broadcast.
+    One matrix product a batch; the references, a model's, are broadcast as a matrix. Images must not be null.
     """
-    met = pixels.join(F.broadcast(references), at)
-    return met.groupBy(image, by).agg((F.sum((F.col(value) - F.col(reference)) * (F.col(value) - F.col(reference))) / 2).alias("diff2"))
+    names, matrix = references
+    ship_package(images.sparkSession)
+    shared = images.sparkSession.sparkContext.broadcast(matrix)
+
+    @F.arrow_udf("array<double>")
+    def halves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        r = shared.value
+        own = (r * r).sum(1)
+        for batch in batches:
+            if len(batch):
+                x = matrix_of(batch)
+                d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ r.T + own, 0) / 2
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1, dtype=np.int32) * len(r)), pa.array(d.ravel()))
+            else:
+                yield pa.array([], pa.list_(pa.float64()))
+
+    # an inner explode would infer a filter on its array, and the product would run once more for it
+    long = images.select(image, F.posexplode_outer(halves(pixels)).alias("__k", "diff2")).where("__k is not null")
+    numbered = F.get(F.array(*[F.lit(n) for n in names]), F.col("__k"))
+    numbered = numbered if kind is None else numbered.cast(kind)
+    return long.select(image, numbered.alias(by), "diff2")
 
 
 def posterior(samples: DataFrame, image: str = "vec_id", diff2: str = "diff2", prior: Column | None = None) -> DataFrame:

@@ -139,23 +139,68 @@ class LatentMap:
     history: list[float] = field(default_factory=list)
 
 
-def latent_basis(k: int, dimension: int = 1) -> np.ndarray:
-    """Gaussians on int(0.8 k) centres an axis, and a constant."""
-    if k < 3:
+def axis_sizes(k: int | list[int], dimension: int) -> list[int]:
+    """Points of each axis: one number for all, or one an axis."""
+    sizes = [k] * dimension if isinstance(k, int) else list(k)
+    if len(sizes) != dimension:
+        raise ValueError(f"{len(sizes)} sizes for {dimension} axes")
+    if min(sizes) < 3:
         raise ValueError("a latent grid needs three points at least")
-    m = int(0.8 * k)
-    step = m / (m - 1) * (k - 1) / (m - 1)
-    centers = m / (m - 1) + step * np.arange(m)
-    axis = np.exp(-((np.arange(1, k + 1)[:, None] - centers) ** 2) / (2 * step * step))
-    phi = axis
-    for _ in range(dimension - 1):
+    return sizes
+
+
+def latent_basis(k: int | list[int], dimension: int = 1) -> np.ndarray:
+    """Gaussians on int(0.8 k) centres an axis, and a constant; the first axis goes slowest."""
+
+    def along(points: int) -> np.ndarray:
+        m = int(0.8 * points)
+        step = m / (m - 1) * (points - 1) / (m - 1)
+        centers = m / (m - 1) + step * np.arange(m)
+        return np.exp(-((np.arange(1, points + 1)[:, None] - centers) ** 2) / (2 * step * step))
+
+    sizes = axis_sizes(k, dimension)
+    phi = along(sizes[-1])
+    for points in reversed(sizes[:-1]):
+        axis = along(points)
         phi = np.einsum("im,jn->ijmn", axis, phi).reshape(len(axis) * len(phi), -1)
     return np.column_stack([phi, np.ones(len(phi))])
 
 
+#: Pixels up to which a whole covariance matrix is summed.
+EXACT_PIXELS = 1024
+
+
+def _leading_axes(images: DataFrame, axes: int, d: int, pixels: str, rounds: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first = statistics(images, [pixels], lambda b, k: np.append(b[pixels].sum(0), k), d + 1)
+    count, mean = first[-1], first[:-1] / first[-1]
+    wide = min(d, axes + 8)
+    basis = np.linalg.qr(np.random.default_rng(5).normal(size=(d, wide)))[0]
+    image = basis
+    for _ in range(rounds):
+        shared = images.sparkSession.sparkContext.broadcast((mean, basis))
+
+        def fold(batch: dict[str, np.ndarray], k: int) -> np.ndarray:
+            m, q = shared.value  # noqa: B023
+            x = batch[pixels] - m
+            return (x.T @ (x @ q)).ravel()
+
+        image = statistics(images, [pixels], fold, d * wide).reshape(d, wide) / count
+        shared.unpersist()
+        values, turn = np.linalg.eigh(basis.T @ image)
+        last, basis = basis, np.linalg.qr(image)[0]
+    order = np.argsort(-values)[:axes]
+    return mean, values[order], last @ turn[:, order]
+
+
 def principal_axes(images: DataFrame, axes: int, pixels: str = "pixels") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, eigenvalues falling, eigenvectors) of the covariance of the images."""
+    """(mean, eigenvalues falling, eigenvectors) of the covariance of the images.
+
+    Up to EXACT_PIXELS pixels, or for most of the axes, from the whole matrix; beyond, from projections on a few more
+    axes than asked for (subspace iteration), so that sums have pixels times axes numbers.
+    """
     d = int(images.select(F.size(pixels)).first()[0])
+    if d > EXACT_PIXELS and 4 * axes < d:
+        return _leading_axes(images, axes, d, pixels)
     total = statistics(images, [pixels], lambda b, k: np.concatenate([(b[pixels].T @ b[pixels]).ravel(), b[pixels].sum(0), [k]]), d * d + d + 1)
     count, mean = total[-1], total[d * d : d * d + d] / total[-1]
     values, vectors = np.linalg.eigh(total[: d * d].reshape(d, d) / count - np.outer(mean, mean))
@@ -163,39 +208,60 @@ def principal_axes(images: DataFrame, axes: int, pixels: str = "pixels") -> tupl
     return mean, values[order], vectors[:, order]
 
 
-def fit_latent_map(images: DataFrame, k: int, rounds: int, dimension: int = 1, alpha: float = 0.01, update_beta: bool = True, pixels: str = "pixels") -> LatentMap:
+def fit_latent_map(images: DataFrame, k: int | list[int], rounds: int, dimension: int = 1, alpha: float = 0.01, update_beta: bool = True, pixels: str = "pixels", ctf: str | None = None) -> LatentMap:
     """Generative topographic mapping: softmax over latent nodes, then a ridge solution for the weights.
 
-    The ridge alpha / beta goes to all but the constant basis function. Starts from the principal axes.
+    The ridge alpha / beta goes to all but the constant basis function. Starts from the principal axes. ctf: a column
+    with the factor of each pixel, by which nodes are multiplied before they are compared with an image; each pixel
+    then has a solution of its own.
     """
     phi = latent_basis(k, dimension)
     mean, values, vectors = principal_axes(images, dimension + 1, pixels)
-    axes = np.stack(np.meshgrid(*[np.linspace(-1.7, 1.7, k)] * dimension, indexing="ij"), -1).reshape(-1, dimension)
+    axes = np.stack(np.meshgrid(*[np.linspace(-1.7, 1.7, n) for n in axis_sizes(k, dimension)], indexing="ij"), -1).reshape(-1, dimension)
     start = mean + axes @ (vectors[:, :dimension] * np.sqrt(np.maximum(values[:dimension], 0))).T
     weights = np.linalg.lstsq(phi, start, rcond=None)[0]
     beta = 1 / max(float(values[dimension]), 1e-9)
     model = LatentMap(phi, weights, beta, phi @ weights)
-    size, d = model.nodes.shape
-    ridge = np.eye(phi.shape[1])
-    ridge[-1, -1] = 0
     for _ in range(rounds):
-        shared = images.sparkSession.sparkContext.broadcast((model.nodes, model.beta))
+        model = latent_step(images, model, alpha, update_beta, pixels, ctf)
+    return model
 
-        def fold(batch: dict[str, np.ndarray], n: int) -> np.ndarray:
-            y, b = shared.value  # noqa: B023
-            x = batch[pixels]
-            d2 = (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)
-            r, like = softmax(-b / 2 * d2)
-            return np.concatenate([(r.T @ x).ravel(), r.sum(0), [(x * x).sum(), like.sum(), n]])
 
-        total = statistics(images, [pixels], fold, size * d + size + 3)
-        b, g, (square, like, n) = total[: size * d].reshape(size, d), total[size * d : size * d + size], total[-3:]
+def latent_step(images: DataFrame, model: LatentMap, alpha: float = 0.01, update_beta: bool = True, pixels: str = "pixels", ctf: str | None = None) -> LatentMap:
+    """One round of fit_latent_map()."""
+    phi = model.basis
+    size, d = model.nodes.shape
+    ridge = np.eye(phi.shape[1])
+    ridge[-1, -1] = 0
+    model = LatentMap(phi, model.weights, model.beta, model.nodes, list(model.history))
+    shared = images.sparkSession.sparkContext.broadcast((model.nodes, model.beta))
+
+    def fold(batch: dict[str, np.ndarray], n: int) -> np.ndarray:
+        y, b = shared.value
+        x = batch[pixels]
+        c = batch[ctf] if ctf else None
+        d2 = (x * x).sum(1)[:, None] - 2 * (x if c is None else c * x) @ y.T + ((y * y).sum(1) if c is None else (c * c) @ (y * y).T)
+        r, like = softmax(-b / 2 * d2)
+        mass = r.sum(0) if c is None else (r.T @ (c * c)).ravel()
+        return np.concatenate([(r.T @ (x if c is None else c * x)).ravel(), mass, [(x * x).sum(), like.sum(), n]])
+
+    wide = size * d if ctf else size
+    total = statistics(images, [pixels, *([ctf] if ctf else [])], fold, size * d + wide + 3)
+    b, g, (square, like, n) = total[: size * d].reshape(size, d), total[size * d : size * d + wide], total[-3:]
+    if ctf:
+        g = g.reshape(size, d)
+        # a system for each pixel: basis functions weighted by what its nodes hold
+        systems = np.einsum("km,kp,kl->pml", phi, g, phi) + alpha / model.beta * ridge
+        model.weights = np.linalg.solve(systems, (phi.T @ b).T[..., None])[..., 0].T
+        model.nodes = phi @ model.weights
+        residual = square - 2 * (b * model.nodes).sum() + (g * model.nodes**2).sum()
+    else:
         model.weights = np.linalg.solve(phi.T @ (g[:, None] * phi) + alpha / model.beta * ridge, phi.T @ b)
         model.nodes = phi @ model.weights
         residual = square - 2 * (b * model.nodes).sum() + (g * (model.nodes**2).sum(1)).sum()
-        model.history.append(float(like + n * d / 2 * np.log(model.beta / (2 * np.pi))))
-        model.beta = n * d / max(residual, 1e-12) if update_beta else 0.01
-        shared.unpersist()
+    model.history.append(float(like + n * d / 2 * np.log(model.beta / (2 * np.pi))))
+    model.beta = n * d / max(residual, 1e-12) if update_beta else 0.01
+    shared.unpersist()
     return model
 
 

@@ -1,6 +1,7 @@
 """Local resolution: a likelihood-ratio test of a local sinusoid against a constant, voxel by voxel.
 
-Slabs of the volume with a halo go to tasks; each tests its own voxels at one resolution. The step-up threshold over all
+Slabs of the volume with a halo go to tasks; each tests its own voxels at one resolution, by correlation with the few basis
+functions of the test, so that no window is copied out and no form over all pairs of its cells is built. The step-up threshold over all
 voxels of a step is found from a histogram of p-values, so that statistics are not collected.
 """
 
@@ -31,31 +32,45 @@ def steering() -> np.ndarray:
 
 
 def kernels(resolution: float, voxel: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Quadratic forms of the test and of the residual over a window, and the window's reach."""
+    """Weights of a window's voxels, the test's basis functions (orthonormal under them, a constant first), and the reach.
+
+    The statistic of a window is the sum of its squared products with all functions but the constant; what is left
+    of its weighted square is the residual.
+    """
     reach = math.ceil(resolution / 2 / voxel)
     a = 2 * math.pi / resolution * math.sqrt(2 / 5)
     z, y, x = np.mgrid[-reach : reach + 1, -reach : reach + 1, -reach : reach + 1].astype(float) * voxel * a
     r2 = (x * x + y * y + z * z).ravel()
     inside = np.sqrt(r2) <= reach * voxel * a + 1e-9
     w = np.where(inside, np.exp(-r2), 0.0)
-    columns = [np.ones_like(r2)]
+    root = np.sqrt(w)
+    waves = []
     for k, (dx, dy, dz) in enumerate(steering()):
         t = (dx * x + dy * y + dz * z).ravel()
-        columns.append(4 * t * t - 2 if k < 6 else t**3 - 2.254 * t)
-    full = np.stack(columns, 1)
+        waves.append(4 * t * t - 2 if k < 6 else t**3 - 2.254 * t)
+    constant = root / np.linalg.norm(root)
+    rest = root[:, None] * np.stack(waves, 1)
+    rest -= np.outer(constant, constant @ rest)
+    u, size, _ = np.linalg.svd(rest, full_matrices=False)
+    basis = np.column_stack([constant, u[:, size > 1e-9 * size[0]]])
+    return w, root[:, None] * basis, reach
 
-    def residual(basis: np.ndarray) -> np.ndarray:
-        root = np.sqrt(w)
-        return np.diag(w) - (root[:, None] * (root[:, None] * basis)) @ np.linalg.pinv(root[:, None] * basis) * root
 
-    constant, whole = residual(full[:, :1]), residual(full)
-    return constant - whole, whole, reach
+def correlations(wide: np.ndarray, w: np.ndarray, basis: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Statistic and residual of every window that lies in the volume, by products in Fourier space: one function at a time."""
+    size = (2 * reach + 1,) * 3
+    inner = tuple(slice(0, n - 2 * reach) for n in wide.shape)
 
+    def against(transform: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+        other = np.fft.rfftn(kernel.reshape(size), wide.shape, (0, 1, 2))
+        return np.fft.irfftn(transform * other.conj(), wide.shape, (0, 1, 2))[inner]
 
-def windows(volume: np.ndarray, reach: int) -> np.ndarray:
-    """All windows whose centre is in the volume less its halo, one row each."""
-    size = 2 * reach + 1
-    return np.lib.stride_tricks.sliding_window_view(volume, (size,) * 3).reshape(-1, size**3)
+    plain = np.fft.rfftn(wide)
+    first = against(plain, basis[:, 0]) ** 2
+    test = np.zeros_like(first)
+    for k in range(1, basis.shape[1]):
+        test += against(plain, basis[:, k]) ** 2
+    return test, np.maximum(against(np.fft.rfftn(wide * wide), w) - first - test, 0.0)
 
 
 def local_resolution(spark: SparkSession, volume: np.ndarray, mask: np.ndarray, voxel: float, start: float, stop: float, step: float, p_value: float = 0.05, slab: int = 4) -> np.ndarray:
@@ -66,28 +81,26 @@ def local_resolution(spark: SparkSession, volume: np.ndarray, mask: np.ndarray,
     left = mask.copy()
     resolution = start
     while resolution <= stop and left.any():
-        test, rest, reach = kernels(resolution, voxel)
+        weight, basis, reach = kernels(resolution, voxel)
         if 2 * reach + 1 > n:
             break
         wide = np.pad(volume, reach, mode="reflect")
-        shared = spark.sparkContext.broadcast((wide, left, test, rest))
+        shared = spark.sparkContext.broadcast((wide, left, weight, basis))
 
         def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v, todo, t, r = shared.value  # noqa: B023
+            v, todo, w, u = shared.value  # noqa: B023
             pad = (v.shape[0] - todo.shape[0]) // 2
             for batch in batches:
                 for z0 in batch.column(0).to_pylist():
                     part = todo[z0 : z0 + slab]
-                    rows = windows(v[z0 : z0 + len(part) + 2 * pad], pad)
                     at = np.flatnonzero(part.ravel())
-                    y = rows[at]
-                    lrs, noise = np.einsum("ij,ij->i", y @ t, y), np.einsum("ij,ij->i", y @ r, y)
+                    lrs, noise = (x.ravel()[at] for x in correlations(v[z0 : z0 + len(part) + 2 * pad], w, u, pad))
                     yield pa.record_batch([pa.array(at + z0 * part[0].size), pa.array(lrs), pa.array(noise)], ["at", "lrs", "noise"])
 
         slabs = spark.range(0, n, slab).repartition(max(1, -(-n // slab)))
         found = slabs.mapInArrow(tested, "at bigint, lrs double, noise double").persist()
-        sigma2 = found.agg(F.avg("noise")).first()[0] / np.trace(rest)
-        weights = np.linalg.eigvalsh(test)
+        sigma2 = found.agg(F.avg("noise")).first()[0] / (weight.sum() - (basis**2).sum())
+        weights = np.linalg.eigvalsh(basis[:, 1:].T @ basis[:, 1:])
         weights = weights[weights > 1e-9 * weights.max()]
         top = float(found.agg(F.max("lrs")).first()[0]) / sigma2
         # counts of statistics by bin, from the largest down: the step-up threshold needs no sorted list

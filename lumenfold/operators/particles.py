@@ -78,6 +78,13 @@ def split_equally(df: DataFrame, order: list[str], blocks: int, pool: int = 1, o
     return indexed.withColumn(out, equal_blocks(F.floor(F.col("__ord") / pool), pools, blocks)).drop("__ord")
 
 
+def shuffled(df: DataFrame, keys: list[str], seed: int, out: str = "place") -> DataFrame:
+    """df with its place, from 0, in a random order that the seed and the keys fix; no task sees all rows."""
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    placed, _ = with_global_index(df.withColumn("__draw", draw), ["__draw", *keys], out)
+    return placed.drop("__draw")
+
+
 def halves(df: DataFrame, draw: Column, kept: str | None = None, out: str = "random_subset") -> DataFrame:
     """df with half 1 or 2 by the parity of draw; halves named by the column kept stay."""
     drawn = (F.pmod(draw, F.lit(2)) + 1).cast("long")
@@ -96,9 +103,14 @@ def present_columns(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
 
 
 def restack(df: DataFrame, by: str, order: list[str], digits: int = 7) -> DataFrame:
-    """df with new_index and new_name: the row's place within `by` in the order, as index@stack."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")
-    indexed = df.withColumn("new_index", place)
+    """df with new_index and new_name: the row's place within `by` in the order, as index@stack.
+
+    One class may hold most rows: places come from the global order, less the first place of the class.
+    """
+    placed, _ = with_global_index(df, [by, *order], "__ord")
+    firsts = placed.groupBy(F.col(by).alias("__by")).agg(F.min("__ord").alias("__first"))
+    met = placed.join(firsts, F.col(by).eqNullSafe(F.col("__by")))
+    indexed = met.withColumn("new_index", F.col("__ord") - F.col("__first") + 1).drop("__ord", "__by", "__first")
     return indexed.withColumn("new_name", F.concat(F.lpad(F.col("new_index").cast("string"), digits, "0"), F.lit("@class"), F.col(by).cast("string"), F.lit(".mrcs")))
 
 

@@ -93,6 +93,45 @@ def cropped(long: DataFrame, n: int) -> DataFrame:
     return long.where((F.col("kx") <= n // 2) & F.col("ky").between(-(n // 2) + 1, n // 2))
 
 
+def shell_order(long: DataFrame, *by: str, out: str = "place") -> DataFrame:
+    """The Fourier pixels of each image numbered from 0 along rising shells, then rows and columns."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*by).orderBy("shell", "ky", "kx")
+    return long.withColumn(out, (F.row_number().over(order) - 1).cast("long"))
+
+
+def pool_transforms(df: DataFrame, dx: str, dy: str, size: int, pixels: str = "pixels", out: str = "spectrum") -> DataFrame:
+    """df with the transform, cut to `size`, of each image after normalisation and a shift by whole pixels (columns dx, dy).
+
+    One pass over the images: mean 0 and deviation 1, a circular shift, the transform divided by the pixels, low frequencies.
+    """
+    ship_package(df.sparkSession)
+
+    @F.arrow_udf(SPECTRUM)
+    def transformed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for column, by_x, by_y in batches:
+            places, images = stacked(column)
+            result: list = [None] * len(column)
+            moves = list(zip(by_x.to_pylist(), by_y.to_pylist()))
+            for place, image in zip(places.tolist(), images):
+                n = len(image)
+                sd = image.std()
+                moved = np.roll((image - image.mean()) / sd if sd > 0 else image, (int(moves[place][1] or 0), int(moves[place][0] or 0)), (0, 1))
+                f = np.fft.rfft2(moved) / (n * n)
+                ky, kx = np.meshgrid(signed(np.arange(n), n), np.arange(n // 2 + 1), indexing="ij")
+                kept = (kx <= size // 2) & (ky > -(size // 2)) & (ky <= size // 2)
+                result[place] = [{"kx": a, "ky": b, "re": c.real, "im": c.imag} for a, b, c in zip(kx[kept].tolist(), ky[kept].tolist(), f[kept].tolist())]
+            yield pa.array(result, pa.list_(pa.struct([("kx", pa.int32()), ("ky", pa.int32()), ("re", pa.float64()), ("im", pa.float64())])))
+
+    return df.withColumn(out, transformed(pixels, dx, dy))
+
+
+def shifted_with_noise(long: DataFrame, noise: DataFrame, sx: float | Column, sy: float | Column, n: int) -> DataFrame:
+    """Shifted Fourier pixels with inverse = 1 / sigma2 of their shell, from a noise spectrum (shell, sigma2)."""
+    return shifted(long, sx, sy, n).join(noise.select("shell", (1 / F.col("sigma2")).alias("inverse")), "shell")
+
+
 def image_kernel(df: DataFrame, kernel, pixels: str = "pixels", out: str = "pixels") -> DataFrame:
     """df with kernel, a function from an (n, n) to an (m, m) array, applied to each image."""
     ship_package(df.sparkSession)

@@ -2,20 +2,56 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators.em import matrix_of, squared_difference
+from lumenfold.session import materialize, ship_package
+
+#: Places of a side of a tile of products.
+TILE = 512
+#: References that one matrix product takes.
+BLOCK = 4096
+
 
 def covariance(rows: DataFrame, values: str = "pixels") -> DataFrame:
-    """(i, j, cov) for i <= j of the population covariance of equally long arrays.
+    """(i, j, cov) for i <= j of the population covariance of equally long arrays, of a few thousand places at most.
 
-    Products are made within each row and summed before the shuffle: no self join.
+    Each task adds up the products of its batches in tiles of TILE places, written once a task; sums by tile
+    are shuffled, not pairs of values. Longer arrays: principal_axes() takes projections.
     """
-    n = F.size(values)
-    # transform()'s index gives the place; pairs of one row are one array
-    pairs = F.flatten(F.transform(values, lambda x, i: F.transform(F.slice(values, i + 1, n), lambda y, j: F.struct(i.alias("i"), (i + j).alias("j"), x.alias("x"), y.alias("y")))))
-    long = rows.select(F.explode(pairs).alias("c")).select("c.*")
-    return long.groupBy("i", "j").agg((F.avg(F.col("x") * F.col("y")) - F.avg("x") * F.avg("y")).alias("cov"))
+    ship_package(rows.sparkSession)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram: np.ndarray | None = None
+        for batch in batches:
+            if len(batch):
+                x = matrix_of(batch.column(0))
+                x = np.column_stack([x, np.ones(len(x))])
+                gram = x.T @ x if gram is None else gram + x.T @ x
+        if gram is None:
+            return
+        d = len(gram)
+        for a in range(0, d, TILE):
+            for b in range(a, d, TILE):
+                i, j = np.meshgrid(np.arange(a, min(a + TILE, d)), np.arange(b, min(b + TILE, d)), indexing="ij")
+                upper = i <= j
+                last = (i == d - 1) | (j == d - 1)
+                kind = np.where(last & (i == j), 2, np.where(last, 1, 0))[upper]
+                yield pa.record_batch([pa.array(i[upper]), pa.array(j[upper]), pa.array(kind), pa.array(gram[i, j][upper])], ["i", "j", "kind", "x"])
+
+    sums = rows.select(values).mapInArrow(products, "i bigint, j bigint, kind bigint, x double").groupBy("i", "j", "kind").agg(F.sum("x").alias("x"))
+    sums = materialize(sums, "products")
+    n = sums.where("kind = 2").select(F.col("x").alias("n"))
+    means = sums.where("kind = 1").crossJoin(F.broadcast(n)).select(F.col("i").alias("at"), (F.col("x") / F.col("n")).alias("mean"))  # n is one row
+    left, right = (means.select(F.col("at").alias(c), F.col("mean").alias(f"m{c}")) for c in ("i", "j"))
+    met = sums.where("kind = 0").join(left, "i").join(right, "j").crossJoin(F.broadcast(n))
+    return met.select("i", "j", (F.col("x") / F.col("n") - F.col("mi") * F.col("mj")).alias("cov"))
 
 
 def columns(rows: DataFrame, values: str = "pixels") -> DataFrame:
@@ -25,10 +61,24 @@ def columns(rows: DataFrame, values: str = "pixels") -> DataFrame:
 
 
 def distances(rows: DataFrame, references: DataFrame, key: str, other: str, values: str = "pixels") -> DataFrame:
-    """(key, other, distance2) of rows from a bounded set of references, which is broadcast."""
-    met = rows.join(F.broadcast(references.select(other, F.col(values).alias("__r"))), F.lit(True))
-    square = F.aggregate(F.zip_with(values, "__r", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    return met.select(key, other, square.alias("distance2"))
+    """(key, other, distance2) of rows from a stated set of references, which are taken in blocks of BLOCK, one matrix product a batch."""
+    parts: list[DataFrame] = []
+    names: list = []
+    block: list[list[float]] = []
+
+    def close() -> None:
+        found = squared_difference(rows, (list(names), np.array(block, float)), key, values, other, references.schema[other].dataType)
+        parts.append(found.select(key, other, (2 * F.col("diff2")).alias("distance2")))
+
+    for r in references.select(other, values).toLocalIterator():
+        names.append(r[0])
+        block.append(r[1])
+        if len(names) == BLOCK:
+            close()
+            names, block = [], []
+    if names or not parts:
+        close() if names else parts.append(rows.limit(0).select(key, F.lit(None).cast(references.schema[other].dataType).alias(other), F.lit(0.0).alias("distance2")))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def local_maxima(rows: DataFrame, by: str, order: str, value: str, reach: int = 1) -> DataFrame:
