@@ -43,12 +43,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; a local one where that is unset and so is the master."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         context = spark.sparkContext
         conf = getattr(context, "_lumenfold_scratch", None)
         if conf is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             conf = context._lumenfold_scratch = tempfile.mkdtemp(prefix="lumenfold-shared-")
             context.setCheckpointDir(conf)
     return conf.rstrip("/")

@@ -6,6 +6,7 @@ own slices, so a stack of any size is spread over the cluster. Paths must be vis
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
@@ -20,6 +21,22 @@ HEADER = 1024
 MODE_FLOAT = 2
 
 
+def opened(path: str, write: bool = False):
+    """A file of any store that the path's scheme names: local without one, or file, hdfs, s3, gs and so on."""
+    from pyarrow import fs
+
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    if "://" in path:
+        where, at = fs.FileSystem.from_uri(path)
+    else:
+        where, at = fs.LocalFileSystem(), os.path.abspath(path)
+    if write:
+        where.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        return where.open_output_stream(at)
+    return where.open_input_file(at)
+
+
 def mrc_header(raw: bytes) -> dict[str, object]:
     """Columns, rows, sections, mode, bytes of the extended header and byte order."""
     for order in "<>":
@@ -43,7 +60,7 @@ def pack_header(nx: int, ny: int, nz: int, pixel: float = 1.0) -> bytes:
 
 def read_mrc(path: str) -> np.ndarray:
     """The float volume (z, y, x) of a file in either byte order; NaNs stay."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         raw = f.read()
     h = mrc_header(raw)
     if h["mode"] != MODE_FLOAT:
@@ -54,7 +71,7 @@ def read_mrc(path: str) -> np.ndarray:
 
 def write_mrc(path: str, volume: np.ndarray, pixel: float = 1.0) -> None:
     z, y, x = volume.shape
-    with open(path, "wb") as f:
+    with opened(path, write=True) as f:
         f.write(pack_header(x, y, z, pixel))
         f.write(np.ascontiguousarray(volume, "<f4").tobytes())
 
@@ -73,7 +90,7 @@ def spider_header(nx: int, ny: int, n: int = 0) -> np.ndarray:
 def write_spider(path: str, images: np.ndarray) -> None:
     """A stack of (count, ny, nx) images, each with its own header."""
     n, ny, nx = images.shape
-    with open(path, "wb") as f:
+    with opened(path, write=True) as f:
         f.write(spider_header(nx, ny, n).tobytes())
         for image in images:
             f.write(spider_header(nx, ny).tobytes())
@@ -82,7 +99,7 @@ def write_spider(path: str, images: np.ndarray) -> None:
 
 def read_spider(path: str) -> np.ndarray:
     """The images (count, ny, nx) of a file or stack in either byte order."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         raw = f.read()
     order = next(o for o in "><" if np.frombuffer(raw, f"{o}f4", 5)[4] in (1, 3, -11, -12))
     head = np.frombuffer(raw, f"{order}f4", 256)
@@ -98,14 +115,14 @@ def read_stacks(spark: SparkSession, paths: list[str], slice_images: int = 256)
     ship_package(spark)
     slices = []
     for path in paths:
-        with open(path, "rb") as f:
+        with opened(path) as f:
             h = mrc_header(f.read(HEADER))
         slices += [(path, k, min(slice_images, h["nz"] - k)) for k in range(0, h["nz"], slice_images)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, first, n in zip(*(c.to_pylist() for c in batch.columns)):
-                with open(path, "rb") as f:
+                with opened(path) as f:
                     h = mrc_header(f.read(HEADER))
                     size = h["nx"] * h["ny"]
                     f.seek(HEADER + h["extended"] + 4 * first * size)
@@ -120,6 +137,25 @@ def read_stacks(spark: SparkSession, paths: list[str], slice_images: int = 256)
     return plan.mapInArrow(read, "name string, index long, n int, pixels array<float>")
 
 
+def write_stack(images: DataFrame, path: str, order: str, pixels: str = "pixels", pixel: float = 1.0) -> int:
+    """Write square images as an MRC stack in the given order, and tell how many: tasks pack them, the driver streams their bytes."""
+    ship_package(images.sparkSession)
+
+    @F.arrow_udf("binary")
+    def packed(batch: pa.Array) -> pa.Array:
+        return pa.array([np.asarray(x, "<f4").tobytes() for x in batch.to_pylist()], pa.binary())
+
+    first = images.select(F.size(pixels)).first()
+    side = int(round(first[0] ** 0.5)) if first else 1
+    total = images.count()
+    ordered = images.repartitionByRange(order).sortWithinPartitions(order).select(packed(pixels).alias("b"))
+    with opened(path, write=True) as f:
+        f.write(pack_header(side, side, total, pixel))
+        for row in ordered.toLocalIterator():
+            f.write(bytes(row["b"]))
+    return total
+
+
 def join_images(particles: DataFrame, stack: DataFrame, image_name: str = "ImageName") -> DataFrame:
     """particles with the pixels that their index@stack names."""
     from lumenfold.functions.strings import name_index, name_stack

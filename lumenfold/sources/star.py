@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType
 
@@ -41,25 +41,32 @@ def _header(lines: list[str]) -> list[str]:
     return [found[i] for i in range(len(found))]
 
 
-def read_star(spark: SparkSession, path: str, header_lines: int = 200) -> DataFrame:
+def read_star(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a particle file, with inner_id (place in the file), labels as columns and `extra` for unknown ones.
 
     A row is a line after the header with the text .mrcs; the body ends at a line of ten characters or fewer. The
-    header takes the first `header_lines` lines at most. Numbers that can't be read are 0. A single label is an error.
+    header is the last run of labels before the first row, however long. Numbers that can't be read are 0. A single
+    label is an error; a file without rows gives none.
     """
     text = spark.read.option("wholetext", False).text(path)
     numbered = text.select(F.monotonically_increasing_id().alias("line"), "value")
-    head = [r["value"] for r in text.limit(header_lines).collect()]
+    label = F.ltrim("value").startswith("_rln")
+    row = F.col("value").contains(".mrcs") & (F.length("value") > SHORTEST) & ~label
+    first = numbered.where(row).agg(F.min("line").alias("line")).first()["line"]
+    above = numbered if first is None else numbered.where(F.col("line") < first)
+    begins = F.trim("value").rlike("^(loop_|data_)")
+    head = [r["value"].strip() for r in above.where(label | begins).orderBy("line").collect()]
     labels: list[str] = []
     for i, line in enumerate(head):
-        if line.lstrip().startswith("_rln"):
-            labels.append(line)
-        elif labels:
-            break
+        if line.startswith("_rln"):
+            labels = [line] if i and not head[i - 1].startswith("_rln") else [*labels, line]
     names = _header(labels)
     if len(names) < 2:
         raise ValueError("a particle file needs two labels at least")
-    rows = numbered.where(F.col("value").contains(".mrcs") & (F.length("value") > SHORTEST) & ~F.ltrim("value").startswith("_rln"))
+    rows = numbered.where(row)
+    if first is not None:
+        end = numbered.where((F.col("line") > first) & (F.length("value") <= SHORTEST)).agg(F.min("line").alias("line")).first()["line"]
+        rows = rows if end is None else rows.where(F.col("line") < end)
     cells = F.split(F.trim("value"), r"\s+")
     rows = rows.select("line", cells.alias("c"))
     known = [(i, n) for i, n in enumerate(names) if n in LABELS]
@@ -68,18 +75,50 @@ def read_star(spark: SparkSession, path: str, header_lines: int = 200) -> DataFr
     for i, n in known:
         kind, default = LABELS[n]
         cell = F.get("c", F.lit(i))
-        columns.append(cell.alias(n) if kind == _S else F.coalesce(cell.try_cast(kind), F.lit(0).cast(kind)).alias(n))
+        columns.append(F.when(cell == '""', "").otherwise(cell).alias(n) if kind == _S else F.coalesce(cell.try_cast(kind), F.lit(0).cast(kind)).alias(n))
     extra = F.create_map(*[x for i, n in other for x in (F.lit(n), F.get("c", F.lit(i)))]) if other else F.expr("cast(map() as map<string,string>)")
     return rows.select(F.col("line").alias("inner_id"), *columns, extra.alias("extra"))
 
 
 def grouped(df: DataFrame) -> DataFrame:
-    """Rows with GroupNumber by the first appearance of the group in micrograph order; one group of several micrographs is replaced by them."""
+    """Rows with GroupNumber by the first appearance of the group in micrograph order; one group of several micrographs is replaced by them.
+
+    Rows without a group are a group of their own.
+    """
     from lumenfold.operators.particles import group_or_micrograph, number_by_first
 
-    named = group_or_micrograph(df, "GroupName", "MicrographName")
-    numbers = number_by_first(named, "GroupName", ["MicrographName", "inner_id"], "GroupNumber")
-    return named.drop("GroupNumber").join(F.broadcast(numbers), "GroupName")
+    named = group_or_micrograph(df, "GroupName", "MicrographName").drop("GroupNumber")
+    numbers = number_by_first(named, "GroupName", ["MicrographName", "inner_id"], "GroupNumber").withColumnRenamed("GroupName", "__name")
+    return named.join(numbers, F.col("GroupName").eqNullSafe(F.col("__name"))).drop("__name")
+
+
+def label_of(token: Column) -> Column:
+    """The label of a header's token, with or without the underscore; null for other tokens."""
+    return F.nullif(F.regexp_extract(F.trim(token), r"^_?rln(\w+)$", 1), F.lit(""))
+
+
+def has_label(df: DataFrame, label: str) -> bool:
+    """Whether a particle table holds a label, as a column or among the unknown ones of its first row."""
+    if label in df.columns:
+        return True
+    row = df.select(F.map_contains_key("extra", F.lit(label))).first() if "extra" in df.columns else None
+    return bool(row and row[0])
+
+
+def reset_pose(df: DataFrame) -> DataFrame:
+    """Particles whose images were moved and turned: shifts and the in-plane angle are 0 from now on."""
+    return df.withColumns({c: F.lit(0.0) for c in ("OriginX", "OriginY", "AnglePsi")})
+
+
+# What an iteration finds for each particle.
+FOUND = ("AngleRot", "AngleTilt", "AnglePsi", "OriginX", "OriginY", "OriginZ", "ClassNumber", "LogLikeliContribution", "MaxValueProbDistribution", "NrOfSignificantSamples", "NormCorrection")
+
+
+def with_found(df: DataFrame, found: DataFrame, key: str = "inner_id") -> DataFrame:
+    """df with the eleven columns that an iteration found, by key; rows without a finding keep theirs."""
+    named = found.select(key, *[F.col(c).alias(f"__{c}") for c in FOUND])
+    met = df.join(named, key, "left")
+    return met.withColumns({c: F.coalesce(F.col(f"__{c}").cast(LABELS[c][0]), F.col(c)) for c in FOUND}).drop(*[f"__{c}" for c in FOUND])
 
 
 def count_rows(spark: SparkSession, path: str) -> int:
@@ -93,11 +132,26 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns(missing)
 
 
-def star_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(place, value): the text lines of a particle table, its header first."""
-    columns = columns or [c for c in df.columns if c in LABELS and c != "ScaleCorrection"]
+def written_columns(df: DataFrame, read: list[str] | None = None) -> list[str]:
+    """The known columns that are written: those that were read and those whose values differ from each other or from the default, found in one pass.
+
+    The scale correction never is; with DefocusU goes DefocusAngle, and a table has its first two columns at least.
+    """
+    from lumenfold.operators.particles import present_columns
+
+    known = [c for c in df.columns if c in LABELS and c != "ScaleCorrection"]
+    found = {r["name"] for r in present_columns(df, {c: LABELS[c][1] for c in known}).where("present").collect()} | set(read or ())
+    if "DefocusU" in found and "DefocusAngle" in known:
+        found.add("DefocusAngle")
+    return [c for i, c in enumerate(known) if c in found or (i < 2 and len(found) < 2)]
+
+
+def star_lines(df: DataFrame, columns: list[str] | None = None, read: list[str] | None = None) -> DataFrame:
+    """(place, value): the text lines of a particle table, its header first. Null and empty strings are written as two quotes."""
+    columns = columns or written_columns(df, read)
     kinds = dict(df.dtypes)
-    cells = [F.col(c) if kinds[c] == "string" else F.lpad(F.col(c).cast("string"), 12, " ") if kinds[c] in ("int", "bigint") else number_text(F.col(c)) for c in columns]
+    text = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", '""').otherwise(F.col(c))
+    cells = [text(c) if kinds[c] == "string" else F.lpad(F.col(c).cast("string"), 12, " ") if kinds[c] in ("int", "bigint") else number_text(F.col(c)) for c in columns]
     order = "inner_id" if "inner_id" in df.columns else columns[0]
     body = df.select(F.struct(F.lit(1).alias("part"), F.col(order).cast("long").alias("i")).alias("place"), F.concat_ws(" ", *cells).alias("value"))
     head = ["", "data_", "", "loop_", *[f"_rln{c} #{i + 1}" for i, c in enumerate(columns)]]
@@ -105,10 +159,39 @@ def star_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return top.select(F.struct(F.lit(0).alias("part"), F.col("i").alias("i")).alias("place"), "value").unionByName(body)
 
 
-def write_star(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Write a particle table as the one text file of a folder, in the order of inner_id."""
-    lines = star_lines(df, columns)
-    lines.repartition(1).sortWithinPartitions("place").select("value").write.mode("overwrite").text(path)
+def write_star(df: DataFrame, path: str, columns: list[str] | None = None, read: list[str] | None = None) -> None:
+    """Write a particle table as the one text file of a folder, in the order of inner_id; columns, or those that written_columns() names.
+
+    Executors write ordered parts; the driver's file system client puts their bytes one after the other.
+    """
+    order = [F.col("place.part"), F.col("place.i")]
+    lines = star_lines(df, columns, read).repartitionByRange(*order).sortWithinPartitions(*order)
+    write_joined(lines.select("value"), path)
+
+
+def write_joined(lines: DataFrame, path: str) -> None:
+    """Write ordered partitions of text lines as one file in the folder path, which is replaced."""
+    spark = lines.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    parts = f"{path.rstrip('/')}/_parts"
+    lines.write.mode("overwrite").text(parts)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(conf)
+    for old in files.listStatus(folder):
+        if old.getPath().getName() != "_parts":
+            files.delete(old.getPath(), True)
+    found = sorted(s.getPath().toString() for s in files.listStatus(jvm.org.apache.hadoop.fs.Path(parts)) if s.getPath().getName().startswith("part-"))
+    out = files.create(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/part-00000.txt"), True)
+    try:
+        for name in found:
+            part = files.open(jvm.org.apache.hadoop.fs.Path(name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    files.delete(jvm.org.apache.hadoop.fs.Path(parts), True)
 
 
 def parse_blocks(text: str) -> dict[str, list[dict[str, str]]]:
@@ -136,11 +219,11 @@ def parse_blocks(text: str) -> dict[str, list[dict[str, str]]]:
 
 
 def format_blocks(blocks: dict[str, list[dict[str, object]]]) -> str:
-    """Model-file text; blocks of one row are written as key-value pairs. All columns are written."""
+    """Model-file text; general blocks are written as key-value pairs, others as loops. All columns are written."""
     out = []
     for name, rows in blocks.items():
         out += ["", name, ""]
-        if len(rows) == 1:
+        if len(rows) == 1 and name.endswith("_general"):
             out += [f"_rln{k} {v}" for k, v in rows[0].items()]
         else:
             labels = list(rows[0]) if rows else []
