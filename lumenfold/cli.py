@@ -6,21 +6,21 @@ the next option; unknown options are named and skipped; -options FILE reads more
 
 from __future__ import annotations
 
+import functools
 import os
-import shutil
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import images as kernels
 from lumenfold.functions.numerics import zoom
 from lumenfold.functions.strings import name_stack
-from lumenfold.operators import estimators, particles, spectral
+from lumenfold.operators import estimators, map_em, particles, spectral
 from lumenfold.operators.local_resolution import local_resolution
 from lumenfold.session import get_spark
 from lumenfold.sources import stacks, star
@@ -37,7 +37,7 @@ COMMANDS: dict[str, dict[str, str | None]] = {
     "zoom": {"i": None, "n": None, "o": None},
     "compare": {"i1": None, "i2": None},
     "desc": {"i": None},
-    "classaverage": {"i": None, "o": None, "K": None, "angpix": None, "averageBeta": "1", "averageAlpha": "0.01"},
+    "classaverage": {"i": None, "o": None, "K": None, "angpix": None, "averageBeta": "1", "averageAlpha": "0.01", "ctf": "0"},
     "convert": {"i": None, "o": None},
     "select": {"i": None, "o": None, "class": "1"},
     "adjust": {"i": None, "o": None},
@@ -49,10 +49,8 @@ COMMANDS: dict[str, dict[str, str | None]] = {
 #: Options that are known but not built, by command, with the one value that they may have.
 _EM_FIXED = {"ctf": "0", "only_flip_phases": "0", "ctf_phase_flipped": "0", "norm": "0", "zero_mask": "0"}
 FIXED: dict[str, dict[str, str]] = {
-    "map2d": {"oversampling": "0", "particle_diameter": "-1"} | _EM_FIXED,
     "map3d": {"sym": "C1", "firstiter_cc": "0"} | _EM_FIXED,
-    "sml": {"pca": "0", "precision": "10e-12", "weightedsum": "1", "search": "NULL"},
-    "deep2d": _EM_FIXED,
+    "sml": {"pca": "0", "precision": "10e-12", "weightedsum": "1"},
     "reconstruct": {"refdim": "3", "sym": "c1", "ctf": "0", "maxres": "-1"},
 }
 
@@ -71,8 +69,8 @@ def refuse_unbuilt(command: str, o: dict[str, str]) -> None:
             return a.lower() == b.lower()
 
     wrong = [f"-{k} {o[k]} (only {v})" for k, v in FIXED.get(command, {}).items() if not same(o[k], v)]
-    if "," in (o.get("K") or ""):
-        wrong.append(f"-K {o['K']} (only one number)")
+    if "," in (o.get("K") or "") and not (command == "sml" and len(o["K"].split(",")) == int(o["dimension"])):
+        wrong.append(f"-K {o['K']} (one number, or in sml one for each dimension)")
     if wrong:
         raise OptionError(f"{command} can't use {', '.join(wrong)}")
 
@@ -109,27 +107,32 @@ class Inputs:
 
     table: DataFrame
     rows: DataFrame
+    read: list[str]
 
 
 def read_inputs(spark: SparkSession, path: str) -> Inputs:
     """Particles of a STAR file joined with the stacks that their names give, beside it if relative."""
-    table = star.with_defaults(star.read_star(spark, path))
+    found = star.read_star(spark, path)
+    table = star.with_defaults(found)
     folder = os.path.dirname(os.path.abspath(path))
     names = [r[0] for r in table.select(name_stack(F.col("ImageName"))).distinct().collect()]
     places = {n: n if os.path.isabs(n) else os.path.join(folder, n) for n in names}
     stack = stacks.read_stacks(spark, sorted(places.values()))
     back = spark.createDataFrame([(v, k) for k, v in places.items()], "name string, short string")
     stack = stack.join(F.broadcast(back), "name").drop("name").withColumnRenamed("short", "name").withColumn("pixels", F.col("pixels").cast("array<double>"))
-    return Inputs(table, stacks.join_images(table, stack))
+    return Inputs(table, stacks.join_images(table, stack), [c for c in found.columns if c in star.LABELS])
 
 
-def save_table(df: DataFrame, path: str) -> None:
-    """One STAR file at path."""
+def save_table(df: DataFrame, path: str, read: list[str] | None = None) -> None:
+    """One STAR file at path, in any store that Spark writes to; the columns that were read are among its own."""
     folder = f"{path}.parts"
-    star.write_star(df, folder)
-    part = next(n for n in sorted(os.listdir(folder)) if n.startswith("part-") and os.path.getsize(os.path.join(folder, n)))
-    shutil.move(os.path.join(folder, part), path)
-    shutil.rmtree(folder)
+    star.write_star(df, folder, read=read)
+    spark = df.sparkSession
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    files = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(make(path), False)
+    files.rename(make(f"{folder}/part-00000.txt"), make(path))
+    files.delete(make(folder), True)
 
 
 def save_references(path: str, references: np.ndarray) -> None:
@@ -153,42 +156,45 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> None:
     if command == "clean":
         table = star.read_star(spark, o["i"])
         labels = particles.relabel_classes(table.select(F.col("ClassNumber").alias("class_no"))).drop("n")
-        named = table.join(F.broadcast(labels), table["ClassNumber"] == labels["class_no"])
-        order = named.withColumn("inner_id", F.row_number().over(Window.orderBy("new_class", "inner_id"))).withColumn("ClassNumber", F.col("new_class").cast("int"))
-        return save_table(order.drop("class_no", "new_class"), o["o"])
-    if command == "select":
-        return save_table(star.read_star(spark, o["i"]).where(F.col("ClassNumber") == int(o["class"])), o["o"])
+        named = table.join(labels, table["ClassNumber"] == labels["class_no"])
+        placed, _ = particles.with_global_index(named, ["new_class", "inner_id"], "__place")
+        order = placed.withColumns({"inner_id": F.col("__place"), "ClassNumber": F.col("new_class").cast("int")})
+        return save_table(order.drop("class_no", "new_class", "__place"), o["o"], [c for c in table.columns if c in star.LABELS])
     both = read_inputs(spark, o["i"])
     rows = both.rows
+    if command == "select":
+        chosen = F.col("ClassNumber") == int(o["class"])
+        return _save_stack(rows.where(chosen), both.table.where(chosen), o["o"], both.read)
     if command == "classaverage":
-        average = rows.select("ClassNumber", "MaxValueProbDistribution", F.posexplode("pixels").alias("p", "v")).groupBy("ClassNumber", "p").agg(
-            (F.sum(F.col("MaxValueProbDistribution") * float(o["averageBeta"]) * F.col("v")) / (F.sum(F.col("MaxValueProbDistribution") * float(o["averageBeta"])) + float(o["averageAlpha"]))).alias("a")
-        )
-        size = int(rows.select(F.size("pixels")).first()[0])
-        out = np.zeros((int(o["K"]), size))
-        for r in average.where(F.col("ClassNumber").between(1, int(o["K"]))).toLocalIterator():
-            out[r["ClassNumber"] - 1, r["p"]] = r["a"]
-        return save_references(o["o"], out)
+        transfer = "ctf" if o["ctf"] != "0" else None
+        given = map_em.with_ctf(rows, float(o["angpix"]), _side(rows)) if transfer else rows
+        average = map_em.class_averages(given, int(o["K"]), "ClassNumber", "MaxValueProbDistribution", float(o["averageAlpha"]), float(o["averageBeta"]), ctf=transfer)
+        return save_references(o["o"], average.reshape(len(average), -1))
     if command in ("adjust", "applyfilter"):
         if command == "adjust":
             changed = _posed(rows)
-            table = both.table.withColumns({c: F.lit(0.0) for c in ("OriginX", "OriginY", "AnglePsi")})
+            table = star.reset_pose(both.table)
         else:
             radius = float(o["filter"])
             changed, table = spectral.image_kernel(rows, lambda image: kernels.low_pass(image, radius)), both.table
-        return _save_stack(changed, table, o["o"])
+        return _save_stack(changed, table, o["o"], both.read)
+    if command == "map2d" and _whole_model(o):
+        return _map2d(both, o)
     if command == "map2d":
         model = estimators.classify_2d(rows, int(o["K"]), int(o["iter"]), float(o["psi_step"]), float(o["offset_range"]), float(o["offset_step"]), float(o["tau2_fudge"]), int(o["random_seed"]))
         save_references(f"{o['o']}.mrcs", model.references)
         as_map = estimators.LatentMap(np.eye(len(model.references)), model.references, 1 / model.sigma2, model.references)
-        return save_table(_with_class(rows, as_map), f"{o['o']}.star")
+        return save_table(_with_class(rows, as_map), f"{o['o']}.star", both.read)
     if command == "sml":
-        latent = estimators.fit_latent_map(rows, int(o["K"]), int(o["iter"]), int(o["dimension"]), float(o["alpha"]), o["updatebeta"] != "0")
+        if o["search"] != "NULL":
+            return save_table(_fine_search(rows, star.read_class_list(spark, o["search"]), int(o["iter"]), float(o["alpha"]), o["updatebeta"] != "0"), f"{o['o']}_fine.star", both.read)
+        sizes = [int(k) for k in o["K"].split(",")]
+        latent = estimators.fit_latent_map(rows, sizes if len(sizes) > 1 else sizes[0], int(o["iter"]), int(o["dimension"]), float(o["alpha"]), o["updatebeta"] != "0")
         save_references(f"{o['o']}.mrcs", latent.nodes)
-        return save_table(_with_class(rows, latent), f"{o['o']}.star")
+        return save_table(_with_class(rows, latent), f"{o['o']}.star", both.read)
     if command == "deep2d":
         first = f"{o['o']}_map2d"
-        run(["map2d", "-i", o["i"], "-o", first, "-K", o["map2d_K"], "-iter", o["map2d_iter"], "-angpix", o["angpix"], "-tau2_fudge", o["tau2_fudge"], "-oversampling", "0", "-psi_step", o["psi_step"], "-offset_range", o["offset_range"], "-offset_step", o["offset_step"], "-random_seed", o["random_seed"]], spark)
+        run(["map2d", "-i", o["i"], "-o", first, "-K", o["map2d_K"], "-iter", o["map2d_iter"], "-angpix", o["angpix"], "-tau2_fudge", o["tau2_fudge"], "-oversampling", "0", "-psi_step", o["psi_step"], "-offset_range", o["offset_range"], "-offset_step", o["offset_step"], "-random_seed", o["random_seed"], *[x for k in ("ctf", "only_flip_phases", "ctf_phase_flipped", "norm", "zero_mask") for x in (f"-{k}", o[k])]], spark)
         for row in star.read_star(spark, f"{first}.star").groupBy("ClassNumber").count().where("count >= 20").orderBy("ClassNumber").collect():
             own = rows.drop("ClassNumber").join(star.read_star(spark, f"{first}.star").select("ImageName", "ClassNumber"), "ImageName").where(F.col("ClassNumber") == row["ClassNumber"])
             latent = estimators.fit_latent_map(own, int(o["sml_K"]), int(o["sml_iter"]), int(o["dimension"]))
@@ -198,18 +204,60 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> None:
         volume = estimators.reconstruct_volume(_shifted(rows), int(o["pad"]), angles=("AngleRot", "AngleTilt", "AnglePsi"), rounds=int(o["iter"]))
         return stacks.write_mrc(o["o"], volume.astype(np.float32), float(o["angpix"]))
     if command == "map3d":
-        from lumenfold.operators.sampling import healpix_directions
+        from lumenfold.operators.healpix import centres
 
         start = stacks.read_mrc(o["ref"]).astype(float)
         rng = np.random.default_rng(int(o["random_seed"]))
         volumes = np.stack([start * (1 + 0.05 * rng.normal(size=start.shape)) for _ in range(int(o["K"]))])
         order = int(o["healpix_order"])
-        volumes, _, _ = estimators.classify_3d(rows, volumes, healpix_directions(order), int(o["iter"]), 60.0 / 2**order, reach=float(o["offset_range"]), shift=float(o["offset_step"]))
+        volumes, _, _ = estimators.classify_3d(rows, volumes, centres(order), int(o["iter"]), 60.0 / 2**order, reach=float(o["offset_range"]), shift=float(o["offset_step"]))
         for k, volume in enumerate(volumes):
             stacks.write_mrc(f"{o['o']}_class{k + 1:03d}.mrc", volume.astype(np.float32), float(o["angpix"]))
     return None
 
 
+def _side(rows: DataFrame) -> int:
+    return int(round(rows.select(F.size("pixels")).first()[0] ** 0.5))
+
+
+def _whole_model(o: dict[str, str]) -> bool:
+    """Whether map2d needs transfer functions, group scales, masks or a second pass."""
+    return any(o[k] != "0" for k in ("ctf", "only_flip_phases", "ctf_phase_flipped", "norm", "zero_mask", "oversampling")) or float(o["particle_diameter"]) > 0
+
+
+def _map2d(both: Inputs, o: dict[str, str]) -> None:
+    """map2d with noise by group and shell, and what the options ask for."""
+    rows = both.rows
+    side, pixel = _side(rows), float(o["angpix"])
+    part = "sign" if o["only_flip_phases"] != "0" else "size" if o["ctf_phase_flipped"] != "0" else "whole"
+    transfer = "ctf" if o["ctf"] != "0" else None
+    given = star.grouped(rows).withColumn("__group", F.col("GroupNumber") - 1)
+    radius = float(o["particle_diameter"]) / 2 / pixel if float(o["particle_diameter"]) > 0 else side / 2 - 5 if side > 16 else side / 2
+    if o["zero_mask"] != "0" or float(o["particle_diameter"]) > 0:
+        mask = kernels.solvent_flatten if o["zero_mask"] != "0" else kernels.soft_mask
+        given = spectral.image_kernel(given, lambda image: mask(image, radius, 5.0))
+    given = map_em.with_ctf(given, pixel, side, part=part) if transfer else given
+    step, reach, shift, order = float(o["psi_step"]), float(o["offset_range"]), float(o["offset_step"]), int(o["oversampling"])
+    model = map_em.classify(given, int(o["K"]), int(o["iter"]), step, reach, shift, order, float(o["tau2_fudge"]), int(o["random_seed"]), ctf=transfer, group="__group", scale=o["norm"] != "0")
+    save_references(f"{o['o']}.mrcs", model.images.reshape(len(model.references), -1))
+    grid = estimators.poses(step, reach, shift)
+    fine = map_em.children(grid, 360 / np.ceil(360 / step), shift if reach else 0.0, order)[0] if order else grid
+    found = map_em.assign(given, model, fine, ctf=transfer, group="__group")
+    named = {"ClassNumber": "found.class_no", "MaxValueProbDistribution": "found.pmax", "LogLikeliContribution": "found.log_likelihood", "NrOfSignificantSamples": "found.significant", "AnglePsi": "found.psi", "OriginX": "-found.dx", "OriginY": "-found.dy"}
+    save_table(found.withColumns({k: F.expr(v) for k, v in named.items()}).drop("found", "pixels", "n", "ctf", "__group"), f"{o['o']}.star", both.read)
+
+
+def _fine_search(rows: DataFrame, plan: DataFrame, rounds: int, alpha: float, update_beta: bool) -> DataFrame:
+    """Images of the listed classes mapped again, class by class, with classes numbered on."""
+    parts, offset = [], 0
+    for row in plan.orderBy("class_no").collect():
+        own = rows.where(F.col("ClassNumber") == row["class_no"]).drop("ClassNumber")
+        latent = estimators.fit_latent_map(own, int(row["fine"]), rounds, 1, alpha, update_beta)
+        parts.append(estimators.assign_nodes(own, latent, out="ClassNumber").withColumn("ClassNumber", (F.col("ClassNumber") + offset).cast("int")))
+        offset += int(row["fine"])
+    return functools.reduce(DataFrame.unionByName, parts).drop("pixels", "n")
+
+
 def _files(command: str, o: dict[str, str]) -> None:
     if command == "convert":
         stacks.convert(o["i"], o["o"])
@@ -252,22 +300,13 @@ def _posed(rows: DataFrame) -> DataFrame:
     return _kernel_rows(rows, lambda image, dx, dy, psi: kernels.rotate(kernels.translate(image, dx, dy), -psi), "OriginX", "OriginY", "AnglePsi")
 
 
-def _save_stack(rows: DataFrame, table: DataFrame, path: str) -> None:
-    """The images in table order as path.mrcs, streamed to the driver, and the renamed table as path.star."""
+def _save_stack(rows: DataFrame, table: DataFrame, path: str, read: list[str]) -> None:
+    """The images in table order as path.mrcs and the renamed table as path.star; places need no window over all rows."""
     base = path[:-5] if path.endswith((".star", ".mrcs")) else path
-    ordered = rows.orderBy("inner_id").select("inner_id", "pixels")
-    total = rows.count()
-    with open(f"{base}.mrcs", "wb") as f:
-        for i, r in enumerate(ordered.toLocalIterator()):
-            image = np.array(r["pixels"], "<f4")
-            n = int(round(len(image) ** 0.5))
-            if not i:
-                f.write(stacks.pack_header(n, n, total))
-            f.write(image.tobytes())
-    place = F.row_number().over(Window.orderBy("inner_id"))
-    name = F.concat(F.lpad(place.cast("string"), 7, "0"), F.lit(f"@{os.path.basename(base)}.mrcs"))
-    save_table(table.withColumn("ImageName", name), f"{base}.star")
-
+    stacks.write_stack(rows, f"{base}.mrcs", "inner_id")
+    placed, _ = particles.with_global_index(table, ["inner_id"], "__place")
+    name = F.concat(F.lpad((F.col("__place") + 1).cast("string"), 7, "0"), F.lit(f"@{os.path.basename(base)}.mrcs"))
+    save_table(placed.withColumn("ImageName", name).drop("__place"), f"{base}.star", read)
 
 
 if __name__ == "__main__":
