@@ -62,7 +62,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image to reference differences at a noise variance of 1 / 64."""
-    found = em.squared_difference(pixels(spark, sf_dir).select("vec_id", "p", "v"), references(spark, sf_dir))
+    found = em.squared_difference(images(spark, sf_dir), em.reference_images(references(spark, sf_dir)))
     return found.withColumn("diff2", F.col("diff2") * 64)
 
 
@@ -157,11 +157,11 @@ def norm_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(images(spark, sf_dir).groupBy("label").agg(F.avg(norm).alias("mean_norm")), "mean_norm")
 
 
-@register("scale_correction_median_clamp", """WITH g AS (SELECT l_suppkey AS g, sum(l_quantity * l_extendedprice) AS xa, sum(l_extendedprice * l_extendedprice) / 1000 AS aa, count(*) AS n FROM lineitem WHERE l_suppkey % 7 <> 3 OR l_discount > 0.08 GROUP BY 1),
+@register("scale_correction_median_clamp", """WITH g AS (SELECT l_suppkey AS g, sum(l_quantity * l_extendedprice) AS xa, sum(l_extendedprice * l_extendedprice) / 1000 AS aa, count(*) AS n FROM lineitem GROUP BY 1),
 s AS (SELECT g, n, xa / aa AS s FROM g), m AS (SELECT s AS med FROM (SELECT s, row_number() OVER (ORDER BY s) AS k FROM s) WHERE k = (SELECT count(*) // 2 + 1 FROM s)),
 c AS (SELECT g, n, least(greatest(s, med / 5), med * 5) AS s FROM s, m) SELECT g, round(s / (SELECT sum(s * n) / sum(n) FROM c), 6) AS scale FROM c""")
 def scale_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 <> 3 or l_discount > 0.08")
+    rows = table(spark, sf_dir, "lineitem")
     groups = rows.groupBy(F.col("l_suppkey").alias("g")).agg(
         F.sum(F.expr("l_quantity * l_extendedprice")).alias("xa"), (F.sum(F.expr("l_extendedprice * l_extendedprice")) / 1000).alias("aa"), F.count("*").alias("n")
     )
@@ -174,9 +174,9 @@ def radial_power_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label", "shell", F.round(F.col("spectrum") * 1000, 6).alias("power"))
 
 
-@register("amplitude_spectrum", f"WITH {DFT} SELECT vec_id, shell, round(avg(sqrt(re * re + im * im)) * 1000, 5) AS amplitude FROM ft WHERE vec_id % 5 = 0 GROUP BY ALL")
+@register("amplitude_spectrum", f"WITH {DFT} SELECT vec_id, shell, round(avg(sqrt(re * re + im * im)) * 1000, 5) AS amplitude FROM ft GROUP BY ALL")
 def amplitude_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = spectral.long_spectrum(spectral.fourier(images(spark, sf_dir).where("vec_id % 5 = 0")).drop("pixels"))
+    some = spectral.long_spectrum(spectral.fourier(images(spark, sf_dir)).drop("pixels"))
     found = spectral.power_spectrum(some, "vec_id", amplitude=True)
     return found.select("vec_id", "shell", F.round(F.col("spectrum") * 1000, 5).alias("amplitude"))
 
@@ -244,9 +244,9 @@ def join_half_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("fourier_shift", f"""WITH {DFT} SELECT vec_id, kx, ky, round(1000 * (re * cos(a) - im * sin(a)), 5) + 0.0 AS re, round(1000 * (re * sin(a) + im * cos(a)), 5) + 0.0 AS im
-FROM (SELECT *, -2 * pi() * (kx * 0.5 + ky * 1.5) / 8 AS a FROM ft WHERE vec_id % 10 = 0)""")
+FROM (SELECT *, -2 * pi() * (kx * 0.5 + ky * 1.5) / 8 AS a FROM ft)""")
 def fourier_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = spectral.long_spectrum(spectral.fourier(images(spark, sf_dir).where("vec_id % 10 = 0")).drop("pixels"))
+    some = spectral.long_spectrum(spectral.fourier(images(spark, sf_dir)).drop("pixels"))
     moved = spectral.shifted(some, 0.5, 1.5, SIDE).select("vec_id", "kx", "ky", (F.col("re") * 1000).alias("re"), (F.col("im") * 1000).alias("im"))
     return rounded(moved, "re", "im", places=5)
 
@@ -316,9 +316,9 @@ def basic_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "mean", "std", "least", "most")
 
 
-@register("zscore_image", f"""WITH {PX}, s AS (SELECT vec_id, avg(v) AS m, stddev_pop(v) AS sd FROM px GROUP BY 1) SELECT vec_id, p, round(CASE WHEN sd > 0 THEN (v - m) / sd ELSE v END, 5) + 0.0 AS z FROM px JOIN s USING (vec_id) WHERE vec_id % 20 = 0""")
+@register("zscore_image", f"""WITH {PX}, s AS (SELECT vec_id, avg(v) AS m, stddev_pop(v) AS sd FROM px GROUP BY 1) SELECT vec_id, p, round(CASE WHEN sd > 0 THEN (v - m) / sd ELSE v END, 5) + 0.0 AS z FROM px JOIN s USING (vec_id)""")
 def zscore_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = images(spark, sf_dir).where("vec_id % 20 = 0")
+    some = images(spark, sf_dir)
     n = F.size("pixels")
     mean = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x) / n
     square = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x * x) / n
@@ -327,10 +327,10 @@ def zscore_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(z.withColumn("p", F.col("p").cast("long")), "z", places=5)
 
 
-@register("soft_mask", f"""WITH {PX}, w AS (SELECT *, CASE WHEN r < 2 THEN 1.0 WHEN r > 4 THEN 0.0 ELSE 0.5 + 0.5 * cos((r - 2) / 2 * pi()) END AS w FROM (SELECT *, sqrt((x - 4) * (x - 4) + (y - 4) * (y - 4)) AS r FROM px WHERE vec_id % 20 = 0)),
+@register("soft_mask", f"""WITH {PX}, w AS (SELECT *, CASE WHEN r < 2 THEN 1.0 WHEN r > 4 THEN 0.0 ELSE 0.5 + 0.5 * cos((r - 2) / 2 * pi()) END AS w FROM (SELECT *, sqrt((x - 4) * (x - 4) + (y - 4) * (y - 4)) AS r FROM px)),
 b AS (SELECT vec_id, sum((1 - w) * v) / sum(1 - w) AS b FROM w GROUP BY 1) SELECT vec_id, p, round(w * v + (1 - w) * b, 6) + 0.0 AS v FROM w JOIN b USING (vec_id)""")
 def soft_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = spectral.image_kernel(images(spark, sf_dir).where("vec_id % 20 = 0"), lambda image: kernels.soft_mask(image, 2.0, 2.0))
+    masked = spectral.image_kernel(images(spark, sf_dir), lambda image: kernels.soft_mask(image, 2.0, 2.0))
     return rounded(masked.select("vec_id", F.posexplode("pixels").alias("p", "v")).withColumn("p", F.col("p").cast("long")), "v")
 
 

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import physics
-from lumenfold.operators import em, sampling, statistics
+from lumenfold.operators import em, healpix, sampling, statistics
 from lumenfold.plans.image_queries import PX, REF, diffs, rounded
 from lumenfold.plans.registry import register
 from lumenfold.sources.tables import images, pixels, table
 
-ANGLES = "SELECT DISTINCT CAST(l_partkey % 360 - 180 AS DOUBLE) AS rot, CAST(l_suppkey % 171 + 5 AS DOUBLE) AS tilt, CAST(l_linenumber * 40 AS DOUBLE) AS psi FROM lineitem WHERE l_partkey % 10 = 0"
+ANGLES = "SELECT DISTINCT CAST(l_partkey % 360 - 180 AS DOUBLE) AS rot, CAST(l_suppkey % 171 + 5 AS DOUBLE) AS tilt, CAST(l_linenumber * 40 AS DOUBLE) AS psi FROM lineitem"
 
 
 def angles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 10 = 0")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.selectExpr("cast(l_partkey % 360 - 180 as double) as rot", "cast(l_suppkey % 171 + 5 as double) as tilt", "cast(l_linenumber * 40 as double) as psi").distinct()
 
 
@@ -138,10 +138,39 @@ def sampling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(*(F.lit(counts[k]).cast("long").alias(k) for k in ("directions", "psi", "translations")))
 
 
+RINGS = """ring AS (SELECT i, least(i, 32 - i, 8) AS c, i < 8 OR i > 24 AS polar FROM (SELECT unnest(range(1, 32)) AS i)),
+cells AS (SELECT i, c, polar, unnest(range(4 * c)) AS j FROM ring),
+centres AS (SELECT (row_number() OVER (ORDER BY i, j) - 1)::BIGINT AS ring_pixel, CASE WHEN i < 8 THEN 1 - i * i / 192.0 WHEN i > 24 THEN (32 - i) * (32 - i) / 192.0 - 1 ELSE 4 / 3.0 - i / 12.0 END AS z,
+  90.0 / c * (j + CASE WHEN polar OR (i - 8) % 2 = 0 THEN 0.5 ELSE 0 END) AS rot FROM cells)"""
+
+
+@register("healpix_centres", f"""WITH {RINGS} SELECT ring_pixel, round(z, 6) + 0.0 AS z, round(rot, 6) AS rot FROM centres""")
+def healpix_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres of all 768 pixels of order 3, made in nested order and renumbered along the rings."""
+    found = healpix.with_ring(healpix.directions(spark, 3), "pixel", 3)
+    return rounded(found.select("ring_pixel", F.cos(F.radians("tilt")).alias("z"), "rot"), "z", "rot")
+
+
+CELLS = """dirs AS (SELECT DISTINCT l_partkey % 360 + 0.3 AS rot, l_suppkey % 171 + 5.2 AS tilt FROM lineitem),
+flat AS (SELECT rot, tilt, cos(radians(tilt)) AS z, rot / 45 AS turn FROM dirs),
+plane AS (SELECT rot, tilt, CASE WHEN abs(z) > 2 / 3.0 THEN m + (turn - m) * s ELSE turn END AS t, CASE WHEN abs(z) > 2 / 3.0 THEN sign(z) * (2 - s) ELSE 1.5 * z END AS w
+  FROM (SELECT *, sqrt(3 * (1 - abs(z))) AS s, 2 * floor(turn / 2) + 1 AS m FROM flat)),
+faces AS (SELECT f, CASE WHEN f // 4 = 1 THEN 2 * (f % 4) ELSE 2 * (f % 4) + 1 END AS tc, 1 - f // 4 AS wc FROM (SELECT unnest(range(12)) AS f)),
+inside AS (SELECT rot, tilt, f, (dt + w - wc) / 2 + 0.5 AS u, (w - wc - dt) / 2 + 0.5 AS v FROM (SELECT *, (t - tc + 12) - 8 * floor((t - tc + 12) / 8) - 4 AS dt FROM plane, faces)),
+cell AS (SELECT rot, tilt, f, CAST(floor(u * 16) AS BIGINT) AS x, CAST(floor(v * 16) AS BIGINT) AS y FROM inside WHERE u >= 0 AND u < 1 AND v >= 0 AND v < 1)"""
+
+
+@register("healpix_pixel_of_direction", f"""WITH {CELLS} SELECT rot::DOUBLE AS rot, tilt::DOUBLE AS tilt, f * 256 + list_sum([(x >> b & 1) * power(4, b) + (y >> b & 1) * 2 * power(4, b) FOR b IN [0, 1, 2, 3]])::BIGINT AS pixel FROM cell""")
+def healpix_pixel_of_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested pixel of order 4 that holds each direction."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("cast(l_partkey % 360 + 0.3 as double) as rot", "cast(l_suppkey % 171 + 5.2 as double) as tilt").distinct()
+    return healpix.with_pixel(rows, "rot", "tilt", 4)
+
+
 @register("healpix_moments", """SELECT 192::BIGINT AS n, 0.0::DOUBLE AS mean_z, round(1 / 3.0, 2)::DOUBLE AS mean_z2""")
 def healpix_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = F.cos(F.radians("tilt"))
-    return sampling.directions(spark, 2).agg(F.count("*").alias("n"), (F.round(F.avg(z), 6) + F.lit(0.0)).alias("mean_z"), F.round(F.avg(z * z), 2).alias("mean_z2"))
+    return healpix.directions(spark, 2).agg(F.count("*").alias("n"), (F.round(F.avg(z), 6) + F.lit(0.0)).alias("mean_z"), F.round(F.avg(z * z), 2).alias("mean_z2"))
 
 
 @register("gtm_grid_2d", """SELECT i + 5 * j AS node, (i + 1)::DOUBLE AS x1, (j + 1)::DOUBLE AS x2 FROM (SELECT unnest(range(5)) AS i), (SELECT unnest(range(5)) AS j)""")
@@ -235,11 +264,14 @@ d AS (SELECT rot, tilt, grot, gtilt, degrees(acos(greatest(-1, least(1, cos(radi
 SELECT rot, tilt, count(*) FILTER (WHERE a <= 30) AS near, round(min(a), 4) AS least FROM d GROUP BY ALL""")
 def nearest_prior_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = angles(spark, sf_dir).where("tilt < 60").select("rot", "tilt").distinct()
-    grid = spark.range(108).selectExpr("cast((id div 9) * 30 - 180 as double) as grot", "cast(id % 9 * 20 + 5 as double) as gtilt")
-    met = rows.join(F.broadcast(grid), F.lit(True))  # a fixed grid of directions
-    dot = F.expr("cos(radians(tilt)) * cos(radians(gtilt)) + sin(radians(tilt)) * sin(radians(gtilt)) * cos(radians(rot - grot))")
-    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
-    return met.groupBy("rot", "tilt").agg(F.count(F.when(angle <= 30, 1)).alias("near"), F.round(F.min(angle), 4).alias("least"))
+    # a fixed grid of 108 directions: an expression on the row, no join
+    dots = F.expr(
+        "transform(sequence(0, 107), i -> cos(radians(tilt)) * cos(radians(i % 9 * 20 + 5))"
+        " + sin(radians(tilt)) * sin(radians(i % 9 * 20 + 5)) * cos(radians(rot - (i div 9 * 30 - 180))))"
+    )
+    angle = lambda dot: F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
+    met = rows.select("rot", "tilt", F.transform(dots, angle).alias("a"))
+    return met.select("rot", "tilt", F.size(F.filter("a", lambda a: a <= 30)).cast("long").alias("near"), F.round(F.array_min("a"), 4).alias("least"))
 
 
 @register("symmetric_distance", f"""WITH a AS (SELECT DISTINCT psi + rot AS psi FROM ({ANGLES})), s AS (SELECT unnest(range(4)) * 90 AS turn)

@@ -104,9 +104,9 @@ def present_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("select_restack", f"""WITH {PARTICLES} SELECT {KEYS}, row_number() OVER (PARTITION BY class_no ORDER BY {KEYS}) AS new_index,
-  lpad(CAST(row_number() OVER (PARTITION BY class_no ORDER BY {KEYS}) AS VARCHAR), 7, '0') || '@class' || class_no || '.mrcs' AS new_name FROM particles WHERE micrograph % 5 = 0""")
+  lpad(CAST(row_number() OVER (PARTITION BY class_no ORDER BY {KEYS}) AS VARCHAR), 7, '0') || '@class' || class_no || '.mrcs' AS new_name FROM particles""")
 def select_restack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = particles(spark, sf_dir).where("micrograph % 5 = 0")
+    chosen = particles(spark, sf_dir)
     return ops.restack(chosen, "class_no", ORDER).select(*ORDER, "new_index", "new_name")
 
 
