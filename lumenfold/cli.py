@@ -29,7 +29,7 @@ from lumenfold.sources import stacks, star
 _EM = {"pool": "50", "random_seed": "33", "ctf": "0", "only_flip_phases": "0", "ctf_phase_flipped": "0", "norm": "0", "zero_mask": "0"}
 COMMANDS: dict[str, dict[str, str | None]] = {
     "map2d": {"i": None, "o": None, "K": None, "iter": None, "angpix": None, "tau2_fudge": None, "oversampling": None, "particle_diameter": "-1", "offset_step": "2", "offset_range": "10", "psi_step": "10"} | _EM,
-    "map3d": {"i": None, "o": None, "ref": None, "K": None, "iter": None, "angpix": None, "healpix_order": None, "sym": "C1", "offset_step": "2", "offset_range": "10", "firstiter_cc": "0"} | _EM,
+    "map3d": {"i": None, "o": None, "ref": None, "K": None, "iter": None, "angpix": None, "healpix_order": None, "sym": "C1", "offset_step": "2", "offset_range": "10", "firstiter_cc": "0", "tau2_fudge": "4"} | _EM,
     "sml": {"i": None, "o": None, "K": None, "iter": None, "angpix": None, "dimension": "1", "pca": "0", "alpha": "0.01", "updatebeta": "1", "precision": "10e-12", "weightedsum": "1", "search": "NULL"},
     "deep2d": {"i": None, "o": None, "map2d_K": None, "sml_K": None, "map2d_iter": None, "sml_iter": None, "angpix": None, "tau2_fudge": None, "dimension": "1", "offset_step": "2", "offset_range": "10", "psi_step": "10"} | _EM,
     "reconstruct": {"i": None, "o": None, "angpix": None, "iter": "10", "refdim": "3", "sym": "c1", "ctf": "0", "maxres": "-1", "pad": "2"},
@@ -47,9 +47,8 @@ COMMANDS: dict[str, dict[str, str | None]] = {
 
 
 #: Options that are known but not built, by command, with the one value that they may have.
-_EM_FIXED = {"ctf": "0", "only_flip_phases": "0", "ctf_phase_flipped": "0", "norm": "0", "zero_mask": "0"}
 FIXED: dict[str, dict[str, str]] = {
-    "map3d": {"sym": "C1", "firstiter_cc": "0"} | _EM_FIXED,
+    "map3d": {"norm": "0"},
     "sml": {"pca": "0", "precision": "10e-12", "weightedsum": "1"},
     "reconstruct": {"refdim": "3", "sym": "c1", "ctf": "0", "maxres": "-1"},
 }
@@ -205,38 +204,57 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> None:
         return stacks.write_mrc(o["o"], volume.astype(np.float32), float(o["angpix"]))
     if command == "map3d":
         from lumenfold.operators.healpix import centres
+        from lumenfold.operators.sampling import point_group
 
         start = stacks.read_mrc(o["ref"]).astype(float)
         rng = np.random.default_rng(int(o["random_seed"]))
-        volumes = np.stack([start * (1 + 0.05 * rng.normal(size=start.shape)) for _ in range(int(o["K"]))])
-        order = int(o["healpix_order"])
-        volumes, _, _ = estimators.classify_3d(rows, volumes, centres(order), int(o["iter"]), 60.0 / 2**order, reach=float(o["offset_range"]), shift=float(o["offset_step"]))
-        for k, volume in enumerate(volumes):
-            stacks.write_mrc(f"{o['o']}_class{k + 1:03d}.mrc", volume.astype(np.float32), float(o["angpix"]))
+        k, order, side, pixel = int(o["K"]), int(o["healpix_order"]), _side(rows), float(o["angpix"])
+        volumes = np.stack([start * (1 + 0.05 * rng.normal(size=start.shape)) for _ in range(k)])
+        if not _whole_model(o):
+            volumes, _, _ = estimators.classify_3d(rows, volumes, centres(order), int(o["iter"]), 60.0 / 2**order, reach=float(o["offset_range"]), shift=float(o["offset_step"]))
+            return _save_volumes(volumes, o["o"], pixel)
+        given, transfer = _prepared(star.grouped(rows), o, side, pixel, side / 2)
+        noise = map_em.start(given, 1, int(given.agg(F.max("__group")).first()[0]) + 1, group="__group").sigma2
+        model = map_em.classify_volumes(
+            given, map_em.Volumes(volumes, np.full(k, 1 / k), noise), centres(order), int(o["iter"]), 60.0 / 2**order, float(o["offset_range"]), float(o["offset_step"]),
+            tau2_fudge=float(o["tau2_fudge"]), symmetry=point_group(o["sym"]), cc_first=o["firstiter_cc"] != "0", ctf=transfer, group="__group",
+        )
+        return _save_volumes(model.volumes, o["o"], pixel)
     return None
 
 
+def _save_volumes(volumes: np.ndarray, base: str, pixel: float) -> None:
+    for k, volume in enumerate(volumes):
+        stacks.write_mrc(f"{base}_class{k + 1:03d}.mrc", volume.astype(np.float32), pixel)
+
+
 def _side(rows: DataFrame) -> int:
     return int(round(rows.select(F.size("pixels")).first()[0] ** 0.5))
 
 
 def _whole_model(o: dict[str, str]) -> bool:
-    """Whether map2d needs transfer functions, group scales, masks or a second pass."""
-    return any(o[k] != "0" for k in ("ctf", "only_flip_phases", "ctf_phase_flipped", "norm", "zero_mask", "oversampling")) or float(o["particle_diameter"]) > 0
+    """Whether the options ask for transfer functions, group scales, masks, a second pass, symmetry or a first round by correlation."""
+    known = ("ctf", "only_flip_phases", "ctf_phase_flipped", "norm", "zero_mask", "oversampling", "firstiter_cc")
+    return any(o.get(k, "0") != "0" for k in known) or float(o.get("particle_diameter", -1)) > 0 or o.get("sym", "C1").upper() != "C1"
+
+
+def _prepared(rows: DataFrame, o: dict[str, str], side: int, pixel: float, radius: float | None) -> tuple[DataFrame, str | None]:
+    """Images with __group from 0, masked and with their transfer functions if the options ask for them, and the latter's column."""
+    part = "sign" if o["only_flip_phases"] != "0" else "size" if o["ctf_phase_flipped"] != "0" else "whole"
+    given = rows.withColumn("__group", F.col("GroupNumber") - 1)
+    if o["zero_mask"] != "0" or (radius is not None and radius < side / 2):
+        mask, reach = kernels.solvent_flatten if o["zero_mask"] != "0" else kernels.soft_mask, side / 2 if radius is None else radius
+        given = spectral.image_kernel(given, lambda image: mask(image, reach - 5.0 if side > 16 else reach, 5.0))
+    if o["ctf"] == "0":
+        return given, None
+    return map_em.with_ctf(given, pixel, side, part=part), "ctf"
 
 
 def _map2d(both: Inputs, o: dict[str, str]) -> None:
     """map2d with noise by group and shell, and what the options ask for."""
     rows = both.rows
     side, pixel = _side(rows), float(o["angpix"])
-    part = "sign" if o["only_flip_phases"] != "0" else "size" if o["ctf_phase_flipped"] != "0" else "whole"
-    transfer = "ctf" if o["ctf"] != "0" else None
-    given = star.grouped(rows).withColumn("__group", F.col("GroupNumber") - 1)
-    radius = float(o["particle_diameter"]) / 2 / pixel if float(o["particle_diameter"]) > 0 else side / 2 - 5 if side > 16 else side / 2
-    if o["zero_mask"] != "0" or float(o["particle_diameter"]) > 0:
-        mask = kernels.solvent_flatten if o["zero_mask"] != "0" else kernels.soft_mask
-        given = spectral.image_kernel(given, lambda image: mask(image, radius, 5.0))
-    given = map_em.with_ctf(given, pixel, side, part=part) if transfer else given
+    given, transfer = _prepared(star.grouped(rows), o, side, pixel, float(o["particle_diameter"]) / 2 / pixel if float(o["particle_diameter"]) > 0 else None)
     step, reach, shift, order = float(o["psi_step"]), float(o["offset_range"]), float(o["offset_step"]), int(o["oversampling"])
     model = map_em.classify(given, int(o["K"]), int(o["iter"]), step, reach, shift, order, float(o["tau2_fudge"]), int(o["random_seed"]), ctf=transfer, group="__group", scale=o["norm"] != "0")
     save_references(f"{o['o']}.mrcs", model.images.reshape(len(model.references), -1))

@@ -347,3 +347,150 @@ def class_averages(images: DataFrame, classes: int, class_no: str, weight: str,
 
     total = statistics(images, [pixels, class_no, weight, *([ctf] if ctf else [])], fold, 3 * (classes + 1) * p).reshape(3, classes + 1, p)[:, 1:]
     return np.stack([plane.image(a) for a in (total[0] + 1j * total[1]) / (total[2] + alpha)])
+
+
+def full_plane(half: np.ndarray, n: int, even: bool) -> np.ndarray:
+    """The whole plane, centred, of a half plane: even weights, or transforms whose other half is conjugate."""
+    rows, columns = np.arange(n)[:, None], np.arange(n)[None]
+    grid = half.reshape(n, n // 2 + 1)
+    other = grid[(n - rows) % n, np.minimum(columns, n - columns)]
+    full = np.where(columns <= n // 2, grid[rows, np.minimum(columns, n - columns)], other if even else other.conj())
+    return np.fft.fftshift(full)
+
+
+def scatter_plane(data: np.ndarray, weight: np.ndarray, numer: np.ndarray, denom: np.ndarray, matrix: np.ndarray, pad: int) -> None:
+    """Add a centred plane and its weights to a padded transform, shared among eight corners."""
+    n, m = numer.shape[0], data.shape[0]
+    ky, kx = np.mgrid[:n, :n] - n // 2
+    keep = np.hypot(kx, ky) < n // 2
+    at = (pad * (kx[..., None] * matrix[0] + ky[..., None] * matrix[1]) + m // 2)[keep]
+    value, w = numer[keep], denom[keep]
+    base = np.floor(at).astype(int)
+    part = at - base
+    for corner in np.ndindex(2, 2, 2):
+        share = np.prod(np.where(corner, part, 1 - part), axis=1)
+        x, y, z = (base + corner).T
+        ok = ((base + corner >= 0) & (base + corner < m)).all(1)
+        np.add.at(data, (z[ok], y[ok], x[ok]), (share * value)[ok])
+        np.add.at(weight, (z[ok], y[ok], x[ok]), (share * w)[ok])
+
+
+@dataclass
+class Volumes:
+    """Class volumes, shares, noise by group and shell, and the history of the log likelihood."""
+
+    volumes: np.ndarray
+    shares: np.ndarray
+    sigma2: np.ndarray
+    history: list[float] = field(default_factory=list)
+
+
+def classify_volumes(images: DataFrame, model: Volumes, directions: np.ndarray, rounds: int, step: float, reach: float = 0.0, shift: float = 1.0, pad: int = 2, tau2_fudge: float = 0.0, symmetry: list[np.ndarray] | None = None, cc_first: bool = False, pixels: str = "pixels", ctf: str | None = None, group: str | None = None) -> Volumes:
+    """Classification of images over directions (rot, tilt), in-plane angles and shifts, with transfer functions and noise by shell.
+
+    Each task weighs its images against the projections of the present volumes, a few images at a time, and adds up
+    planes by class and view; these, not images, are scattered into the padded transforms. tau2_fudge above 0: the
+    volumes' own spectra times it hold the divisions back; symmetry: operations under which the transforms are
+    summed; cc_first: the first round gives each image to its most correlated view.
+    """
+    from lumenfold.operators.estimators import euler
+
+    n, k = model.volumes.shape[-1], len(model.volumes)
+    m, plane = n * pad, Plane(n)
+    p, groups = plane.kx.size, len(model.sigma2)
+    matrices = [euler(rot, tilt, psi) for rot, tilt in directions for psi in np.arange(0, 360, step)]
+    moves = [(dx, dy) for _, dx, dy in poses(360.0, reach, shift)]
+    ramps = np.exp(-2j * np.pi * (np.outer([dx for dx, _ in moves], plane.kx) + np.outer([dy for _, dy in moves], plane.ky)) / n)
+    # volumes turn about their middle
+    centred = np.exp(2j * np.pi * (n // 2) * (plane.kx + plane.ky) / n)
+    columns = [pixels, *([ctf] if ctf else []), *([group] if group else [])]
+    views = len(matrices)
+    some = max(1, WEIGHTS // (k * views * len(moves)))
+    sizes = [k * m**3, k * m**3, k * m**3, k, groups * plane.shells, groups, 1]
+    cuts = np.cumsum([0, *sizes])
+    n_pixels = np.bincount(plane.shell, plane.used, plane.shells)
+    for r in range(rounds):
+        each = plane.transform(np.stack([kernels.project(v, a, pad).ravel() for v in model.volumes for a in matrices]))
+        shared = images.sparkSession.sparkContext.broadcast((each, model.shares, model.sigma2, cc_first and r == 0))
+        memo: dict[str, np.ndarray] = {}
+
+        def fold(batch: dict[str, np.ndarray], count: int) -> np.ndarray:
+            refs, shares, sigma2, cc = shared.value  # noqa: B023
+            if not memo:  # once a task  # noqa: B023
+                memo["all"] = (refs[:, None] * ramps).reshape(-1, p)  # noqa: B023
+            every = memo["all"]  # noqa: B023
+            prior = np.repeat(np.log(shares + 1e-300), views * len(moves))
+            top, bottom = np.zeros((k * views, p), complex), np.zeros((k * views, p))
+            residual, counts, mass, like = np.zeros((groups, plane.shells)), np.zeros(groups), np.zeros(k), 0.0
+            for a in range(0, count, some):
+                x = plane.transform(batch[pixels][a : a + some])
+                g = batch[group][a : a + some].astype(int) if group else np.zeros(len(x), int)
+                c = batch[ctf][a : a + some] if ctf else np.ones(x.shape)
+                wt = plane.used / sigma2[g][:, plane.shell]
+                if cc:
+                    used = plane.used.astype(float)
+                    cross = ((used * c * x) @ every.conj().T).real
+                    score = cross / np.sqrt(np.maximum((used * c * c) @ (np.abs(every) ** 2).T, 1e-300))
+                    w = np.zeros_like(score)
+                    w[np.arange(len(x)), score.argmax(1)] = 1.0
+                else:
+                    w, own = softmax(exponents(x, c, wt, every, prior))
+                    like += float((own - (plane.used * np.log(2 * np.pi * sigma2[g][:, plane.shell])).sum(1)).sum())
+                by_move = w.reshape(len(x), k * views, len(moves))
+                for t in range(len(moves)):
+                    top += ramps[t].conj() * (by_move[:, :, t].T @ (wt * c * x))
+                bottom += by_move.sum(2).T @ (wt * c * c)
+                mean, square = w @ every, w @ np.abs(every) ** 2
+                rest = np.where(plane.used, np.abs(x) ** 2 - 2 * (x.conj() * c * mean).real + c * c * square, 0.0)
+                np.add.at(residual, (g[:, None], plane.shell[None]), rest)
+                np.add.at(counts, g, 1)
+                mass += by_move.sum((0, 2)).reshape(k, views).sum(1)
+            grids = np.zeros((3, k, m, m, m))
+            for i in range(k):
+                data, weight = np.zeros((m,) * 3, complex), np.zeros((m,) * 3)
+                for v, matrix in enumerate(matrices):
+                    row = i * views + v
+                    if bottom[row].any():
+                        # a plane's lone half of the line kx = 0 is given back by its mirror image
+                        numer = np.where(plane.used, top[row] * centred, 0)
+                        scatter_plane(data, weight, mirrored(full_plane(numer, n, False), False), mirrored(full_plane(bottom[row], n, True), True), matrix, pad)
+                grids[0, i], grids[1, i], grids[2, i] = data.real, data.imag, weight
+            return np.concatenate([grids.ravel(), mass, residual.ravel(), counts, [like]])
+
+        out = statistics(images, columns, fold, int(cuts[-1]))
+        shared.unpersist()
+        part = [out[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        real, imaginary, weights = (x.reshape(k, m, m, m) for x in part[:3])
+        volumes = []
+        for i in range(k):
+            data, weight = real[i] + 1j * imaginary[i], weights[i]
+            if symmetry and len(symmetry) > 1:
+                data, weight = kernels.symmetrise(data, weight, symmetry)
+            if tau2_fudge > 0:
+                weight = weight + _held_back(model.volumes[i], pad, tau2_fudge)
+            scale = max(float(weight.max()), 1e-300)
+            value = np.where(weight > 1e-6 * scale, data / np.maximum(weight, 1e-6 * scale), 0)
+            volumes.append(kernels.reconstruct(value * n * n, np.ones_like(weight), n, pad))
+        counts = part[5]
+        sigma2 = np.where(counts[:, None] > 0, np.maximum(part[4].reshape(groups, -1) / (2 * np.maximum(counts[:, None] * n_pixels, 1)), 1e-12), model.sigma2)
+        model = Volumes(np.stack(volumes), part[3] / counts.sum(), sigma2, [*model.history, float(part[6][0])])
+    return model
+
+
+def mirrored(plane: np.ndarray, even: bool) -> np.ndarray:
+    """A centred plane where what is missing (0) is taken from the point through the centre."""
+    other = plane[::-1, ::-1] if len(plane) % 2 else np.roll(plane[::-1, ::-1], 1, (0, 1))
+    return np.where(plane == 0, other if even else other.conj(), plane)
+
+
+def _held_back(volume: np.ndarray, pad: int, fudge: float) -> np.ndarray:
+    """1 / (fudge tau2) of each shell of a padded transform, from the power of the present volume's projections."""
+    n = volume.shape[0]
+    power = np.abs(np.fft.fftshift(np.fft.fftn(volume))) ** 2 / n**4
+    z, y, x = np.mgrid[:n, :n, :n] - n // 2
+    shell = np.minimum(np.round(np.sqrt(z * z + y * y + x * x)).astype(int), n // 2)
+    tau2 = np.bincount(shell.ravel(), power.ravel()) / np.bincount(shell.ravel()) / 2
+    m = n * pad
+    z, y, x = np.mgrid[:m, :m, :m] - m // 2
+    at = np.minimum(np.round(np.sqrt(z * z + y * y + x * x) / pad).astype(int), n // 2)
+    return 1 / np.maximum(fudge * tau2[at], 1e-12)

@@ -138,6 +138,20 @@ def gtm_step_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(float(model.beta), 4), round(float(model.history[-1]), 3))], "beta double, log_likelihood double")
 
 
+@register("map3d_classes")
+def map3d_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of two volumes after two rounds over directions and in-plane angles, with transfer functions, groups and symmetry."""
+    from lumenfold.operators import healpix, sampling
+    from lumenfold.plans.format_queries import volume_of
+
+    first = volume_of(spark, sf_dir)
+    rows = step_images(spark, sf_dir)
+    noise = map_em.start(rows, 1, 3, group="g").sigma2
+    model = map_em.Volumes(np.stack([first, first[::-1]]), np.full(2, 0.5), noise)
+    model = map_em.classify_volumes(rows, model, healpix.centres(0), 2, 90.0, tau2_fudge=4.0, symmetry=sampling.point_group("C2"), cc_first=True, ctf="ctf", group="g")
+    return spark.createDataFrame([(k + 1, float(s), float(model.history[-1])) for k, s in enumerate(model.shares)], "class_no long, share double, log_likelihood double")
+
+
 @register("map2d_full")
 def map2d_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of four classes after four rounds with angles, a finer second pass, transfer functions, groups and priors."""

@@ -442,3 +442,23 @@ def test_star_writes_what_differs_from_the_defaults(spark, tmp_path):
     assert [r.ClassNumber for r in back.orderBy("inner_id").collect()] == [i % 3 for i in range(9)]
     star.write_star(rows.withColumn("GroupName", F.when(F.col("inner_id") > 4, "g")), str(tmp_path / "b"))
     assert [r.GroupName for r in star.read_star(spark, str(tmp_path / "b")).orderBy("inner_id").collect()] == [""] * 5 + ["g"] * 4
+
+
+def test_map_em_finds_a_volume(spark):
+    rng = np.random.default_rng(5)
+    n = 10
+    z, y, x = np.mgrid[:n, :n, :n]
+    truth = sum(np.exp(-((x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2) / 3) for a, b, c in ((4, 5, 3), (7, 4, 5), (5, 7, 6)))
+    directions, plane = healpix.centres(0), map_em.Plane(n)
+    ctf = [0.5 + 0.5 * np.cos((plane.kx**2 + plane.ky**2) * (1 + i % 3) / 20) for i in range(72)]
+    images = []
+    for i in range(72):
+        f = plane.transform(kernels.project(truth, estimators.euler(*directions[i % 12], 60.0 * (i % 6))).ravel()[None])[0] * ctf[i]
+        images.append(kernels.translate(plane.image(f), *[(1, 0), (0, -1), (0, 0)][i % 3]) + rng.normal(0, 0.05, (n, n)))
+    rows = [(i, [float(v) for v in im.ravel()], [float(v) for v in ctf[i]], i % 2) for i, im in enumerate(images)]
+    df = spark.createDataFrame(rows, "id long, pixels array<double>, ctf array<double>, g int").repartition(2)
+    first = truth * 0.5 + rng.normal(0, 0.02, truth.shape)
+    noise = map_em.start(df, 1, 2, group="g").sigma2
+    model = map_em.classify_volumes(df, map_em.Volumes(first[None], np.ones(1), noise), directions, 3, 60.0, 1.0, 1.0, tau2_fudge=4.0, cc_first=True, ctf="ctf", group="g")
+    assert np.corrcoef(model.volumes[0].ravel(), truth.ravel())[0, 1] > 0.9 and model.history[2] > model.history[1] and model.shares[0] == 1
+    assert 0.7 < (model.volumes[0] * truth).sum() / (truth**2).sum() < 1.3
