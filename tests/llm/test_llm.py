@@ -362,6 +362,45 @@ def test_op7_links_are_not_lost_to_equal_low_bits(spark):
     assert {(r.a, r.b) for r in near_dedup._join_components(rest, hashes, 80).collect()} == want
 
 
+def all_links(sets, percent):
+    """All pairs of unlike sets of the similarity or more, found by their rarest shingles: such sets share one of them."""
+    often = collections.Counter(x for s in sets for x in s)
+    seen, links = collections.defaultdict(list), []
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        own = sorted(sets[i], key=lambda x: (often[x], x))
+        prefix = own[: len(own) - -(-percent * len(own) // 100) + 1]
+        for j in {j for x in prefix for j in seen[x]}:
+            if near_dedup.linked(sets[i], sets[j], percent):
+                links.append((i, j))
+        for x in prefix:
+            seen[x].append(i)
+    return links
+
+
+def test_op7_finds_every_link_of_real_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = {k: r.component_id for k, r in rows_of(queries.op7_near_dedup(spark, folder)).items()}
+    by_set = collections.defaultdict(list)
+    for k, t in texts.items():
+        by_set[frozenset(near_dedup.shingles_of(t or "", 2))].append(k)
+    sets = [s for s in by_set if s]
+    assert all(len({got[k] for k in by_set[s]}) == 1 for s in sets)
+    links = all_links(sets, 80)
+    assert len(links) > 100 and all(got[by_set[sets[i]][0]] == got[by_set[sets[j]][0]] for i, j in links)
+    parent = {min(by_set[s]): min(by_set[s]) for s in sets}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, j in links:
+        a, b = root(min(by_set[sets[i]])), root(min(by_set[sets[j]]))
+        parent[max(a, b)] = min(a, b)
+    assert all(got[k] == root(min(by_set[s])) for s in sets for k in by_set[s])
+
+
 def test_op7_rows_that_share_a_key_are_one_node(spark):
     a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "quite another text of several words here")
     rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, c), (7, None), (11, ""), (11, c), (12, "")]
