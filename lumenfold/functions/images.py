@@ -85,6 +85,15 @@ def rotate(image: np.ndarray, degrees: float, fill: float = 0.0) -> np.ndarray:
     return sample(image, -s * x + c * y + n // 2, c * x + s * y + n // 2, False, fill)
 
 
+def apply_geometry(image: np.ndarray, matrix: np.ndarray, shift: tuple[float, float] = (0.0, 0.0), fill: float = 0.0) -> np.ndarray:
+    """The image under an affine map of (x, y) about its middle, bilinear: out(A u + t) = in(u)."""
+    n = image.shape[0]
+    y, x = np.mgrid[:n, :n].astype(float) - n // 2
+    back = np.linalg.inv(np.asarray(matrix, float))
+    dx, dy = x - shift[0], y - shift[1]
+    return sample(image, back[1, 0] * dx + back[1, 1] * dy + n // 2, back[0, 0] * dx + back[0, 1] * dy + n // 2, False, fill)
+
+
 def sample(image: np.ndarray, y: np.ndarray, x: np.ndarray, wrap: bool, fill: float) -> np.ndarray:
     """Bilinear values at (y, x)."""
     n = image.shape[0]

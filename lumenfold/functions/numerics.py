@@ -75,6 +75,14 @@ def kaiser_blob(r: np.ndarray, radius: float = 1.9, alpha: float = 15.0, order:
     return np.where(r <= radius, value, 0.0)
 
 
+def kaiser_blob_transform(w: np.ndarray, radius: float = 1.9, alpha: float = 15.0) -> np.ndarray:
+    """The Fourier transform of the 3D window of order 0 at the frequencies w, in closed form."""
+    scaled = (2 * np.pi * radius * np.asarray(w, float)) ** 2 - alpha * alpha
+    root = np.sqrt(np.maximum(np.abs(scaled), 1e-12))
+    value = np.where(scaled < 0, bessel_i_half(1, np.minimum(root, 700)), bessel_j(1.5, root)) / root**1.5
+    return (2 * np.pi) ** 1.5 * radius**3 / bessel_i(0, np.array(alpha)) * value
+
+
 def minimise(f: Callable[[float], float], a: float, b: float, tolerance: float = 1e-8, rounds: int = 200) -> tuple[float, float]:
     """(x, f(x)) at a minimum between a and b: golden sections with parabolic steps."""
     golden = (3 - math.sqrt(5)) / 2

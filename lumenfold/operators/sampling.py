@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -80,21 +81,40 @@ def axis_rotation(axis: np.ndarray, degrees: float) -> np.ndarray:
     return np.eye(3) + s * k + (1 - c) * (k @ k)
 
 
+def mirror(normal: np.ndarray) -> np.ndarray:
+    """Reflection in the plane through the origin with the given normal."""
+    n = np.asarray(normal, float) / np.linalg.norm(normal)
+    return np.eye(3) - 2 * np.outer(n, n)
+
+
 def point_group(name: str) -> list[np.ndarray]:
-    """Rotations of C<n>, D<n>, T, O or I."""
+    """Operations of a point group, the identity first: CI, CS, C<n>, C<n>V, C<n>H, S<2n>, D<n>, D<n>V (staggered planes), D<n>H, T, TD, TH, O, OH, I, IH.
+
+    Rotations alone for C<n>, D<n>, T, O and I; the others hold reflections or the inversion as well.
+    """
+    found = re.fullmatch(r"(CI|CS|[CDS]\d+|[TOI])([VHD]?)", name.strip().upper())
+    if not found:
+        raise ValueError(f"unknown point group {name}")
+    kind, more = found[1], found[2]
     z, x = np.array([0, 0, 1.0]), np.array([1.0, 0, 0])
-    kind, n = name[0].upper(), int(name[1:] or 1)
     golden = (1 + 5**0.5) / 2
+    n = int(kind[1:]) if kind[1:].isdigit() else 1
+    turn = axis_rotation(z, 360 / n) if n else None
+    if turn is None or (kind[0] == "S" and (n % 2 or more)) or (kind in ("CI", "CS") and more):
+        raise ValueError(f"unknown point group {name}")
+    three = axis_rotation(np.ones(3), 120)
     generators = {
-        "C": lambda: [axis_rotation(z, 360 / n)],
-        "D": lambda: [axis_rotation(z, 360 / n), axis_rotation(x, 180)],
-        "T": lambda: [axis_rotation(np.ones(3), 120), axis_rotation(z, 180)],
-        "O": lambda: [axis_rotation(np.ones(3), 120), axis_rotation(z, 90)],
-        "I": lambda: [axis_rotation(np.ones(3), 120), axis_rotation(np.array([0, 1, golden]), 72)],
-    }
-    if kind not in generators:
+        "CI": [-np.eye(3)], "CS": [mirror(z)], "C": [turn], "S": [turn @ mirror(z)], "D": [turn, axis_rotation(x, 180)],
+        "T": [three, axis_rotation(z, 180)], "O": [three, axis_rotation(z, 90)], "I": [three, axis_rotation(np.array([0, 1, golden]), 72)],
+    }[kind if kind in ("CI", "CS") else kind[0]]
+    half = np.radians(90 / n)
+    extra = {
+        "CV": [mirror(np.array([0, 1.0, 0]))], "CH": [mirror(z)], "DH": [mirror(z)], "DV": [mirror(np.array([-np.sin(half), np.cos(half), 0]))],
+        "TD": [mirror(np.array([1.0, -1, 0]))], "TH": [-np.eye(3)], "OH": [-np.eye(3)], "IH": [-np.eye(3)], "C": [], "S": [], "D": [], "T": [], "O": [], "I": [],
+    }
+    if kind[0] + more not in extra:
         raise ValueError(f"unknown point group {name}")
-    return closure(generators[kind]())
+    return closure(generators + extra[kind[0] + more])
 
 
 def latent_grid(spark: SparkSession, k: int, dimension: int) -> DataFrame:

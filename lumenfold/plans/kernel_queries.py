@@ -174,6 +174,22 @@ def bessel_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "i long, i0 double, i2 double, j0 double, j1_5 double, i0_5 double"), "i0", "i2", "j0", "j1_5", "i0_5")
 
 
+@register("blob_transform", """SELECT i, round(4 * pi() * sum(r * r * b * CASE WHEN w = 0 THEN 1 ELSE sin(2 * pi() * w * r) / (2 * pi() * w * r) END) * 1.9 / 4000, 5) + 0.0 AS value
+FROM (SELECT i, i / 10.0::DOUBLE AS w FROM (SELECT unnest(range(12)) AS i)), (SELECT r, list_sum([power(7.5 * sqrt(1 - r * r / 3.61), 2 * k) / power(factorial(k::INTEGER), 2) FOR k IN range(20)]) / list_sum([power(7.5, 2 * k) / power(factorial(k::INTEGER), 2) FOR k IN range(20)]) AS b
+  FROM (SELECT (k + 0.5) * 1.9 / 4000 AS r FROM (SELECT unnest(range(4000)) AS k))) GROUP BY i""")
+def blob_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Fourier transform of the blob, whose closed form is compared with an integral over its radius."""
+    w = np.arange(12) / 10
+    found = numerics.kaiser_blob_transform(w, 1.9, 15.0)
+    return rounded(spark.createDataFrame([(i, float(v)) for i, v in enumerate(found)], "i long, value double"), "value", places=5)
+
+
+@register("affine_geometry", f"""WITH {PX}, g AS (SELECT vec_id, p, y AS yo, x AS xo FROM px) SELECT g.vec_id, g.p, round(coalesce(q.v, 0), 6) + 0.0 AS v FROM g LEFT JOIN px q ON q.vec_id = g.vec_id AND q.x = 8 - g.xo + 1 AND q.y = g.yo - 2""")
+def affine_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images mirrored in x and moved by (1, 2): out(A u + t) = in(u), from the middle."""
+    return through(spark, sf_dir, lambda image: kernels.apply_geometry(image, np.array([[-1.0, 0.0], [0.0, 1.0]]), (1.0, 2.0)))
+
+
 @register("minimum_of_curves", """SELECT s_suppkey, round((s_suppkey % 64) / 8.0, 4)::DOUBLE AS x FROM supplier""")
 def minimum_of_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a quartic about each supplier's number is least: bracketed from 0, then minimised."""
@@ -244,9 +260,10 @@ def aligned_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("p_partkey", F.get("e", F.lit(0)).alias("u"), F.get("e", F.lit(1)).alias("v"), F.get("e", F.lit(2)).alias("w")), "u", "v", "w")
 
 
-@register("group_orders", """SELECT * FROM (VALUES ('C1', 1), ('C7', 7), ('D3', 6), ('T', 12), ('O', 24), ('I', 60)) AS t(name, operations)""")
+@register("group_orders", """SELECT * FROM (VALUES ('C1', 1), ('C7', 7), ('D3', 6), ('T', 12), ('O', 24), ('I', 60), ('CI', 2), ('CS', 2), ('C4V', 8), ('C3H', 6), ('S4', 4), ('D3V', 12), ('D2H', 8), ('TD', 24), ('TH', 24), ('OH', 48), ('IH', 120)) AS t(name, operations)""")
 def group_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(g, len(sampling.point_group(g))) for g in ("C1", "C7", "D3", "T", "O", "I")], "name string, operations int")
+    names = "C1 C7 D3 T O I CI CS C4V C3H S4 D3V D2H TD TH OH IH".split()
+    return spark.createDataFrame([(g, len(sampling.point_group(g))) for g in names], "name string, operations int")
 
 
 @register("steering_directions", """SELECT 16::BIGINT AS n, 16.0::DOUBLE AS squares""")
