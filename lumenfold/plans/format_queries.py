@@ -11,7 +11,7 @@ from lumenfold.operators import particles as ops
 from lumenfold.plans.image_queries import PX, rounded
 from lumenfold.plans.registry import register
 from lumenfold.session import shared_path
-from lumenfold.sources import reports, stacks, star, state
+from lumenfold.sources import pictures, reports, stacks, star, state
 from lumenfold.sources.tables import ORDER, images, particles, table
 
 PLACED = f"""{PX}, placed AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings)"""
@@ -161,6 +161,27 @@ def optimiser_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "root string, model string, sampling string, iteration long, iterations long, fraction double, join_until double")
 
 
+GREY = f"""{PX}, shown AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 31 AS k FROM embeddings QUALIFY k BETWEEN 0 AND 29), r AS (SELECT vec_id, min(v) AS low, max(v) AS high FROM px GROUP BY 1),
+g AS (SELECT k, y, x, floor((v - low) / (high - low) * 255 + 0.5)::BIGINT AS g FROM px JOIN shown USING (vec_id) JOIN r USING (vec_id))"""
+
+
+@register("picture_of_images", f"WITH {GREY} SELECT (k // 6) * 8 + y AS y, (k % 6) * 8 + x AS x, g AS grey FROM g")
+def picture_of_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of thirty images as one picture, written and read back."""
+    path = f"{shared_path(spark, 'picture')}/page.bmp"
+    pictures.write_bmp(path, pictures.montage(pictures.page_of_images(images(spark, sf_dir), "vec_id", 1, 30), 6))
+    back = pictures.read_bmp(path)
+    return spark.createDataFrame([(y, x, int(back[y, x])) for y, x in np.ndindex(back.shape)], "y long, x long, grey long")
+
+
+@register("pages_of_images", f"WITH {GREY} SELECT k AS page, y, x, g AS grey FROM g")
+def pages_of_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same images as pages of one file."""
+    path = f"{shared_path(spark, 'picture')}/pages.tif"
+    pictures.write_tiff(path, [pictures.grey(i) for i in pictures.page_of_images(images(spark, sf_dir), "vec_id", 1, 30)])
+    return spark.createDataFrame([(k, y, x, int(p[y, x])) for k, p in enumerate(pictures.read_tiff(path)) for y, x in np.ndindex(p.shape)], "page long, y long, x long, grey long")
+
+
 def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as particles, with some of the known columns."""
     return star.with_defaults(

@@ -462,3 +462,17 @@ def test_map_em_finds_a_volume(spark):
     model = map_em.classify_volumes(df, map_em.Volumes(first[None], np.ones(1), noise), directions, 3, 60.0, 1.0, 1.0, tau2_fudge=4.0, cc_first=True, ctf="ctf", group="g")
     assert np.corrcoef(model.volumes[0].ravel(), truth.ravel())[0, 1] > 0.9 and model.history[2] > model.history[1] and model.shares[0] == 1
     assert 0.7 < (model.volumes[0] * truth).sum() / (truth**2).sum() < 1.3
+
+
+def test_pictures(tmp_path):
+    from lumenfold.sources import pictures
+
+    images = np.arange(5 * 9.0).reshape(5, 3, 3)
+    shown = pictures.montage(images, 2)
+    assert shown.shape == (9, 6) and shown[0, 0] == 0 and shown[2, 2] == 255 and not shown[6:, 3:].any()
+    pictures.write_bmp(str(tmp_path / "a.bmp"), shown[:, :5])
+    assert np.array_equal(pictures.read_bmp(str(tmp_path / "a.bmp")), shown[:, :5])
+    pictures.write_tiff(str(tmp_path / "a.tif"), [pictures.grey(i) for i in images])
+    pages = pictures.read_tiff(str(tmp_path / "a.tif"))
+    assert len(pages) == 5 and all(np.array_equal(p, pictures.grey(i)) for p, i in zip(pages, images))
+    assert not pictures.grey(np.ones((2, 2))).any()
