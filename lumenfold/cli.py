@@ -50,7 +50,7 @@ COMMANDS: dict[str, dict[str, str | None]] = {
 FIXED: dict[str, dict[str, str]] = {
     "map3d": {"norm": "0"},
     "sml": {"pca": "0", "precision": "10e-12", "weightedsum": "1"},
-    "reconstruct": {"refdim": "3", "sym": "c1", "ctf": "0", "maxres": "-1"},
+    "reconstruct": {"refdim": "3"},
 }
 
 
@@ -200,7 +200,14 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> None:
             save_references(f"{o['o']}_class{row['ClassNumber']}.mrcs", latent.nodes)
         return None
     if command == "reconstruct":
-        volume = estimators.reconstruct_volume(_shifted(rows), int(o["pad"]), angles=("AngleRot", "AngleTilt", "AnglePsi"), rounds=int(o["iter"]))
+        from lumenfold.operators.sampling import point_group
+
+        side, pixel = _side(rows), float(o["angpix"])
+        transfer = "ctf" if o["ctf"] != "0" else None
+        given = map_em.with_ctf(_shifted(rows), pixel, side) if transfer else _shifted(rows)
+        most = int(round(pixel * side / float(o["maxres"]))) if float(o["maxres"]) > 0 else None
+        named = ("AngleRot", "AngleTilt", "AnglePsi")
+        volume = estimators.reconstruct_volume(given, int(o["pad"]), angles=named, rounds=int(o["iter"]), ctf=transfer, symmetry=point_group(o["sym"]), most=most)
         return stacks.write_mrc(o["o"], volume.astype(np.float32), float(o["angpix"]))
     if command == "map3d":
         from lumenfold.operators.healpix import centres

@@ -303,8 +303,12 @@ def fine_classes(images: DataFrame, coarse: LatentMap, rounds: int, smallest: in
     return out
 
 
-def reconstruct_volume(images: DataFrame, pad: int = 2, pixels: str = "pixels", angles: tuple[str, str, str] = ("rot", "tilt", "psi"), rounds: int = 0) -> np.ndarray:
-    """The volume whose projections in the given ZYZ angles the images are; the eight-corner scatter is summed by voxel."""
+def reconstruct_volume(images: DataFrame, pad: int = 2, pixels: str = "pixels", angles: tuple[str, str, str] = ("rot", "tilt", "psi"), rounds: int = 0, ctf: str | None = None, symmetry: list[np.ndarray] | None = None, most: int | None = None) -> np.ndarray:
+    """The volume whose projections in the given ZYZ angles the images are; the eight-corner scatter is summed by voxel.
+
+    ctf: a column with the contrast transfer on the half plane, by which images are multiplied and weighed; symmetry:
+    operations under which the transform is summed; most: the last shell that is kept.
+    """
     n = int(round(images.select(F.size(pixels)).first()[0] ** 0.5))
     m = n * pad
 
@@ -312,11 +316,17 @@ def reconstruct_volume(images: DataFrame, pad: int = 2, pixels: str = "pixels",
         data, weight = np.zeros((m,) * 3, complex), np.zeros((m,) * 3)
         for i in range(k):
             matrix = euler(*(batch[a][i] for a in angles))
-            kernels.scatter(data, weight, batch[pixels][i].reshape(n, n), matrix, pad)
+            kernels.scatter(data, weight, batch[pixels][i].reshape(n, n), matrix, pad, kernels.full_plane(batch[ctf][i], n, True) if ctf else None)
         return np.concatenate([data.real.ravel(), data.imag.ravel(), weight.ravel()])
 
-    total = statistics(images, [pixels, *angles], fold, 3 * m**3).reshape(3, m, m, m)
-    return kernels.reconstruct(total[0] + 1j * total[1], total[2], n, pad, rounds)
+    total = statistics(images, [pixels, *angles, *([ctf] if ctf else [])], fold, 3 * m**3).reshape(3, m, m, m)
+    data, weight = total[0] + 1j * total[1], total[2]
+    if symmetry and len(symmetry) > 1:
+        data, weight = kernels.symmetrise(data, weight, symmetry)
+    if most is not None:
+        at = np.meshgrid(*[np.arange(m) - m // 2] * 3, indexing="ij")
+        data = np.where(np.sqrt(sum(a * a for a in at)) <= most * pad, data, 0)
+    return kernels.reconstruct(data, weight, n, pad, rounds)
 
 
 def euler(rot: float, tilt: float, psi: float) -> np.ndarray:

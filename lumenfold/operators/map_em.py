@@ -349,15 +349,6 @@ def class_averages(images: DataFrame, classes: int, class_no: str, weight: str,
     return np.stack([plane.image(a) for a in (total[0] + 1j * total[1]) / (total[2] + alpha)])
 
 
-def full_plane(half: np.ndarray, n: int, even: bool) -> np.ndarray:
-    """The whole plane, centred, of a half plane: even weights, or transforms whose other half is conjugate."""
-    rows, columns = np.arange(n)[:, None], np.arange(n)[None]
-    grid = half.reshape(n, n // 2 + 1)
-    other = grid[(n - rows) % n, np.minimum(columns, n - columns)]
-    full = np.where(columns <= n // 2, grid[rows, np.minimum(columns, n - columns)], other if even else other.conj())
-    return np.fft.fftshift(full)
-
-
 def scatter_plane(data: np.ndarray, weight: np.ndarray, numer: np.ndarray, denom: np.ndarray, matrix: np.ndarray, pad: int) -> None:
     """Add a centred plane and its weights to a padded transform, shared among eight corners."""
     n, m = numer.shape[0], data.shape[0]
@@ -453,7 +444,7 @@ def classify_volumes(images: DataFrame, model: Volumes, directions: np.ndarray,
                     if bottom[row].any():
                         # a plane's lone half of the line kx = 0 is given back by its mirror image
                         numer = np.where(plane.used, top[row] * centred, 0)
-                        scatter_plane(data, weight, mirrored(full_plane(numer, n, False), False), mirrored(full_plane(bottom[row], n, True), True), matrix, pad)
+                        scatter_plane(data, weight, mirrored(kernels.full_plane(numer, n, False), False), mirrored(kernels.full_plane(bottom[row], n, True), True), matrix, pad)
                 grids[0, i], grids[1, i], grids[2, i] = data.real, data.imag, weight
             return np.concatenate([grids.ravel(), mass, residual.ravel(), counts, [like]])
 
