@@ -47,7 +47,7 @@ def with_cells(df: DataFrame, pixel: str, order: int) -> DataFrame:
 
 
 def with_pixel(df: DataFrame, rot: str, tilt: str, order: int, out: str = "pixel") -> DataFrame:
-    """df with the nested number of the pixel that holds each direction, in degrees; a border belongs to the pixel north or east of it.
+    """df with the nested number of the pixel that holds each direction, in degrees; a border belongs to the pixel north or east of it, a null has -1.
 
     Each step is a projection of its own: as one expression, what later steps take several times would be repeated.
     """
@@ -73,7 +73,8 @@ def with_pixel(df: DataFrame, rot: str, tilt: str, order: int, out: str = "pixel
         "__x": index(c("__p") - c("__cp")), "__y": index(c("__q") - c("__cq")),
     })
     made = "__z __turn __s __m __t __w __p __q __high __low __beyond __first __cp __cq __face __x __y".split()
-    return flat.withColumn(out, nest_of(c("__face"), c("__x"), c("__y"), order)).drop(*made)
+    # never null: a join on a key that may be null pushes a test of it down through all the projections, which multiplies them
+    return flat.withColumn(out, F.coalesce(nest_of(c("__face"), c("__x"), c("__y"), order), F.lit(-1).cast("long"))).drop(*made)
 
 
 def with_plane(df: DataFrame, pixel: str, order: int) -> DataFrame:

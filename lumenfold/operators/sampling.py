@@ -58,6 +58,26 @@ def asymmetric_unit(grid: DataFrame, group: str, n: int = 1) -> DataFrame:
     return grid.where(tests[group])
 
 
+def thinned_seams(unit: DataFrame, operations: list[np.ndarray], order: int, tolerance: float = 1e-4) -> DataFrame:
+    """Directions of a unit (pixel, rot, tilt) without those that an operation takes, within the tolerance in degrees, to one of a lesser pixel.
+
+    Such equivalents lie on the seams of a unit. Each direction is turned by each of the few operations, and meets the
+    direction of the cell that it falls into, or of one beside it, by a join on cells.
+    """
+    parts = F.array(*[F.array(*[F.lit(float(v)) for v in r.ravel()]) for r in operations])
+    r, t = F.radians("rot"), F.radians("tilt")
+    v = unit.select("pixel", F.explode(parts).alias("o"), (F.cos(r) * F.sin(t)).alias("vx"), (F.sin(r) * F.sin(t)).alias("vy"), F.cos(t).alias("vz"))
+    row = lambda k: F.get("o", F.lit(3 * k)) * F.col("vx") + F.get("o", F.lit(3 * k + 1)) * F.col("vy") + F.get("o", F.lit(3 * k + 2)) * F.col("vz")
+    turned = v.select("pixel", row(0).alias("tx"), row(1).alias("ty"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), row(2))).alias("tz"))
+    turned = turned.withColumns({"to_rot": F.degrees(F.atan2("ty", "tx")), "to_tilt": F.degrees(F.acos("tz"))})
+    grid = unit.select(F.col("pixel"), F.col("rot").alias("at_rot"), F.col("tilt").alias("at_tilt"))
+    met = healpix.near(grid, turned.withColumnRenamed("pixel", "own"), 29.0 / 2**order, order, "to_rot", "to_tilt").where("pixel < own")
+    a, b = F.radians("at_rot"), F.radians("at_tilt")
+    apart = F.sqrt(F.pow(F.cos(a) * F.sin(b) - F.col("tx"), 2) + F.pow(F.sin(a) * F.sin(b) - F.col("ty"), 2) + F.pow(F.cos(b) - F.col("tz"), 2))
+    gone = met.where(F.degrees(apart) <= tolerance).select(F.col("own").alias("pixel")).distinct()
+    return unit.join(gone, "pixel", "left_anti")
+
+
 def closure(generators: list[np.ndarray], most: int = 240) -> list[np.ndarray]:
     """All products of rotation matrices, the identity first."""
     found = [np.eye(3)]

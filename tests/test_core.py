@@ -476,3 +476,16 @@ def test_pictures(tmp_path):
     pages = pictures.read_tiff(str(tmp_path / "a.tif"))
     assert len(pages) == 5 and all(np.array_equal(p, pictures.grey(i)) for p, i in zip(pages, images))
     assert not pictures.grey(np.ones((2, 2))).any()
+
+
+@pytest.mark.parametrize("name, unit, n", [("C4", "C", 4), ("C2", "C", 2), ("D2", "D", 2)])
+def test_seams_hold_no_equivalents(spark, name, unit, n):
+    part = sampling.asymmetric_unit(healpix.directions(spark, 2), unit, n)
+    operations = sampling.point_group(name)
+    kept = sampling.thinned_seams(part, operations, 2).toPandas()
+    before = part.toPandas().sort_values("pixel")
+    v, pixel, gone = unit_vectors(before[["rot", "tilt"]]), before.pixel.to_numpy(), set()
+    for i in range(len(v)):
+        for r in operations:
+            gone |= {int(pixel[i]) for j in np.flatnonzero(np.linalg.norm(v - r @ v[i], axis=1) < 1e-6) if pixel[j] < pixel[i]}
+    assert set(kept.pixel) == set(pixel.tolist()) - gone and (name != "C2" or gone)
