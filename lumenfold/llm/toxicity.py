@@ -27,6 +27,8 @@ from lumenfold.session import materialize
 
 #: Labelled documents that the word odds and the logistic function are fitted on at most.
 SAMPLE_ROWS = 20_000
+#: Characters of their texts in all.
+SAMPLE_CHARS = 64_000_000
 KEPT_WORDS = 150_000
 KEPT_SPANS = 50_000
 PREFIXES = (4, 5, 6)
@@ -46,12 +48,7 @@ INNER, SPLIT, WHOLE = 3.0, 6.0, 0.0
 LETTERS = 27  # 0 stands for all but letters
 _STRIP = ".,;:!?\"'()[]{}*#%&<>-_…«»“”‘’"
 _GAPS = " .-_*·"
-_REPEATS = re.compile(r"(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*")
-_DOUBLES = re.compile(r"(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1[^\W\d_]*?([^\W\d_])\2[^\W\d_]*")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){2,}[^\W_](?![^\W_])")
-_INNER = re.compile(r"[^\W\d_]+(?:[.\-_·][^\W\d_]+)+")
-_MARKED = re.compile(r"(?<!\S)[^\s0-9@$!|+(€£¥*]*[0-9@$!|+(€£¥*]\S*")
-_RUN = re.compile(r"(.)\1", re.DOTALL)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -63,6 +60,12 @@ def _letter(char: str) -> int:
 _TABLE = np.array([_letter(chr(i)) for i in range(0x250)] + [0], np.int64)
 
 
+#: Kinds of characters, of code points below 0x3000 (letters alone beyond): 1 letters, 2 white space, 4 look-alikes, 8 signs that may stand between letters.
+_KINDS = np.array(
+    [c.isalpha() + 2 * c.isspace() + 4 * (c in LOOKALIKES) + 8 * (c in ".-_·") for c in map(chr, range(0x3000))] + [1], np.uint8
+)
+
+
 def symbols(text: str) -> np.ndarray:
     """Letters 1 to 26 without case and accents, 0 for all else."""
     return _TABLE[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 0x250)]
@@ -123,27 +126,57 @@ def marked(token: str) -> tuple[int, int] | None:
 
 
 def suspects(text: str, gains: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Where the spans of a text that may be disguised begin and end, in order; those that overlap are one."""
+    """Where the spans of a text that may be disguised begin and end, in order; those that overlap are one.
+
+    gains: of gap_gains(); without it no words are joined. A few passes over the code points find the places.
+    """
+    if not text:
+        return []
     found = [m.span() for m in _SPACED.finditer(text)]
-    for m in _MARKED.finditer(text):
-        if part := marked(m[0]):
-            found.append((m.start() + part[0], m.start() + part[1]))
-    found += [m.span() for m in _INNER.finditer(text)]
-    if _RUN.search(text):
-        found += [m.span() for m in _REPEATS.finditer(text)]
-        found += [m.span() for m in _DOUBLES.finditer(text) if 2 * sum(2 for _ in _RUN.finditer(m[0])) >= len(m[0])]
-    if gains is not None and " " in text:
-        code = np.frombuffer(f"  {text}  ".encode("utf-32-le"), np.uint32)
+    code = np.frombuffer(f"  {text}  ".encode("utf-32-le"), np.uint32)
+    kind = _KINDS[np.minimum(code, 0x3000)]
+    alpha = (kind & 1).astype(bool)
+    # words with a letter three times in a row, or without one but mostly of doubled letters
+    again = (code[1:] == code[:-1]) & alpha[1:]
+    if again.any():
+        edge = np.flatnonzero(alpha[1:] != alpha[:-1]) + 1
+        begin, end = edge[::2], edge[1::2]
+        at = np.flatnonzero(again) + 1
+        word = np.searchsorted(begin, at, side="right") - 1
+        pairs = np.bincount(word, minlength=len(begin))
+        triple = np.zeros(len(begin), bool)
+        triple[word[1:][at[1:] == at[:-1] + 1]] = True
+        some = triple | ((pairs > 1) & (4 * pairs >= end - begin))
+        found += zip((begin[some] - 2).tolist(), (end[some] - 2).tolist())
+    # tokens that hold both look-alikes and letters
+    sign = np.flatnonzero(kind & 4)
+    if len(sign):
+        solid = (kind & 2) == 0
+        edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+        begin, end = edge[::2], edge[1::2]
+        letters = np.concatenate([[0], np.cumsum(alpha)])
+        token = np.unique(np.searchsorted(begin, sign, side="right") - 1)
+        token = token[letters[end[token]] > letters[begin[token]]]
+        for i, j in zip((begin[token] - 2).tolist(), (end[token] - 2).tolist()):
+            if part := marked(text[i:j]):
+                found.append((i + part[0], i + part[1]))
+    # letters, a sign, letters: with all that goes on so
+    inner = np.flatnonzero(kind & 8)
+    inner = inner[alpha[inner - 1] & alpha[inner + 1]]
+    if len(inner):
+        inside = alpha.copy()
+        inside[inner] = True
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        run = np.unique(np.searchsorted(edge, inner, side="right") - 1)
+        found += zip((edge[run] - 2).tolist(), (edge[run + 1] - 2).tolist())
+    if gains is not None:
         letter = _TABLE[np.minimum(code, 0x250)]
         gap = np.flatnonzero(code[2:-2] == 32) + 2
-        likely = gap[gains[letter[gap - 2], letter[gap - 1], letter[gap + 1], letter[gap + 2]] > SPLIT] - 2
-        for i in likely.tolist():
-            j, k = i, i + 1
-            while j and text[j - 1].isalpha():
-                j -= 1
-            while k < len(text) and text[k].isalpha():
-                k += 1
-            found.append((j, k))
+        likely = gap[gains[letter[gap - 2], letter[gap - 1], letter[gap + 1], letter[gap + 2]] > SPLIT]
+        if len(likely):
+            edge = np.flatnonzero(alpha[1:] != alpha[:-1]) + 1
+            place = np.searchsorted(edge, likely, side="right")
+            found += zip((edge[place - 2] - 2).tolist(), (edge[place + 1] - 2).tolist())
     if len(found) < 2:
         return found
     found.sort()
@@ -289,7 +322,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> T
     """
     spark = prepare(documents.sparkSession)
     logs = log_model(count_trigrams(documents))
-    sample = labelled_sample(documents.select("doc_id", "text"), labels.select("doc_id", "toxic").dropna(), rows)
+    sample = labelled_sample(documents.select("doc_id", "text"), labels.select("doc_id", "toxic").dropna(), rows, SAMPLE_CHARS)
     sample = materialize(sample.select(F.xxhash64("doc_id", "text").alias("id"), "text", (F.col("toxic") > 0).alias("toxic")), "labelled")
     shared = spark.sparkContext.broadcast(logs)
 
