@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     shortened by pointer jumping, and edges are redrawn between roots until none is left. Each step is written
     to the shared folder. Edges with a null end, loops and repeated edges change nothing.
     """
-    left = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").repartition("a", "b").distinct()
+    left = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     current = left = materialize(left, "edges")
     labels = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
     labels = materialize(labels, "labels")
@@ -42,9 +42,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = materialize(_follow(labels, "component", parents), "labels")
         discard(old)
         redrawn = _follow(_follow(left, "a", parents), "b", parents)
-        redrawn = redrawn.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-        # dealt by both ends: by one alone, as the join leaves them, all edges of a large component would stay in one task
-        left = redrawn.repartition("a", "b").distinct()
+        # repeated edges stay: making them distinct would gather a large component's in one task, and there are no more of them than before
+        left = redrawn.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
         before, left = current, materialize(left, "edges")
         discard(before, hooks)
         current = left
