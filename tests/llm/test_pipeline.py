@@ -1,10 +1,69 @@
 """The pipeline's stages against brute force on a small fixture."""
 
+import math
+
+import numpy as np
+import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
 from lumenfold.llm import quality, quality_rules, toxicity
-from tests.llm.test_llm import ODD, brute_components, brute_leaks
+from tests.llm.test_llm import ODD, brute_components, brute_leaks, brute_rules, tiktoken_of
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+
+
+def test_quality_stage_against_the_model_by_hand(spark, tables):
+    docs, labels = tables
+    model = quality.train(docs, labels)
+    weights = model.weights.astype(np.float32).astype(float)
+    want = set()
+    for r in docs.collect():
+        score = sum(weights[b] * v for b, v in zip(*quality.features(r.text or "")))
+        if 1 - 1 / (1 + math.exp(score - model.thresholds[0])) >= corpus_pipeline.LEAST_QUALITY:
+            want.add(r.doc_id)
+    got = {r.doc_id for r in corpus_pipeline.quality_classifier(spark, docs, FOLDER).collect()}
+    assert got == want and 0 < len(got) < docs.count()
+
+
+def best_path(emit, steps):
+    """The best labels of one chain, step by step; a tie is content."""
+    score, back = list(emit[0]), []
+    for e in emit[1:]:
+        ways = [[score[a] + steps[a][b] for a in (0, 1)] for b in (0, 1)]
+        back.append([int(w[1] >= w[0]) for w in ways])
+        score = [max(w) + e[b] for b, w in enumerate(ways)]
+    path = [int(score[1] >= score[0])]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    return path[::-1]
+
+
+def test_rules_stage_against_brute_force(spark, tables):
+    docs, labels = tables
+    field = quality_rules.train(docs, labels)
+    want = set()
+    for r in docs.collect():
+        n_words, *_, repeated = brute_rules(r.text)
+        rows, sizes, _ = quality_rules.line_features(r.text or "", field.recurring)
+        if n_words < 50 or 100 * repeated > 50 * n_words:
+            continue
+        path = best_path((np.array(rows) @ field.weights).tolist(), field.steps.tolist())
+        if sum(n for n, k in zip(sizes, path) if k) >= 0.5 * sum(sizes):
+            want.add(r.doc_id)
+    got = {r.doc_id for r in corpus_pipeline.quality_rules_stage(spark, docs, FOLDER).collect()}
+    assert got == want and 0 < len(got) < docs.count()
+
+
+def test_bpe_stage_against_the_library(spark, tables):
+    library = tiktoken_of(P.path("byte_bpe_multi_50k.tiktoken"))
+    for r in corpus_pipeline.byte_bpe(spark, tables[0], FOLDER).collect():
+        assert r.ids == library.encode_ordinary(r.text or "") and r.n_tokens == len(r.ids) and r.round_trip
 
 
 def test_stages_keep_the_columns_and_take_effect(spark):
