@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import begin, finish, prepare, text_slices
 from lumenfold.session import materialize
 
-#: Item words in one broadcast automaton, by default (some 50 MB in a worker); a longer benchmark goes in blocks, each a
+#: Item words in one broadcast automaton, by default (some 200 MB in a worker); a longer benchmark goes in blocks, each a
 #: pass of its own over a written table, so that a task holds one automaton at a time. Workers with more memory
-#: take larger blocks and so fewer passes: 500 bytes a word.
-BLOCK_WORDS = 100_000
+#: take larger blocks and so fewer passes: 1 000 bytes a word.
+BLOCK_WORDS = 200_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:int,end:int>>,cleaned:string>"
