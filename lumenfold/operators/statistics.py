@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -98,12 +99,15 @@ def first_difference(rows: DataFrame, by: str, order: str, value: str, out: str
 
 
 def step_up(rows: DataFrame, by: str, value: str, tie: str, level: float, total: Column | None = None) -> DataFrame:
-    """(by, threshold, rejected): the largest k whose k-th smallest value is at most level * k / n."""
-    rising = Window.partitionBy(by).orderBy(value, tie)
+    """(by, threshold, rejected): the largest k whose k-th smallest value is at most level * k / n.
+
+    level is the decimal number that it is written as, and its product with k is exact. Null values come last and never pass.
+    """
+    rising = Window.partitionBy(by).orderBy(F.col(value).asc_nulls_last(), F.col(tie).asc_nulls_last())
     whole = Window.partitionBy(by)
     n = F.count("*").over(whole) if total is None else total
     placed = rows.withColumn("k", F.row_number().over(rising)).withColumn("n", n)
-    passed = F.col(value) <= F.lit(level) * F.col("k") / F.col("n")
+    passed = F.col(value) <= (F.lit(Decimal(str(level))) * F.col("k")).cast("double") / F.col("n")
     return placed.groupBy(by).agg(F.max(F.when(passed, F.col(value))).alias("threshold"), F.coalesce(F.max(F.when(passed, F.col("k"))), F.lit(0)).cast("long").alias("rejected"))
 
 

@@ -47,3 +47,14 @@ def test_entry_gives_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_step_up_on_the_bound(spark, tmp_path):
+    """Values that equal the bound but for its rounding, and null values, are placed as SQL places them."""
+    rows = [(13, 1, 100.0), (20, 1, 100.0), (27, 1, 100.0), (6, 2, None), (13, 2, 1.0), (20, 2, 250.0), (34, 3, None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(registry.oracle_sql()["fdr_step_up"]).fetchall()
+    found = registry.queries()["fdr_step_up"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == sorted(want) == [(1, None, 0), (2, 0.002, 1), (3, None, 0)]
