@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import bpe, decontaminate, near_dedup, quality, quality_rules
-from lumenfold.llm.common import table
+from lumenfold.llm.common import dealt, table
 from lumenfold.session import materialize
 
 #: Documents whose probability of good quality is less go.
@@ -25,7 +25,7 @@ WINDOW, MOST_LEAKED = 10, 0.5
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model rates as good; null and empty texts are rated as texts without words."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    rated = quality.rate(docs, model, out="__rating")
+    rated = quality.rate(dealt(docs, "doc_id", "text"), model, out="__rating")
     return rated.where(F.col("__rating.tail_probability") >= LEAST_QUALITY).select(*docs.columns)
 
 
@@ -36,7 +36,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     bad ones.
     """
     field = quality_rules.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    ruled = quality_rules.label_lines(docs, field, out="__rules")
+    ruled = quality_rules.label_lines(dealt(docs, "doc_id", "text"), field, out="__rules")
     return ruled.where("__rules.kept").select(*docs.columns)
 
 

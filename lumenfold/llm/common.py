@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -65,6 +66,28 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) ->
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
+#: MB of input, as it is stored, that one task should take at most before rows are dealt anew, and that it then takes.
+LARGEST_PART, DEALT_PART = 32, 16
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df, its rows dealt by a hash of keys where one task would read much of its files.
+
+    A row group is read by one task and held there, however small the splits of its file are; a file of one large
+    row group would keep a single core busy and go on as one large file.
+    """
+    if not df.inputFiles():
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6
+    if size <= LARGEST_PART:
+        return df
+    # no column is read: the counts of rows are in the files' footers
+    parts = df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+    if not parts.total or size * parts.most / parts.total <= LARGEST_PART:
+        return df
+    return df.repartition(math.ceil(size / DEALT_PART), *keys)
+
+
 def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_CHARS) -> Iterator[list[str]]:
     """Texts of a string array (null: empty) in lists of bounded size; a longer text comes alone."""
     some: list[str] = []

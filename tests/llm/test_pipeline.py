@@ -5,9 +5,10 @@ import math
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenfold.llm import quality, quality_rules, toxicity
+from lumenfold.llm import common, quality, quality_rules, toxicity
 from tests.llm.test_llm import ODD, brute_components, brute_leaks, brute_rules, tiktoken_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -111,3 +112,19 @@ def test_training_without_labels(spark, sf_dir):
     assert len(scored) == 5 and all(0 <= r.score < 0.5 for r in scored)
     nulls = spark.createDataFrame([(1, None, None), (None, 1, 1), (2, 1, None)], "doc_id long, quality int, toxic int")
     assert quality.rate(docs, quality.train(docs, nulls)).count() == 5 and toxicity.score(docs, toxicity.train(docs, nulls)).count() == 5
+
+
+def test_one_large_row_group_is_dealt_to_many_tasks(spark, tables, tmp_path, monkeypatch):
+    """Also rows that share a doc_id or have none stay, each once."""
+    docs = tables[0].unionAll(tables[0].limit(5)).unionAll(tables[0].limit(3).selectExpr("cast(null as bigint) as doc_id", *tables[0].columns[1:]))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(common, "LARGEST_PART", 0.05)
+    monkeypatch.setattr(common, "DEALT_PART", 1 / 64)
+    one = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    spread = common.dealt(one, "doc_id", "text")
+    sizes = [r[0] for r in spread.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) > 4 and max(sizes) < one.count() / 2
+    assert spread.exceptAll(one).isEmpty() and one.exceptAll(spread).isEmpty()
+    for stage in (corpus_pipeline.quality_classifier, corpus_pipeline.quality_rules_stage):
+        parts = stage(spark, one, FOLDER).groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) > 4
